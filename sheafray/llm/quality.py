@@ -249,8 +249,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, **
     """Learn the list from ``labels`` (doc_id, quality 0/1).
 
     At most ``max_labelled`` labelled documents are used, those with the
-    smallest hash of their id, so reruns and any partitioning agree. Only the
-    sample's statistics reach the driver. Ids with contradicting labels and
+    smallest hash of their id, so reruns and any partitioning agree; that bound
+    is what allows their ids to be broadcast and their statistics, nothing
+    else, to reach the driver. Ids with contradicting labels and
     null labels are left out.
     """
     chosen = (
@@ -262,10 +263,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, **
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_labelled)
     )
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id")
-    rows = text_statistics(sample, keep=("bad",)).where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    got = sorted((r.asDict() for r in rows.select("doc_id", "bad", *FEATURES).collect()), key=lambda r: (r["doc_id"], *(r[f] for f in FEATURES), r["bad"]))
-    return learn_decision_list(got, **options)
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = [r.asDict() for r in text_statistics(sample, keep=("bad",)).select("doc_id", "bad", "n_repeat_words", *FEATURES).collect()]
+    # Filtered here: Spark would push the base rule below the join and so compute the statistics of every document.
+    rows = [r for r in rows if r["n_words"] >= MIN_WORDS and 100 * r["n_repeat_words"] <= MAX_REPEAT_PERCENT * r["n_words"]]
+    return learn_decision_list(sorted(rows, key=lambda r: (r["doc_id"], *(r[f] for f in FEATURES), r["bad"])), **options)
 
 
 def verdict(rules: list[Rule]) -> Column:

@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import mixing, packing, quality, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_token_files": tokenfile.token_query,
+    "op7_pack": packing.pack_query,
+    "op9_mix_sources": mixing.mix_query,
     "op10_quality_rules": quality.quality_query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_token_files": tokenfile.token_query,
+    "op7_pack": packing.pack_query,
+    "op9_mix_sources": mixing.MIX_SQL,
+}
