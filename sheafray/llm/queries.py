@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, tokenfile
+from . import mixing, packing, quality, substring, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": substring.substring_query,
     "op5_token_files": tokenfile.token_query,
     "op7_pack": packing.pack_query,
     "op9_mix_sources": mixing.mix_query,
@@ -16,7 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op5_token_files": tokenfile.token_query,
-    "op7_pack": packing.pack_query,
+    "op2_substring_dedup": substring.SUBSTRING_SQL,
     "op9_mix_sources": mixing.MIX_SQL,
 }
