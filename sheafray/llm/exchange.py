@@ -21,7 +21,7 @@ GROUP_BYTES = 4 << 20
 BUCKET_BYTES = 48 << 20
 LEAST_BUCKETS = 16
 
-SENT = "_bucket int, _group int, values binary, more binary, twice binary"
+SENT = "_bucket int, _group int, values binary, more binary, counts binary"
 ANSWER = "_group int, kind int, values binary"
 
 
@@ -51,63 +51,66 @@ def send(group: int, values: np.ndarray, more: np.ndarray | None, buckets: int):
     edges = [(b << 64) // buckets for b in range(1, buckets)]
     cuts = [0, *np.searchsorted(uniq, np.array(edges, np.uint64)).tolist(), len(uniq)]
     rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if hi > lo]
-    twice = (count > 1).astype(np.uint8)
+    counts = np.minimum(count, 2**31).astype(np.uint32)
     return pa.table(
         {
             "_bucket": pa.array([b for b, _, _ in rows], pa.int32()),
             "_group": pa.array([group] * len(rows), pa.int32()),
             "values": pa.array([uniq[lo:hi].tobytes() for _, lo, hi in rows], pa.binary()),
             "more": pa.array([rest[lo:hi].tobytes() if rest is not None else b"" for _, lo, hi in rows], pa.binary()),
-            "twice": pa.array([twice[lo:hi].tobytes() for _, lo, hi in rows], pa.binary()),
+            "counts": pa.array([counts[lo:hi].tobytes() for _, lo, hi in rows], pa.binary()),
         }
     )
 
 
-def _answer(kind: int) -> Callable:
+def _answer(kind: int, hot: int | None) -> Callable:
     def run(table):
         import pyarrow as pa
 
-        groups = np.array(table.column("_group").to_pylist(), np.int32)
+        groups = table.column("_group").to_pylist()
         blobs = table.column("values").to_pylist()
-        sizes = np.array([len(b) // 8 for b in blobs])
+        bounds = np.concatenate([[0], np.cumsum([len(b) // 8 for b in blobs])])
         values = np.frombuffer(b"".join(blobs), np.uint64)
         wide = b"".join(table.column("more").to_pylist())
-        twice = np.frombuffer(b"".join(table.column("twice").to_pylist()), np.uint8).astype(bool)
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32).astype(np.int64)
+        order = np.argsort(values, kind="stable")
+        new = np.ones(len(values), bool)
+        new[1:] = values[order][1:] != values[order][:-1]
         if wide:
             more = np.frombuffer(wide, np.uint64)
-            order = np.argsort(values, kind="stable")
-            clash = (values[order][1:] == values[order][:-1]) & (more[order][1:] != more[order][:-1])
-            if clash.any():
+            if ((more[order][1:] != more[order][:-1]) & ~new[1:]).any():
                 order = np.lexsort((more, values))
-            same = (values[order][1:] == values[order][:-1]) & (more[order][1:] == more[order][:-1])
-        else:
-            order = np.argsort(values, kind="stable")
-            same = values[order][1:] == values[order][:-1]
-        hit = np.zeros(len(values), bool)
-        hit[order[1:]] |= same
-        hit[order[:-1]] |= same
-        hit |= twice
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        found = [(g, values[a:b][hit[a:b]]) for g, a, b in zip(groups.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        found = [(g, v) for g, v in found if len(v)]
+                new[1:] = values[order][1:] != values[order][:-1]
+            new[1:] |= more[order][1:] != more[order][:-1]
+        at = np.flatnonzero(new)
+        total = np.empty(len(values), np.int64)
+        total[order] = np.repeat(np.add.reduceat(counts[order], at), np.diff(np.append(at, len(values)))) if len(at) else 0
+        rows = []
+        for g, lo, hi in zip(groups, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own, n = values[lo:hi], total[lo:hi]
+            rows.append((g, kind, own[(n > 1) if hot is None else (n > 1) & (n <= hot)]))
+            if hot is not None:
+                rows.append((g, kind + 1, own[n > hot]))
+        rows = [r for r in rows if len(r[2])]
         return pa.table(
             {
-                "_group": pa.array([g for g, _ in found], pa.int32()),
-                "kind": pa.array([kind] * len(found), pa.int32()),
-                "values": pa.array([v.tobytes() for _, v in found], pa.binary()),
+                "_group": pa.array([r[0] for r in rows], pa.int32()),
+                "kind": pa.array([r[1] for r in rows], pa.int32()),
+                "values": pa.array([r[2].tobytes() for r in rows], pa.binary()),
             }
         )
 
     return run
 
 
-def shared(sent: DataFrame, kind: int = 0) -> DataFrame:
-    """``ANSWER`` rows: for each group its numbers that occur elsewhere too.
+def shared(sent: DataFrame, kind: int = 0, hot: int | None = None) -> DataFrame:
+    """``ANSWER`` rows: for each group its numbers that occur elsewhere too,
+    or twice in it; those with over ``hot`` occurrences in all as ``kind`` + 1.
 
     Of 128-bit numbers the first 64 bits come back; a group looks them up
     among its own numbers only.
     """
-    return sent.groupBy("_bucket").applyInArrow(_answer(kind), ANSWER)
+    return sent.groupBy("_bucket").applyInArrow(_answer(kind, hot), ANSWER)
 
 
 def answered(table, kind: int = 0) -> np.ndarray:

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, substring, tokenfile
+from . import mixing, packing, quality, substring, suffixes, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": substring.substring_query,
+    "op4_suffix_dedup": suffixes.suffix_query,
     "op5_token_files": tokenfile.token_query,
     "op7_pack": packing.pack_query,
     "op9_mix_sources": mixing.mix_query,
