@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, substring, suffixes, tokenfile
+from . import embeddings, mixing, packing, quality, substring, suffixes, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": substring.substring_query,
     "op4_suffix_dedup": suffixes.suffix_query,
     "op5_token_files": tokenfile.token_query,
+    "op6_embedding_dedup": embeddings.embedding_query,
     "op7_pack": packing.pack_query,
     "op9_mix_sources": mixing.mix_query,
     "op10_quality_rules": quality.quality_query,
@@ -19,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": substring.SUBSTRING_SQL,
+    "op6_embedding_dedup": embeddings.EMBEDDING_SQL,
     "op9_mix_sources": mixing.MIX_SQL,
 }
