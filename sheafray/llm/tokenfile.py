@@ -70,15 +70,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
     )
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """The token files with each document's ``start`` in the whole corpus.
+def part_offsets(files: DataFrame) -> DataFrame:
+    """Where each file part begins in the whole corpus: a running sum over one
+    row per part."""
+    sums = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    return sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_offset"))
+
 
-    Offsets of parts are a running sum over one row per file part.
-    """
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """The token files with each document's ``start`` in the whole corpus."""
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    sums = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    offsets = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_offset"))
-    return files.join(offsets, "part").select("doc_id", (F.col("part_offset") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    return files.join(part_offsets(files), "part").select("doc_id", (F.col("part_offset") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
 def _checksums(batches: Iterator) -> Iterator:
@@ -90,16 +92,19 @@ def _checksums(batches: Iterator) -> Iterator:
         bounds = lists.offsets.to_numpy()
         raw = memoryview(lists.values.to_numpy().astype("<u4", copy=False)).cast("B")
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(np.diff(bounds).astype("i8")), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "part", "part_start")], pa.array(np.diff(bounds).astype("i8")), pa.array(crc, pa.int64())], names=["doc_id", "part", "part_start", "n_tokens", "ids_crc32"])
 
 
-def token_digests(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the checksum of the ids as read back."""
-    return tokens.select("doc_id", "start", "ids").mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def token_digests(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and the checksum of the ids as read back; ids
+    are summed where they are read and do not move."""
+    files = spark.read.schema(FILE_SCHEMA).parquet(path)
+    read = files.select("doc_id", "part", "part_start", "ids").mapInArrow(_checksums, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
+    return read.join(part_offsets(files), "part").select("doc_id", (F.col("part_offset") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: every document encoded, written, and read back."""
     path = scratch_path(spark, "tokens")
     write_tokens(documents(spark, sf_dir), path, vocabulary("byte_bpe_50k.json"))
-    return token_digests(read_tokens(spark, path))
+    return token_digests(spark, path)

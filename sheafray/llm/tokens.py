@@ -1,42 +1,58 @@
 """Tokenizing whole texts fast: the tokenizers library with a word memo.
 
-A text is cut only before a space that a letter, digit or other visible ASCII
+A text is cut before a space that a letter, digit or other visible ASCII
 character follows (byte-level vocabulary), or at single spaces and line ends
 (word vocabulary, which drops white space). Both pre-tokenizers always end a
 pre-token there, so the pieces' ids, joined, are the ids of the whole text.
-Pieces repeat a lot in natural text; each distinct piece is encoded by the
-library once per worker and kept as packed little-endian ids. Texts with any
-other spacing are encoded whole.
+Pieces repeat a lot in natural text, and a worker keeps their packed ids. A
+new piece is cut again where letters meet other characters, another end of a
+pre-token; the library's model encodes a run of letters, the whole library
+anything else. What these cuts do not hold for (contractions, special tokens,
+composing marks, odd spacing) is encoded whole.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from array import array
 
 import numpy as np
 
-#: A worker keeps at most so many pieces; others are encoded each time.
-MEMO_PIECES = 600_000
-#: Pieces joined into one call of the library.
-JOINED = 2000
+#: A worker keeps at most so many pieces, and so many runs; others are encoded
+#: each time.
+MEMO_PIECES = 300_000
+MEMO_RUNS = 400_000
 _ODD_SPACE = re.compile(r" (?![\w!-~])")
+_RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary:
+    printable Latin-1 bytes for themselves, the others in order from U+0100."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
 class Encoder:
     """Texts to packed little-endian unsigned 32-bit ids.
 
     ``kind`` is "byte" for a byte-level vocabulary, whose pre-tokens may start
-    with one space, and "word" for one that drops white space.
+    with one space, and "word" for one that drops white space and case.
     """
 
     def __init__(self, path: str, kind: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.byte = kind == "byte"
+        self.space = " " if self.byte else ""
+        self.letters = _byte_letters()
         self.memo: dict[str, bytes] = {"": b""}
-        self.comma, self.stop = self.whole(","), self.whole(".")
+        self.runs: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -51,35 +67,40 @@ class Encoder:
             return text.replace("\n", " ").split(" ")
         return None if _ODD_SPACE.search(text) else text.split(" ")
 
-    def learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Encode distinct pieces, many in one call: they are joined as they
-        would stand in a text, and the ids dealt back by their offsets."""
-        out: dict[str, bytes] = {}
-        for at in range(0, len(missing), JOINED):
-            part = missing[at : at + JOINED]
-            got = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, dtype="<u4").tobytes()
-            begin = np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0]
-            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-            lo = 0
-            for w, hi in zip(part, (4 * np.searchsorted(begin, ends + (not self.byte))).tolist(), strict=True):
-                out[w] = ids[lo:hi]
-                lo = hi
-        return out
-
-    def parts(self, word: str) -> tuple[str, bytes]:
-        """A word without a closing comma or stop that follows a letter, where
-        every pre-token ends, and that mark's ids."""
-        if len(word) > 1 and word[-1] in ",." and word[-2].isalpha():
-            return word[:-1], self.comma if word[-1] == "," else self.stop
-        return word, b""
+    def run(self, text: str) -> bytes:
+        """A run of letters, perhaps behind a space, or of other characters."""
+        found = self.runs.get(text)
+        if found is None:
+            letters = text[1:] if self.byte and text[0] == " " else text
+            # Latin letters have one lower case each; the dotted I never comes here.
+            if letters.isalpha() and max(letters) < "\u0250":
+                plain = text if self.byte else letters.lower()
+                shown = plain.encode().decode("latin-1").translate(self.letters)
+                found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            else:
+                found = self.whole(text)
+            if len(self.runs) < MEMO_RUNS:
+                self.runs[text] = found
+        return found
+
+    def piece(self, word: str) -> bytes:
+        """A piece that is not kept yet."""
+        if "'" in word or "<|" in word or "\u0130" in word or not (word.isascii() or unicodedata.is_normalized("NFC", word)):
+            found = self.whole(self.space + word)
+        else:
+            runs = _RUNS.findall(word)
+            if any(r[0].isalnum() and not (r.isalpha() or r[0].isdecimal()) for r in runs) or any(r[-2:].isspace() and len(r) > 1 for r in runs[:-1]):
+                found = self.whole(self.space + word)
+            elif len(runs) == 1:
+                return self.run(self.space + word)
+            else:
+                found = self.run(self.space + runs[0]) + b"".join(map(self.run, runs[1:]))
+        return found
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         known = self.memo
         get = known.get
         out: list[bytes] = [b""] * len(texts)
-        todo: list[tuple[int, list[str], list[bytes | None]]] = []
-        missing: set[str] = set()
         for k, text in enumerate(texts):
             if not text:
                 continue
@@ -92,25 +113,14 @@ class Encoder:
                 first = self.whole(words[0])
                 words[0] = ""
             found = list(map(get, words))
-            found[0] = first if self.byte else found[0]
             if None in found:
-                missing.update(self.parts(words[j])[0] for j, v in enumerate(found) if v is None)
-                todo.append((k, words, found))
-            else:
-                out[k] = b"".join(found)
-        if todo:
-            missing.difference_update(known)
-            fresh = self.learn(sorted(missing))
-            for k, words, found in todo:
                 for j, v in enumerate(found):
                     if v is None:
-                        bare, mark = self.parts(words[j])
-                        ids = get(bare)
-                        found[j] = (fresh[bare] if ids is None else ids) + mark
+                        w = words[j]
+                        found[j] = v = self.piece(w)
                         if len(known) < MEMO_PIECES:
-                            known[words[j]] = found[j]
-                            known[bare] = found[j][: len(found[j]) - len(mark)]
-                out[k] = b"".join(found)
+                            known[w] = v
+            out[k] = first + b"".join(found)
         return out
 
 
