@@ -172,22 +172,28 @@ def _verify(threshold: float):
     return run
 
 
-def _likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose registers, compared by a byte each, do not rule out the
-    threshold."""
-    joined = pairs.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    hexes = lambda c: F.split(F.regexp_replace(F.hex(c), "(..)", "$1 "), " ")
-    same = F.size(F.filter(F.zip_with(hexes("sketch_a"), hexes("sketch_b"), lambda x, y: (x == y) & (x != "")), lambda x: x))
-    return joined.where(same >= F.lit((threshold - SLACK) * REGISTERS)).select("a", "b")
+def _likely(least: float):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("sketch_a", "sketch_b"))
+            where = pa.array(np.flatnonzero((one == two).sum(axis=1) >= least))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(where) for c in ("a", "b")], names=["a", "b"])
+
+    return run
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Of the pairs (a, b) of ids those whose whole texts are similar.
 
-    Only texts in some pair move; the second text joins where the first is,
+    Pairs whose registers, compared by a byte each, rule the threshold out go
+    first. Only texts in some pair move; the second text joins where the first is,
     by id, so that a document in very many pairs is a key that can be split.
     """
-    likely = materialize(_likely(pairs, sketches, threshold), "near-likely")
+    one = pairs.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    two = one.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), "a").select("a", "b", "sketch_a", "sketch_b")
+    likely = materialize(two.mapInArrow(_likely((threshold - SLACK) * REGISTERS), "a long, b long"), "near-likely")
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     one = likely.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     two = one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")

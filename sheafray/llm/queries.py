@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, mixing, packing, quality, substring, suffixes, tokenfile
+from . import embeddings, mixing, neardup, packing, quality, substring, suffixes, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": substring.substring_query,
+    "op3_near_dedup": neardup.near_query,
     "op4_suffix_dedup": suffixes.suffix_query,
     "op5_token_files": tokenfile.token_query,
     "op6_embedding_dedup": embeddings.embedding_query,
