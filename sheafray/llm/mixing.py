@@ -57,7 +57,7 @@ def targets(sizes: DataFrame, share: float = 1.0) -> DataFrame:
         (F.lit(float(share)) * F.sum(F.col("source_size").cast("double")).over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))),
     ).withColumn("fits", F.when(F.col("level") <= F.col("ratio"), F.col("level")))
-    water = F.min("fits").over(everything)
+    water = F.max("fits").over(everything)
     return level.select("source", "source_size", F.when(F.col("ratio") <= F.coalesce(water, F.col("ratio")), F.col("cap")).otherwise(water * F.col("weight")).alias("target"))
 
 
@@ -141,7 +141,7 @@ w AS (SELECT *, 3 * source_size::DOUBLE AS cap, ([5, 2, 1])[((row_number() OVER
 r AS (SELECT *, cap / weight AS ratio FROM w),
 l AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
               / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM r),
-v AS (SELECT *, min(CASE WHEN level <= ratio THEN level END) OVER () AS water FROM l),
+v AS (SELECT *, max(CASE WHEN level <= ratio THEN level END) OVER () AS water FROM l),
 t AS (SELECT source, source_size, CASE WHEN ratio <= coalesce(water, ratio) THEN cap ELSE water * weight END AS target FROM v),
 k AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 x AS (SELECT d.doc_id, d.size, k.source_size, k.target, k.whole, k.target - k.whole * k.source_size AS remaining,
