@@ -14,9 +14,10 @@ registers are expected to be full; a document with an empty one draws on.
 Bands of registers make buckets. Exact copies are one node. Each bucket links
 its members to its least one, each link is verified by exact multiset overlap
 of the two whole texts, and components are built. Members of a bucket that are
-then still apart are verified against each other across components, so no link
-between different texts that share a bucket is lost, and no group, however
-large, is expanded into its pairs.
+then still apart are compared with each other by exact overlap too, a block of
+members at a time as one matrix product, so no link between different texts
+that share a bucket is lost, and no group, however large, is expanded into rows
+of pairs.
 
 Defined cases: null, empty and blank texts link with nothing; a text of one to
 four words has one shingle, all of it; repeated rows are copies; rows that
@@ -45,6 +46,10 @@ REGISTERS = BANDS * ROWS
 #: Registers are compared by one byte each before texts are fetched; pairs
 #: whose estimate is this far below the threshold, over five deviations, go.
 SLACK = 0.15
+#: Members of a bucket, at most, that are compared at once, and rows of members
+#: that a task takes, about.
+BLOCK = 1024
+SLOT = 4000
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,6 +205,102 @@ def verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, threshold:
     return materialize(two.mapInArrow(_verify(threshold), "a long, b long").distinct(), "near-verified")
 
 
+def _levels(hashes: np.ndarray) -> np.ndarray:
+    """A multiset as a set: each copy of a hash is another number, so that
+    common numbers count what the multisets share."""
+    ordered = np.sort(hashes)
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    at = np.flatnonzero(new)
+    level = np.arange(len(ordered)) - np.repeat(at, np.diff(np.append(at, len(ordered))))
+    return np.where(level == 0, ordered, mix64(ordered + level.astype(np.uint64), 61))
+
+
+def similar(one: list[np.ndarray], two: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs of the sets reach the threshold, as a matrix.
+
+    Numbers that only one set holds add to no pair; the others are columns of
+    two 0/1 matrices, taken a few thousand at a time, whose product counts
+    what each pair shares.
+    """
+    sets = [*one, *two]
+    size = np.array([len(x) for x in sets], np.float64)
+    row = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = held[column] > 1
+    rank = np.cumsum(held > 1) - 1
+    row, column = row[keep], rank[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(one), len(two)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        at = slice(*np.searchsorted(column, [lo, lo + 4096]))
+        dense = np.zeros((len(sets), 4096), np.float32)
+        dense[row[at], column[at] - lo] = 1
+        shared += dense[: len(one)] @ dense[len(one) :].T
+    return shared >= threshold * (size[: len(one), None] + size[None, len(one) :] - shared)
+
+
+def _across(threshold: float):
+    """Links between the components that meet in a bucket: a union-find over
+    verified pairs, of which only those that join two sets are told."""
+
+    def run(table):
+        import pyarrow as pa
+
+        found: list[tuple[int, int]] = []
+        table = table.combine_chunks()
+        hashes, begin = shingles(*text_buffer(table.column("text")))
+        node, component, block, one, two, bucket = (table.column(c).to_numpy() for c in ("node", "component", "block", "one", "two", "bucket"))
+        for key in np.unique(np.stack([bucket, one, two], axis=1), axis=0).tolist():
+            rows = np.flatnonzero((bucket == key[0]) & (one == key[1]) & (two == key[2]))
+            left, right = rows[block[rows] == key[1]], rows[block[rows] == key[2]]
+            if not len(left) or not len(right):
+                continue
+            sets = {k: _levels(hashes[begin[k] : begin[k + 1]]) for k in rows.tolist()}
+            hit = similar([sets[k] for k in left.tolist()], [sets[k] for k in right.tolist()], threshold)
+            parent: dict[int, int] = {}
+
+            def find(x: int, parent: dict[int, int] = parent) -> int:
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            hit &= component[left][:, None] != component[right][None, :]
+            for i, j in zip(*np.nonzero(hit), strict=True):
+                a, b = find(int(component[left[i]])), find(int(component[right[j]]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    found.append((int(node[left[i]]), int(node[right[j]])))
+        return pa.table({"a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())})
+
+    return run
+
+
+def _links_across(shared: DataFrame, stars: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Verified links between members of a bucket that are in different
+    components so far.
+
+    A bucket's members are compared by a matrix product, in blocks of at most
+    ``BLOCK`` members, and no pair becomes a row.
+    """
+    label = shared.join(stars, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    sizes = label.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    apart = materialize(sizes.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-apart")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    members = materialize(
+        label.join(apart, "bucket")
+        .withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("bucket", "node", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")),
+        "near-members",
+    )
+    slots = max(1, members.count() // SLOT)
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    slot = F.pmod(F.xxhash64("bucket", "one", "two"), F.lit(slots))
+    return materialize(members.join(texts, "node").withColumn("slot", slot).groupBy("slot").applyInArrow(_across(threshold), "a long, b long"), "near-across")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id) of every row of ``docs`` (doc_id, text): the least
     id of the documents it is linked with, directly or through others."""
@@ -213,18 +314,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     links = verified(first, docs, sketches, threshold)
     stars = materialize(components(links), "near-stars")
-    # Buckets whose members are not all in one component.
-    label = shared.join(stars, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    sizes = label.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    apart = materialize(sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1").select("bucket", F.col("most.component").alias("main")), "near-apart")
-    members = materialize(label.join(apart, "bucket"), "near-members")
-    minor = members.where("component <> main").select("bucket", F.col("node").alias("other"), F.col("component").alias("part"))
-    across = (
-        members.join(minor, (members["bucket"] == minor["bucket"]) & (F.col("component") != F.col("part")))
-        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        .distinct()
-    )
-    more = verified(across, docs, sketches, threshold)
+    more = _links_across(shared, stars, docs, threshold)
     if more.head(1):
         stars = materialize(components(links.unionByName(more)), "near-stars")
     by_text = copies.join(stars, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
