@@ -189,17 +189,16 @@ def _likely(least: float):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Of the pairs (a, b) of ids those whose whole texts are similar.
 
     Pairs whose registers, compared by a byte each, rule the threshold out go
-    first. Only texts in some pair move; the second text joins where the first is,
-    by id, so that a document in very many pairs is a key that can be split.
+    first. The second text joins where the first is, by id, so that a document
+    in very many pairs is a key that can be split. ``texts`` has id, text.
     """
     one = pairs.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
     two = one.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), "a").select("a", "b", "sketch_a", "sketch_b")
     likely = materialize(two.mapInArrow(_likely((threshold - SLACK) * REGISTERS), "a long, b long"), "near-likely")
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
     one = likely.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     two = one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     return materialize(two.mapInArrow(_verify(threshold), "a long, b long").distinct(), "near-verified")
@@ -277,7 +276,7 @@ def _across(threshold: float):
     return run
 
 
-def _links_across(shared: DataFrame, stars: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def _links_across(shared: DataFrame, stars: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Verified links between members of a bucket that are in different
     components so far.
 
@@ -296,9 +295,8 @@ def _links_across(shared: DataFrame, stars: DataFrame, docs: DataFrame, threshol
         "near-members",
     )
     slots = max(1, members.count() // SLOT)
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
     slot = F.pmod(F.xxhash64("bucket", "one", "two"), F.lit(slots))
-    return materialize(members.join(texts, "node").withColumn("slot", slot).groupBy("slot").applyInArrow(_across(threshold), "a long, b long"), "near-across")
+    return materialize(members.join(texts.withColumnRenamed("id", "node"), "node").withColumn("slot", slot).groupBy("slot").applyInArrow(_across(threshold), "a long, b long"), "near-across")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -312,9 +310,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     leaders = materialize(banded.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("bucket", "lead"), "near-leaders")
     shared = materialize(banded.join(leaders, "bucket"), "near-shared")
     first = shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(first, docs, sketches, threshold)
+    # Whole texts move once, by id, at any size; later joins see those of documents that share a bucket.
+    members = shared.select(F.col("node").alias("id")).distinct().hint("merge")
+    texts = materialize(docs.select(F.col("doc_id").alias("id"), "text").join(members, "id"), "near-texts")
+    links = verified(first, texts, sketches, threshold)
     stars = materialize(components(links), "near-stars")
-    more = _links_across(shared, stars, docs, threshold)
+    more = _links_across(shared, stars, texts, threshold)
     if more.head(1):
         stars = materialize(components(links.unionByName(more)), "near-stars")
     by_text = copies.join(stars, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
