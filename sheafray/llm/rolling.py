@@ -96,10 +96,18 @@ class Words:
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of an Arrow string or binary column and the values' offsets;
-    null values are empty."""
+    null values are empty.
+
+    Workers are reused from stage to stage, so this, the start of each batch of
+    the duplicate operators, gives back what a tokenizing stage left.
+    """
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    from .tokens import release
+
+    release()
+
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
     if column.null_count:

@@ -21,9 +21,10 @@ import numpy as np
 
 #: A worker keeps at most so many pieces, and so many runs; others are encoded
 #: each time.
-MEMO_PIECES = 300_000
-MEMO_RUNS = 400_000
+MEMO_PIECES = 550_000
+MEMO_RUNS = 300_000
 _ODD_SPACE = re.compile(r" (?![\w!-~])")
+_ODD_PIECE = re.compile(r"'|<\||\s\s")
 _RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
@@ -85,17 +86,15 @@ class Encoder:
 
     def piece(self, word: str) -> bytes:
         """A piece that is not kept yet."""
-        if "'" in word or "<|" in word or "\u0130" in word or not (word.isascii() or unicodedata.is_normalized("NFC", word)):
-            found = self.whole(self.space + word)
-        else:
-            runs = _RUNS.findall(word)
-            if any(r[0].isalnum() and not (r.isalpha() or r[0].isdecimal()) for r in runs) or any(r[-2:].isspace() and len(r) > 1 for r in runs[:-1]):
-                found = self.whole(self.space + word)
-            elif len(runs) == 1:
-                return self.run(self.space + word)
-            else:
-                found = self.run(self.space + runs[0]) + b"".join(map(self.run, runs[1:]))
-        return found
+        plain = word.isascii() or ("\u0130" not in word and unicodedata.is_normalized("NFC", word))
+        if plain and word.isalpha():
+            return self.run(self.space + word)
+        if not plain or _ODD_PIECE.search(word):
+            return self.whole(self.space + word)
+        runs = _RUNS.findall(word)
+        if not word.isascii() and any(r[0].isalnum() and not (r.isalpha() or r[0].isdecimal()) for r in runs):
+            return self.whole(self.space + word)
+        return self.run(self.space + runs[0]) + b"".join(map(self.run, runs[1:]))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         known = self.memo
@@ -113,17 +112,25 @@ class Encoder:
                 first = self.whole(words[0])
                 words[0] = ""
             found = list(map(get, words))
-            if None in found:
-                for j, v in enumerate(found):
-                    if v is None:
-                        w = words[j]
-                        found[j] = v = self.piece(w)
-                        if len(known) < MEMO_PIECES:
-                            known[w] = v
+            j = -1
+            try:
+                while True:
+                    j = found.index(None, j + 1)
+                    found[j] = v = get(words[j]) or self.piece(words[j])
+                    if len(known) < MEMO_PIECES:
+                        known[words[j]] = v
+            except ValueError:  # none is left
+                pass
             out[k] = first + b"".join(found)
         return out
 
 
+def release() -> None:
+    """Give back what this worker keeps: the next stage, of another operator,
+    runs in the same process."""
+    _ENCODERS.clear()
+
+
 def encoder(path: str, kind: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
     if (path, kind) not in _ENCODERS:
