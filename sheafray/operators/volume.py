@@ -111,7 +111,7 @@ def along_normals(vertices: DataFrame, reach: float, step: float = 1.0) -> DataF
     """Sample points at offsets -reach..reach along each vertex's normal:
     adds off, and pz, py, px."""
     n = int(round(2 * reach / step))
-    moved = vertices.withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(n))) * F.lit(step) - F.lit(reach))
+    moved = vertices.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(n)))).withColumn("off", F.col("_n") * F.lit(step) - F.lit(reach)).drop("_n")
     return moved.withColumns({f"p{a}": F.col(a) + F.col("off") * F.col(f"n{a}") for a in "zyx"})
 
 
