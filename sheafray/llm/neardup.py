@@ -36,16 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialize
-from .components import components
+from .components import components, partial_components
 from .rolling import SpanHash, mix64, text_buffer, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 7
 REGISTERS = BANDS * ROWS
-#: Registers are compared by one byte each before texts are fetched; pairs
-#: whose estimate is this far below the threshold, over five deviations, go.
-SLACK = 0.15
 #: Members of a bucket, at most, that are compared at once, and rows of members
 #: that a task takes, about.
 BLOCK = 1024
@@ -141,11 +138,10 @@ def _sign(batches: Iterator) -> Iterator:
             for r in range(ROWS):
                 bands = mix64(bands + points[:, r::ROWS], 41 + r)
             bands = mix64(bands + np.arange(BANDS, dtype=np.uint64), 59)
-            sketch = (points & np.uint64(0xFF)).astype(np.uint8)
             some_bands = [b.view(np.int64) if k else None for b, k in zip(bands, np.diff(begin).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [some.column("doc_id").cast(pa.int64()), pa.array(digest, pa.binary()), pa.array([s.tobytes() for s in sketch], pa.binary()), pa.array(some_bands, pa.list_(pa.int64()))],
-                names=["doc_id", "digest", "sketch", "bands"],
+                [some.column("doc_id").cast(pa.int64()), pa.array(digest, pa.binary()), pa.array(some_bands, pa.list_(pa.int64()))],
+                names=["doc_id", "digest", "bands"],
             )
 
 
@@ -177,31 +173,15 @@ def _verify(threshold: float):
     return run
 
 
-def _likely(least: float):
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("sketch_a", "sketch_b"))
-            where = pa.array(np.flatnonzero((one == two).sum(axis=1) >= least))
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(where) for c in ("a", "b")], names=["a", "b"])
-
-    return run
-
-
-def verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Of the pairs (a, b) of ids those whose whole texts are similar.
 
-    Pairs whose registers, compared by a byte each, rule the threshold out go
-    first. The second text joins where the first is, by id, so that a document
-    in very many pairs is a key that can be split. ``texts`` has id, text.
+    The second text joins where the first is, by id, so that a document in
+    very many pairs is a key that can be split. ``texts`` has id, text.
     """
-    one = pairs.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    two = one.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), "a").select("a", "b", "sketch_a", "sketch_b")
-    likely = materialize(two.mapInArrow(_likely((threshold - SLACK) * REGISTERS), "a long, b long"), "near-likely")
-    one = likely.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    one = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     two = one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return materialize(two.mapInArrow(_verify(threshold), "a long, b long").distinct(), "near-verified")
+    return materialize(two.mapInArrow(_verify(threshold), "a long, b long"), "near-verified")
 
 
 def _levels(hashes: np.ndarray) -> np.ndarray:
@@ -302,22 +282,19 @@ def _links_across(shared: DataFrame, stars: DataFrame, texts: DataFrame, thresho
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id) of every row of ``docs`` (doc_id, text): the least
     id of the documents it is linked with, directly or through others."""
-    signed = materialize(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, digest binary, sketch binary, bands array<long>"), "near-signed")
-    copies = materialize(signed.where("doc_id is not null and bands is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "near-copies")
-    nodes = signed.join(copies.select(F.col("node").alias("doc_id"), F.col("digest").alias("d")), "doc_id").where("digest = d")
-    sketches = nodes.select("doc_id", "sketch")
-    banded = materialize(nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket")), "near-bands")
+    signed = materialize(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, digest binary, bands array<long>"), "near-signed")
+    # Exact copies are one node; their bands are equal.
+    copies = materialize(signed.where("doc_id is not null and bands is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "near-copies")
+    banded = copies.select("node", F.explode("bands").alias("bucket"))
     leaders = materialize(banded.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("bucket", "lead"), "near-leaders")
     shared = materialize(banded.join(leaders, "bucket"), "near-shared")
-    first = shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     # Whole texts move once, by id, at any size; later joins see those of documents that share a bucket.
     members = shared.select(F.col("node").alias("id")).distinct().hint("merge")
     texts = materialize(docs.select(F.col("doc_id").alias("id"), "text").join(members, "id"), "near-texts")
-    links = verified(first, texts, sketches, threshold)
-    stars = materialize(components(links), "near-stars")
-    more = _links_across(shared, stars, texts, threshold)
-    if more.head(1):
-        stars = materialize(components(links.unionByName(more)), "near-stars")
+    first = shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    links = verified(first, texts, threshold)
+    more = _links_across(shared, materialize(partial_components(links), "near-parts"), texts, threshold)
+    stars = materialize(components(links.unionByName(more)), "near-stars")
     by_text = copies.join(stars, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
     out = signed.select("doc_id", F.when(F.col("bands").isNotNull(), F.col("digest")).alias("digest"))
     return out.join(materialize(by_text, "near-classes"), "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class_id"))
