@@ -4,10 +4,11 @@ Filter directions form a product code: the space is cut in two halves, each
 half has a small random code, and every pair of code words is a direction. A
 vector passes the filters whose direction it is within a cap of; because a
 direction's score is the sum of two halves' scores, those filters are listed
-from two sorted lists without scoring the others. Vectors at an angle with
-cosine ``threshold`` pass some filter together with a probability that the
-code's size is chosen for; pairs are found by a join on (label, filter) and
-verified by their cosine in double precision.
+from two sorted lists without scoring the others. Several independent codes
+are used, of a size at which vectors with cosine ``threshold`` pass some filter
+together almost surely; pairs are found by a join on (label, filter) and
+verified by their cosine in double precision. The number of vectors of the
+largest label sets the codes' size; recall against brute force is tested.
 
 A filter's vectors are compared in blocks of at most ``BLOCK``: a crowded
 filter becomes one task per pair of blocks, so no task grows. Pairs are never
@@ -25,7 +26,7 @@ further columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, exp, sqrt
+from math import ceil, sqrt
 from statistics import NormalDist
 
 import numpy as np
@@ -38,16 +39,18 @@ from .components import components
 THRESHOLD = 0.93
 #: Vectors of one label that a filter should hold, about.
 CROWD = 128
-#: Filters that a pair at the threshold shares, on average: it shares none
-#: with a probability of about exp(-SHARED).
-SHARED = 8.0
+#: Independent codes. Directions of one code share halves, so what a pair
+#: shares in one comes in clusters; several codes even that out.
+CODES = 4
+#: Filters of each code that a pair at the threshold shares, on average.
+SHARED = 4.0
 BLOCK = 2048
 
 
 class ProductCode:
     """Filter directions for vectors of ``dim`` components."""
 
-    def __init__(self, dim: int, rows: int, threshold: float = THRESHOLD, crowd: int = CROWD, shared: float = SHARED) -> None:
+    def __init__(self, dim: int, rows: int, threshold: float = THRESHOLD, crowd: int = CROWD, shared: float = SHARED, seed: int = 0) -> None:
         normal = NormalDist()
         part = min(0.05, crowd / max(rows, 1))
         cut = normal.inv_cdf(1 - part)
@@ -57,7 +60,7 @@ class ProductCode:
         self.words = max(4, ceil(sqrt(shared / (part * both))))
         self.halves = (dim // 2, dim - dim // 2)
         self.cut = cut / sqrt(dim)
-        rng = np.random.default_rng(20_240 + dim)
+        rng = np.random.default_rng([20_240, dim, seed])
         code = [rng.standard_normal((self.words, h)) for h in self.halves]
         # Both halves have the length their share of the components gives them.
         self.code = [c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300) * sqrt(h / dim) for c, h in zip(code, self.halves, strict=True)]
@@ -84,7 +87,7 @@ def _decode(rows: dict[int, int]):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        codes = {dim: ProductCode(dim, n) for dim, n in rows.items()}
+        codes = {dim: [ProductCode(dim, n, seed=k) for k in range(CODES)] for dim, n in rows.items()}
         for batch in batches:
             lists = batch.column("vector")
             bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
@@ -95,8 +98,10 @@ def _decode(rows: dict[int, int]):
                 x = np.stack([flat[bounds[k] : bounds[k + 1]] for k in at])
                 for lo in range(0, len(at), 1000):
                     unit = x[lo : lo + 1000]
-                    for k, f in zip(at[lo : lo + 1000].tolist(), codes[dim].filters(unit / np.linalg.norm(unit, axis=1, keepdims=True)), strict=True):
-                        found[k] = f
+                    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+                    passed = [[f + n * code.words**2 for f in code.filters(unit)] for n, code in enumerate(codes[dim])]
+                    for k, *own in zip(at[lo : lo + 1000].tolist(), *passed, strict=True):
+                        found[k] = np.concatenate(own).astype(np.int32)
             ends = np.concatenate([[0], np.cumsum([len(f) for f in found])])
             filters = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int32)]), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "label", "copies", "vector")] + [filters], names=["node", "label", "copies", "vector", "filters"])
@@ -195,11 +200,6 @@ def embedding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-def expected_miss(shared: float = SHARED) -> float:
-    """The chance, about, that a pair at the threshold shares no filter."""
-    return exp(-shared)
-
-
 EMBEDDING_SQL = r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
