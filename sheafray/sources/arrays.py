@@ -26,8 +26,15 @@ CODECS = {None: bytes, "zlib": zlib.decompress, "gzip": gzip.decompress, "bz2":
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
-    """A small JSON document from any file system."""
-    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+    """A small JSON document from any file system. Spark's sources pass over
+    names that begin with a dot, as metadata files do, so Hadoop opens it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(conf).open(where)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def array_meta(spark: SparkSession, path: str) -> dict:
