@@ -60,19 +60,19 @@ def find_peaks(values: np.ndarray, prominence: float = 0.0, distance: int = 1) -
 
 
 def crests(profile: np.ndarray, inside: np.ndarray, t: np.ndarray, prominence: float = 0.15, distance: int = 8) -> np.ndarray:
-    """Sub-sample crest positions of a smoothed profile."""
-    if inside.sum() < 20:
+    """Sub-sample crest positions of a smoothed profile; masked samples count
+    as dark, and a crest is no end of the profile."""
+    seen = profile[inside]
+    if len(seen) < 20 or (spread := float(np.subtract(*np.percentile(seen, [95, 5])))) <= 0:
         return np.zeros(0)
-    lo, hi = np.percentile(profile[inside], [5, 95])
-    if hi <= lo:
-        return np.zeros(0)
-    p = find_peaks(np.where(inside, profile, profile[inside].min()), prominence * (hi - lo), distance)
-    p = p[(p > 0) & (p < len(profile) - 1)]
-    p = p[inside[p]]
-    left, mid, right = profile[p - 1], profile[p], profile[p + 1]
-    bend = left - 2 * mid + right
-    shift = np.where(bend < 0, 0.5 * (left - right) / np.where(bend < 0, bend, -1.0), 0.0)
-    return t[p] + np.clip(shift, -0.5, 0.5) * (t[1] - t[0])
+    dark = np.where(inside, profile, seen.min())
+    at = [p for p in find_peaks(dark, prominence * spread, distance).tolist() if 0 < p < len(profile) - 1 and inside[p]]
+    out = []
+    for p in at:
+        rise, fall = profile[p] - profile[p - 1], profile[p] - profile[p + 1]
+        # The parabola's turn; a concave one has rise + fall above 0.
+        out.append(t[p] + (t[1] - t[0]) * min(0.5, max(-0.5, 0.5 * (rise - fall) / (rise + fall))) if rise + fall > 0 else t[p])
+    return np.array(out)
 
 
 def snap_one(t: np.ndarray, crest: np.ndarray, reach: float, least_gap: float, fixed: np.ndarray | None = None) -> tuple[np.ndarray, list[str]]:
@@ -83,6 +83,7 @@ def snap_one(t: np.ndarray, crest: np.ndarray, reach: float, least_gap: float, f
     new, status = t.astype(float).copy(), ["fixed" if fixed is not None and fixed[k] else "no_crest" for k in range(n)]
     if n < 2 or not len(crest):
         return new, status
+    # Half the distance between both neighbours, one-sided at the ends.
     gap = np.gradient(t.astype(float))
     at = np.searchsorted(crest, t)
     left, right = crest[np.clip(at - 1, 0, len(crest) - 1)], crest[np.clip(at, 0, len(crest) - 1)]
@@ -96,15 +97,13 @@ def snap_one(t: np.ndarray, crest: np.ndarray, reach: float, least_gap: float, f
     for k in range(n):
         if status[k] == "snapped":
             new[k] = target[k]
-    while True:
-        for k in np.flatnonzero(np.diff(new) < least_gap).tolist():
-            moved = [j for j in (k, k + 1) if status[j] == "snapped"]
-            if moved:
-                worst = max(moved, key=lambda j: abs(new[j] - t[j]))
-                new[worst], status[worst] = t[worst], "undone"
-                break
-        else:
-            return new, status
+    moved = np.array([s == "snapped" for s in status])
+    while (tight := (np.diff(new) < least_gap) & (moved[:-1] | moved[1:])).any():
+        k = int(tight.argmax())  # the first pair that an undo can part
+        far = np.where(moved[k : k + 2], np.abs(new[k : k + 2] - t[k : k + 2]), -1.0)
+        k += int(far.argmax())
+        new[k], moved[k], status[k] = t[k], False, "undone"
+    return new, status
 
 
 def snap_rays(points: DataFrame, crests_: DataFrame, reach: float = 0.5, least_gap: float = 4.0) -> DataFrame:
