@@ -101,40 +101,29 @@ def _packets(packet: int):
 
 def _cut(window: int):
     """One slice's packets, in order, cut at window ends; neighbouring packets
-    of a document in the same window join to one piece."""
+    of a document in the same window are one piece."""
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
-        table = table.sort_by([("sent", "ascending"), ("source", "ascending"), ("queue_at", "ascending")])
+        table = table.sort_by([("sent", "ascending"), ("source", "ascending"), ("queue_at", "ascending")]).combine_chunks()
         base = table.column("slice_start")[0].as_py()
-        out: list[list] = [[] for _ in range(7)]
-        place, last = base, None
-
-        def flush(piece) -> None:
-            doc, start, ids, tokens, where = piece
-            raw = np.frombuffer(b"".join(ids), "<u2").astype("<u4").tobytes()
-            for column, value in zip(out, (doc, start, len(raw) // 4, zlib.crc32(raw), tokens, where // window, where % window), strict=True):
-                column.append(value)
-
-        for source, at, doc, start, n, tokens, ids in zip(*[table.column(c).to_pylist() for c in ("source", "queue_at", "doc_id", "start", "n", "doc_tokens", "ids")], strict=True):
-            done = 0
-            while done < n:
-                k = min(n - done, window - place % window)
-                key = (source, at - start, at + done)
-                if last and last[0] == key and place % window:
-                    last[1][2].append(ids[2 * done : 2 * (done + k)])
-                else:
-                    if last:
-                        flush(last[1])
-                    last = [None, (doc, start + done, [ids[2 * done : 2 * (done + k)]], tokens, place)]
-                done += k
-                place += k
-                last[0] = (source, at - start, at + done)
-        if last:
-            flush(last[1])
-        return pa.table([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        queue_at, start, n = (table.column(c).to_numpy() for c in ("queue_at", "start", "n"))
+        source = table.column("source").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        place = np.cumsum(n, dtype=np.int64) - n
+        total = int(n.sum())
+        # A packet goes on where its forerunner ended: the same queue, and not a document's start.
+        on = np.zeros(len(n), bool)
+        on[1:] = (source[1:] == source[:-1]) & (queue_at[1:] == queue_at[:-1] + n[:-1]) & (start[1:] > 0)
+        begin = np.union1d(place[~on], np.arange(-base % window, total, window))
+        packet = np.searchsorted(place, begin, "right") - 1
+        length = np.diff(np.append(begin, total))
+        ids = memoryview(np.frombuffer(b"".join(table.column("ids").to_pylist()), "<u2").astype("<u4")).cast("B")
+        crc = [zlib.crc32(ids[4 * a : 4 * (a + k)]) for a, k in zip(begin.tolist(), length.tolist(), strict=True)]
+        at = base + begin
+        columns = [table.column("doc_id").take(pa.array(packet)), pa.array(start[packet] + begin - place[packet]), pa.array(length), pa.array(crc, pa.int64()), table.column("doc_tokens").take(pa.array(packet)), pa.array(at // window), pa.array(at % window)]
+        return pa.table(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return run
 

@@ -65,6 +65,9 @@ class Encoder:
         first word does not, so the caller encodes that one apart.
         """
         if not self.byte:
+            # Case goes anyway, letter by letter: only these two depend on more, and special tokens keep theirs.
+            if "<|" not in text and "\u03a3" not in text and "\u0130" not in text:
+                text = text.lower()
             return text.replace("\n", " ").split(" ")
         return None if _ODD_SPACE.search(text) else text.split(" ")
 
