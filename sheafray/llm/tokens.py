@@ -23,7 +23,7 @@ import numpy as np
 #: each time.
 MEMO_PIECES = 550_000
 MEMO_RUNS = 300_000
-_ODD_SPACE = re.compile(r" (?![\w!-~])")
+_VISIBLE = re.compile(r"[\w!-~]")
 _ODD_PIECE = re.compile(r"'|<\||\s\s")
 _RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -52,24 +52,21 @@ class Encoder:
         self.byte = kind == "byte"
         self.space = " " if self.byte else ""
         self.letters = _byte_letters()
-        self.memo: dict[str, bytes] = {"": b""}
+        self.memo: dict[str, bytes] = {} if self.byte else {"": b""}
         self.runs: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def pieces(self, text: str) -> list[str] | None:
-        """The words to look up, or None if the text must be encoded whole.
-
-        For a byte-level vocabulary each stands behind one space; a text's
-        first word does not, so the caller encodes that one apart.
-        """
-        if not self.byte:
-            # Case goes anyway, letter by letter: only these two depend on more, and special tokens keep theirs.
-            if "<|" not in text and "\u03a3" not in text and "\u0130" not in text:
-                text = text.lower()
-            return text.replace("\n", " ").split(" ")
-        return None if _ODD_SPACE.search(text) else text.split(" ")
+    def pieces(self, text: str) -> list[str]:
+        """The words to look up. For a byte-level vocabulary each but the
+        first stands behind one space."""
+        if self.byte:
+            return text.split(" ")
+        # Case goes anyway, letter by letter: only these two depend on more, and special tokens keep theirs.
+        if "<|" not in text and "\u03a3" not in text and "\u0130" not in text:
+            text = text.lower()
+        return text.replace("\n", " ").split(" ")
 
     def run(self, text: str) -> bytes:
         """A run of letters, perhaps behind a space, or of other characters."""
@@ -87,45 +84,45 @@ class Encoder:
                 self.runs[text] = found
         return found
 
-    def piece(self, word: str) -> bytes:
+    def piece(self, word: str, space: str) -> bytes:
         """A piece that is not kept yet."""
         plain = word.isascii() or ("\u0130" not in word and unicodedata.is_normalized("NFC", word))
         if plain and word.isalpha():
-            return self.run(self.space + word)
+            return self.run(space + word)
         if not plain or _ODD_PIECE.search(word):
-            return self.whole(self.space + word)
+            return self.whole(space + word)
         runs = _RUNS.findall(word)
         if not word.isascii() and any(r[0].isalnum() and not (r.isalpha() or r[0].isdecimal()) for r in runs):
-            return self.whole(self.space + word)
-        return self.run(self.space + runs[0]) + b"".join(map(self.run, runs[1:]))
+            return self.whole(space + word)
+        return self.run(space + runs[0]) + b"".join(map(self.run, runs[1:]))
+
+    def encode(self, text: str) -> bytes:
+        known, get = self.memo, self.memo.get
+        words = self.pieces(text)
+        first = b""
+        if self.byte:
+            first = self.piece(words[0], "") if words[0] else b""
+            words = words[1:]
+        found = list(map(get, words))
+        j = -1
+        try:
+            while True:
+                j = found.index(None, j + 1)
+                w = words[j]
+                v = get(w)
+                if v is None:
+                    # No kept piece is empty or begins with what may be white space, so such spacing shows here.
+                    if self.byte and not _VISIBLE.match(w):
+                        return self.whole(text)
+                    v = self.piece(w, self.space)
+                    if len(known) < MEMO_PIECES:
+                        known[w] = v
+                found[j] = v
+        except ValueError:  # none is left
+            return first + b"".join(found)
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        known = self.memo
-        get = known.get
-        out: list[bytes] = [b""] * len(texts)
-        for k, text in enumerate(texts):
-            if not text:
-                continue
-            words = self.pieces(text)
-            if words is None:
-                out[k] = self.whole(text)
-                continue
-            first = b""
-            if self.byte and words[0]:
-                first = self.whole(words[0])
-                words[0] = ""
-            found = list(map(get, words))
-            j = -1
-            try:
-                while True:
-                    j = found.index(None, j + 1)
-                    found[j] = v = get(words[j]) or self.piece(words[j])
-                    if len(known) < MEMO_PIECES:
-                        known[words[j]] = v
-            except ValueError:  # none is left
-                pass
-            out[k] = first + b"".join(found)
-        return out
+        return [self.encode(t) if t else b"" for t in texts]
 
 
 def release() -> None:
