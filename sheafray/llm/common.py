@@ -34,9 +34,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What this driver has written to the shared folder.
+_WRITTEN: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the tables that this driver's operators left in the shared
+    folder, once their results have been written or counted: results read
+    them until then. Returns how many there were."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        where = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        where.getFileSystem(conf).delete(where, True)
+    return n
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
