@@ -72,12 +72,13 @@ class Encoder:
         """A run of letters, perhaps behind a space, or of other characters."""
         found = self.runs.get(text)
         if found is None:
-            letters = text[1:] if self.byte and text[0] == " " else text
+            spaced = self.byte and text[0] == " "
+            letters = text[1:] if spaced else text
             # Latin letters have one lower case each; the dotted I never comes here.
-            if letters.isalpha() and max(letters) < "\u0250":
-                plain = text if self.byte else letters.lower()
-                shown = plain.encode().decode("latin-1").translate(self.letters)
-                found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0250"):
+                plain = letters if self.byte else letters.lower()
+                shown = plain if plain.isascii() else "".join(map(self.letters.__getitem__, plain.encode()))
+                found = array("I", [t.id for t in self.model.tokenize(self.letters[32] + shown if spaced else shown)]).tobytes()
             else:
                 found = self.whole(text)
             if len(self.runs) < MEMO_RUNS:
