@@ -18,10 +18,10 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample points, one an event: key, z, y, x."""
     e = points(spark, sf_dir)
     part = lambda k, m: F.col("event_id") * k % 1000 / 1000.0 * m
-    return e.select(F.col("event_id").alias("key"), part(7, 498.0).alias("z"), part(13, 6.5).alias("y"), part(29, 6.5).alias("x"))
+    return e.select(F.col("event_id").alias("key"), part(7, 497.93171).alias("z"), part(13, 6.48713).alias("y"), part(29, 6.47917).alias("x"))
 
 
-_PLACES = "pl AS (SELECT event_id AS key, event_id * 7 % 1000 / 1000.0::DOUBLE * 498 AS z, event_id * 13 % 1000 / 1000.0::DOUBLE * 6.5 AS y, event_id * 29 % 1000 / 1000.0::DOUBLE * 6.5 AS x FROM pt)"
+_PLACES = "pl AS (SELECT event_id AS key, event_id * 7 % 1000 / 1000.0::DOUBLE * 497.93171::DOUBLE AS z, event_id * 13 % 1000 / 1000.0::DOUBLE * 6.48713::DOUBLE AS y, event_id * 29 % 1000 / 1000.0::DOUBLE * 6.47917::DOUBLE AS x FROM pt)"
 _CORNERS = "co AS (SELECT * FROM (SELECT key, floor(z)::INT + a AS iz, floor(y)::INT + b AS iy, floor(x)::INT + c AS ix, (CASE a WHEN 1 THEN z - floor(z) ELSE 1 - (z - floor(z)) END) * (CASE b WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE c WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM pl, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b), (SELECT unnest([0, 1]) AS c)) WHERE w <> 0)"
 
 
