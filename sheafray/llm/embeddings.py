@@ -8,7 +8,11 @@ from two sorted lists without scoring the others. Several independent codes
 are used, of a size at which vectors with cosine ``threshold`` pass some filter
 together almost surely; pairs are found by a join on (label, filter) and
 verified by their cosine in double precision. The number of vectors of the
-largest label sets the codes' size; recall against brute force is tested.
+largest label sets the codes' size, by the scores' own distribution at the
+vectors' dimension (tails on the sphere are lighter than normal ones); recall
+is tested against brute force, and of pairs at the threshold for labels of up
+to 1e8 vectors. Vectors are turned at random before each code, so that no
+vector's halves are uneven in all of them.
 
 A filter's vectors are compared in blocks of at most ``BLOCK``: a crowded
 filter becomes one task per pair of blocks, so no task grows. Pairs are never
@@ -26,6 +30,7 @@ further columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import ceil, sqrt
 from statistics import NormalDist
 
@@ -44,26 +49,66 @@ CROWD = 128
 CODES = 4
 #: Filters of each code that a pair at the threshold shares, on average.
 SHARED = 4.0
+#: Directions drawn to size the codes.
+DRAWS = 40_000
+#: Shorter vectors are all compared, block by block.
+LEAST_DIM = 8
 BLOCK = 2048
 
 
+@lru_cache(maxsize=64)
+def code_size(dim: int, rows: int, threshold: float = THRESHOLD, crowd: int = CROWD, shared: float = SHARED) -> tuple[float, int]:
+    """The cap's least score, which crowd of ``rows`` vectors reach on average,
+    and the words of each half, with which a pair at the threshold shares
+    ``shared`` filters on average. Seeded Monte Carlo with directions drawn
+    near the vectors and weighted, as caps are rare. In so few dimensions that
+    halves have hardly any directions, one filter holds all vectors."""
+    if dim < LEAST_DIM:
+        return float("-inf"), 1
+    rng = np.random.default_rng([20_241, dim])
+    part = min(0.05, crowd / max(rows, 1))
+    far = NormalDist().inv_cdf(1 - part)
+    half = dim // 2
+    one, joint = [], []
+    for n in [min(DRAWS, 1 + 4_000_000 // dim)] * ceil(DRAWS / min(DRAWS, 1 + 4_000_000 // dim)):
+        x, y, g = (rng.standard_normal((n, dim)) for _ in range(3))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+        y = threshold * x + sqrt(1 - threshold**2) * y
+
+        def drawn(shift: np.ndarray, *vectors: np.ndarray) -> np.ndarray:
+            """Scores of the vectors under shifted directions, and weights."""
+            d = g + shift  # noqa: B023
+            weight = np.exp((shift * shift).sum(axis=1) / 2 - (d * shift).sum(axis=1))
+            for h in (slice(0, half), slice(half, dim)):
+                d[:, h] *= sqrt((h.stop - h.start) / dim) / np.maximum(np.linalg.norm(d[:, h], axis=1, keepdims=True), 1e-300)
+            return np.stack([(d * v).sum(axis=1) for v in vectors] + [weight])
+
+        one.append(drawn(far * x, x))
+        joint.append(drawn(far / (1 + threshold) * (x + y), x, y))
+    score, weight = np.concatenate(one, axis=1)
+    order = np.argsort(-score)
+    reached = np.cumsum(weight[order]) / len(order)
+    cut = float(score[order[min(int(np.searchsorted(reached, part)), len(order) - 1)]])
+    a, b, weight = np.concatenate(joint, axis=1)
+    both = float((weight * (np.minimum(a, b) >= cut)).mean())
+    # Numbers of filters are 32-bit.
+    most = int(sqrt((2**31 - 1) / CODES))
+    return cut, max(4, min(most, ceil(sqrt(shared / max(both, 1e-300)))))
+
+
 class ProductCode:
     """Filter directions for vectors of ``dim`` components."""
 
-    def __init__(self, dim: int, rows: int, threshold: float = THRESHOLD, crowd: int = CROWD, shared: float = SHARED, seed: int = 0) -> None:
-        normal = NormalDist()
-        part = min(0.05, crowd / max(rows, 1))
-        cut = normal.inv_cdf(1 - part)
-        # The share of a cap that a neighbour at the threshold is in too.
-        steps = [part * (k + 0.5) / 64 for k in range(64)]
-        both = sum(1 - normal.cdf((cut - threshold * normal.inv_cdf(1 - p)) / sqrt(1 - threshold**2)) for p in steps) / 64
-        self.words = max(4, ceil(sqrt(shared / (part * both))))
+    def __init__(self, dim: int, rows: int, threshold: float = THRESHOLD, crowd: int = CROWD, shared: float = SHARED, seed: int = 0, size: tuple[float, int] | None = None) -> None:
+        self.cut, self.words = size or code_size(dim, rows, threshold, crowd, shared)
         self.halves = (dim // 2, dim - dim // 2)
-        self.cut = cut / sqrt(dim)
         rng = np.random.default_rng([20_240, dim, seed])
         code = [rng.standard_normal((self.words, h)) for h in self.halves]
         # Both halves have the length their share of the components gives them.
         self.code = [c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300) * sqrt(h / dim) for c, h in zip(code, self.halves, strict=True)]
+        self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
 
     def filters(self, unit: np.ndarray) -> list[np.ndarray]:
         """For each unit vector its filters, ascending: list decoding."""
@@ -83,11 +128,13 @@ class ProductCode:
 def _decode(rows: dict[int, int]):
     """Give each vector its filters; ``rows`` has the largest label's vectors
     by the number of components."""
+    # Sized here, once, so that all executors have the same codes.
+    sizes = {dim: code_size(dim, n) for dim, n in rows.items()}
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        codes = {dim: [ProductCode(dim, n, seed=k) for k in range(CODES)] for dim, n in rows.items()}
+        codes = {dim: [ProductCode(dim, n, seed=k, size=sizes[dim]) for k in range(CODES)] for dim, n in rows.items()}
         for batch in batches:
             lists = batch.column("vector")
             bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
@@ -96,11 +143,12 @@ def _decode(rows: dict[int, int]):
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
                 x = np.stack([flat[bounds[k] : bounds[k + 1]] for k in at])
-                for lo in range(0, len(at), 1000):
-                    unit = x[lo : lo + 1000]
+                few = max(16, min(1000, 2_000_000 // sizes[dim][1]))
+                for lo in range(0, len(at), few):
+                    unit = x[lo : lo + few]
                     unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-                    passed = [[f + n * code.words**2 for f in code.filters(unit)] for n, code in enumerate(codes[dim])]
-                    for k, *own in zip(at[lo : lo + 1000].tolist(), *passed, strict=True):
+                    passed = [[f + n * code.words**2 for f in code.filters(unit @ code.turn)] for n, code in enumerate(codes[dim])]
+                    for k, *own in zip(at[lo : lo + few].tolist(), *passed, strict=True):
                         found[k] = np.concatenate(own).astype(np.int32)
             ends = np.concatenate([[0], np.cumsum([len(f) for f in found])])
             filters = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int32)]), pa.int32()))

@@ -127,3 +127,18 @@ def test_list_decoding_lists_every_filter():
     for v, found in zip(unit, code.filters(unit), strict=True):
         score = (code.code[0] @ v[:16])[:, None] + (code.code[1] @ v[16:])[None, :]
         assert found.tolist() == np.flatnonzero(score.ravel() >= code.cut).tolist()
+
+
+@pytest.mark.parametrize("rows", [10**4, 10**6, 10**8])
+def test_pairs_at_the_threshold_share_filters_at_any_size(rows):
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal((2, 150, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.931 * x + (1 - 0.931**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    shared = np.zeros(150)
+    for k in range(embeddings.CODES):
+        code = embeddings.ProductCode(64, rows, seed=k)
+        shared += [len(np.intersect1d(a, b)) for a, b in zip(code.filters(x), code.filters(y), strict=True)]
+    assert (shared > 0).mean() >= 0.95
+    assert shared.mean() >= 0.7 * embeddings.CODES * embeddings.SHARED
