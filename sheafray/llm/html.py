@@ -6,9 +6,12 @@ its blocks, told apart likewise. Tokens of one host that occur equally often
 on every page, that is, share their occurrence vector, form a class; a class
 with enough tokens and pages is valid, valid classes nest in each other's
 gaps, and together they are the host's template. What stands between template
-tokens are slots. Strings that are template tokens are boilerplate; of the
-slots, those of the article are extracted: the slots under an article or main
-tag of the template, else those that hold the most text over the host's pages.
+tokens are slots. Strings that are template tokens are boilerplate. Of the
+rest, a page's article or main element is extracted if it has one; else all
+that stands in the container, the lowest element around the slots that hold
+the most text over the host's pages and around first headings. A page whose
+container holds less than half of its text, or that has none, is extracted
+whole. Paths have no digits of ids and class names, as pages number them.
 Menus, page headers, footers, sidebars, notices, adverts, forms, scripts and
 comments of readers are told by their tags, roles and class names.
 
@@ -29,7 +32,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
+from itertools import takewhile
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +52,7 @@ LEAST_TOKENS = 3
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,6 +62,8 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 CLOSES_P = BLOCK - {"br", "body", "html", "head", "caption", "legend", "summary", "tbody", "tfoot", "thead", "tr"}
+#: Tags that may be the container of an article.
+HOLDERS = frozenset("body center div section td".split())
 #: Tags and roles whose content is not the article.
 ASIDE = frozenset("nav footer aside form button dialog menu head fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -86,13 +95,33 @@ def _aside(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def parse(html: str) -> tuple[list[int], list[tuple[int, str, bool, int]]]:
-    """Hashes of the page's tag tokens, and its blocks outside asides as
-    (path, text, within article or main, tokens before it)."""
+@lru_cache(maxsize=50_000)
+def _label(name: str, attributes: str) -> str:
+    """An element in a path: its tag, class and id, without digits."""
+    if "class" not in attributes and "id=" not in attributes:
+        return name
+    return name + "".join(f" {k.lower()}={_DIGITS.sub('', v)}" for k, v in _ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id"))
+
+
+class Block(NamedTuple):
+    path: int
+    text: str
+    #: Within an article or main element.
+    inside: bool
+    #: Tags before it.
+    place: int
+    #: Paths of the holders around its own element.
+    above: tuple[int, ...]
+    #: In a first heading.
+    title: bool
+
+
+def parse(html: str) -> tuple[list[int], list[Block]]:
+    """Hashes of the page's tag tokens, and its blocks outside asides."""
     tags: list[int] = []
-    blocks: list[tuple[int, str, bool, int]] = []
-    # Open elements: name, hash of the path, aside, within the article.
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    blocks: list[Block] = []
+    # Open elements: name, hash of the path, aside, within the article, holders around it.
+    stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = [("", 0, False, False, ())]
     buffer: list[str] = []
     names: dict[str, int] = {}
     at, end = 0, len(html)
@@ -102,7 +131,8 @@ def parse(html: str) -> tuple[list[int], list[tuple[int, str, bool, int]]]:
             text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
-                blocks.append((stack[-1][1], text, stack[-1][3], len(tags)))
+                top = stack[-1]
+                blocks.append(Block(top[1], text, top[3], len(tags), top[4], names.get("h1", 0) > 0))
 
     def close(name: str) -> None:
         for depth in range(len(stack) - 1, 0, -1):
@@ -143,7 +173,7 @@ def parse(html: str) -> tuple[list[int], list[tuple[int, str, bool, int]]]:
             buffer.append(" ")
         top = stack[-1]
         content = name in ("article", "main") or ("main" in attributes and 'role="main"' in attributes)
-        path = _hash(f"{top[1]:x}/{name}{attributes if 'class' in attributes or 'id=' in attributes else ''}")
+        path = _hash(f"{top[1]:x}/{_label(name, attributes)}")
         tags.append(path)
         if name in VOID or attributes.endswith("/") and name in ("br", "hr"):
             continue
@@ -154,7 +184,8 @@ def parse(html: str) -> tuple[list[int], list[tuple[int, str, bool, int]]]:
         # An article after an unclosed menu or header is an article still.
         aside = (top[2] and not (content and not top[3])) or _aside(name, attributes, top[3])
         names[name] = names.get(name, 0) + 1
-        stack.append((name, path, aside, top[3] or content))
+        above = top[4] + (top[1],) if top[0] in HOLDERS else top[4]
+        stack.append((name, path, aside, top[3] or content, above))
     flush()
     return tags, blocks
 
@@ -163,7 +194,7 @@ def _string(path: int, text: str) -> int:
     return _hash(f"{path:x}|{text}")
 
 
-_COUNTS = "host string, token long, kind int, path long, pages long, vector long, place double, chars long"
+_COUNTS = "host string, token long, kind int, path long, pages long, vector long, place double, chars long, above array<long>"
 
 
 def _signed(x: int) -> int:
@@ -173,31 +204,35 @@ def _signed(x: int) -> int:
 
 def _count(batches: Iterator) -> Iterator:
     """Partial counts by host and token; kind 0 is the page, 1 a tag, 2 a
-    string, 3 a slot (the text of one path outside any article)."""
+    string, 3 a slot (the text of one path; its token is 1 within articles, 2
+    in first headings). A page's chars are those outside articles."""
     import pyarrow as pa
 
     sums: dict[tuple, list] = {}
 
     def rows():
         keys, values = list(sums), list(sums.values())
-        columns = [[k[0] for k in keys], [_signed(k[1]) for k in keys], [k[2] for k in keys], [_signed(k[3]) for k in keys], [v[0] for v in values], [_signed(v[1]) for v in values], [v[2] for v in values], [v[3] for v in values]]
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+        columns = [[k[0] for k in keys], [_signed(k[1]) for k in keys], [k[2] for k in keys], [_signed(k[3]) for k in keys], [v[0] for v in values], [_signed(v[1]) for v in values], [v[2] for v in values], [v[3] for v in values], [[_signed(a) for a in v[4]] for v in values]]
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()))
         sums.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "token", "kind", "path", "pages", "vector", "place", "chars"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "token", "kind", "path", "pages", "vector", "place", "chars", "above"])
 
     for batch in batches:
         for host, key, html in zip(batch.column("host").to_pylist(), batch.column("key").to_pylist(), batch.column("html").to_pylist(), strict=True):
             tags, blocks = parse(html or "")
-            own: dict[tuple, list] = {(host, 0, 0, 0): [1, 0.0, 0]}
+            page = [1, 0.0, 0, ()]
+            own: dict[tuple, list] = {(host, 0, 0, 0): page}
             for k, tag in enumerate(tags):
-                own.setdefault((host, tag, 1, tag), [0, float(k), 0])[0] += 1
-            for path, text, inside, place in blocks:
-                own.setdefault((host, _string(path, text), 2, path), [0, place + 0.5, 0])[0] += 1
-                slot = own.setdefault((host, 1 if inside else path, 3, path if not inside else 0), [0, place + 0.5, 0])
+                own.setdefault((host, tag, 1, tag), [0, float(k), 0, ()])[0] += 1
+            for path, text, inside, place, above, title in blocks:
+                own.setdefault((host, _string(path, text), 2, path), [0, place + 0.5, 0, ()])[0] += 1
+                slot = own.setdefault((host, 1 if inside else 2 if title else path, 3, path if not inside else 0), [0, place + 0.5, 0, () if inside else above])
                 slot[0] += 1
                 slot[2] += len(text)
-            for token, (n, place, chars) in own.items():
-                s = sums.setdefault(token, [0, 0, 0.0, 0])
+                if not inside:
+                    page[2] += len(text)
+            for token, (n, place, chars, above) in own.items():
+                s = sums.setdefault(token, [0, 0, 0.0, 0, above])
                 s[0] += 1
                 s[1] = (s[1] + n * key) & (2**64 - 1)
                 s[2] += place
@@ -209,7 +244,7 @@ def _count(batches: Iterator) -> Iterator:
 
 def _template(table):
     """One host's template from its frequent tokens: the strings to drop and
-    the slots to extract where no article is marked."""
+    the container to extract where no article is marked."""
     import pyarrow as pa
 
     rows = table.to_pylist()
@@ -228,16 +263,18 @@ def _template(table):
         if outer or not crossing or c[0]["pages"] == pages:
             nested.append(c)
     drop = [r["token"] for c in nested for r in c if r["kind"] == 2 and pages >= LEAST_PAGES and r["pages"] >= STRING_SUPPORT * pages]
-    slots = [r for r in rows if r["kind"] == 3]
-    marked = any(r["token"] == 1 and r["path"] == 0 for r in slots)
-    loose = [r for r in slots if r["path"] != 0]
+    loose = [r for r in rows if r["kind"] == 3 and r["token"] != 1]
     most = max((r["chars"] for r in loose), default=0)
-    chosen = [] if marked else [r["path"] for r in loose if 4 * r["chars"] >= most]
-    return pa.table({"host": pa.array([host], pa.string()), "drop": pa.array([drop], pa.list_(pa.int64())), "slots": pa.array([chosen], pa.list_(pa.int64()))})
+    heavy = [r["above"] for r in loose if 4 * r["chars"] >= most or r["token"] == 2]
+    shared = [level[0] for level in takewhile(lambda level: len(set(level)) == 1, zip(*heavy))]  # noqa: B905
+    within = sum(r["chars"] for r in loose if shared and shared[-1] in r["above"])
+    # Where paths differ by page, the frequent ones say nothing of the article.
+    container = shared[-1] if pages >= LEAST_PAGES and shared and 2 * within >= rows[0]["host_chars"] else None
+    return pa.table({"host": pa.array([host], pa.string()), "drop": pa.array([drop], pa.list_(pa.int64())), "container": pa.array([container], pa.int64())})
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, drop, slots), one row per host, from (host, key, html)."""
+    """(host, drop, container), one row per host, from (host, key, html)."""
     counts = pages.mapInArrow(_count, _COUNTS).groupBy("host", "token", "kind", "path").agg(
         F.sum("pages").alias("pages"),
         # Sums of 64-bit numbers modulo 2**64, in two halves so that they cannot overflow.
@@ -245,21 +282,26 @@ def templates(pages: DataFrame) -> DataFrame:
         F.sum(F.col("vector").bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
         F.sum("place").alias("place"),
         F.sum("chars").alias("chars"),
+        # A path is a hash of the paths around it: equal on all rows.
+        F.first("above").alias("above"),
     )
     vector = ((F.col("high").bitwiseAND(F.lit(0x3FFFFFFF)) * F.lit(1 << 32)).bitwiseXOR(F.col("low"))).alias("vector")
-    counts = materialize(counts.select("host", "token", "kind", "path", "pages", vector, "place", "chars"), "html-counts")
-    hosts = counts.where("kind = 0").select("host", F.col("pages").alias("host_pages"))
+    counts = materialize(counts.select("host", "token", "kind", "path", "pages", vector, "place", "chars", "above"), "html-counts")
+    hosts = counts.where("kind = 0").select("host", F.col("pages").alias("host_pages"), F.col("chars").alias("host_chars"))
     frequent = counts.where("kind > 0").join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("host_pages"))
-    return frequent.groupBy("host").applyInArrow(_template, "host string, drop array<long>, slots array<long>")
+    return frequent.groupBy("host").applyInArrow(_template, "host string, drop array<long>, container long")
 
 
-def page_text(html: str | None, drop: set[int], slots: set[int]) -> str:
+def page_text(html: str | None, drop: set[int], container: int | None) -> str:
     """The text of a page under its host's template."""
     _, blocks = parse(html or "")
-    blocks = [b for b in blocks if not drop or _signed(_string(b[0], b[1])) not in drop]
-    article = [b for b in blocks if b[2]]
-    chosen = article or [b for b in blocks if _signed(b[0]) in slots] or blocks
-    return "\n".join(b[1] for b in chosen)
+    blocks = [b for b in blocks if not drop or _signed(_string(b.path, b.text)) not in drop]
+    chosen = [b for b in blocks if b.inside]
+    if not chosen and container is not None:
+        chosen = [b for b in blocks if any(_signed(a) == container for a in b.above)]
+        if 2 * sum(len(b.text) for b in chosen) < sum(len(b.text) for b in blocks):
+            chosen = blocks
+    return "\n".join(b.text for b in chosen or blocks)
 
 
 def _extract(batches: Iterator) -> Iterator:
@@ -268,7 +310,7 @@ def _extract(batches: Iterator) -> Iterator:
     for batch in batches:
         sets: dict[tuple, set[int]] = {}
         as_set = lambda x: sets.setdefault(tuple(x or ()), set(x or ()))
-        texts = [page_text(h, as_set(d), as_set(s)) for h, d, s in zip(*[batch.column(c).to_pylist() for c in ("html", "drop", "slots")], strict=True)]
+        texts = [page_text(h, as_set(d), c) for h, d, c in zip(*[batch.column(c).to_pylist() for c in ("html", "drop", "container")], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -278,7 +320,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url").alias("key"))
     # One row per host; Spark broadcasts it if its measured size allows, else joins by host and splits crowded ones.
     known = materialize(templates(rows.select("host", "key", "html")), "html-templates")
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "drop", "slots").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.join(known, "host", "left").select("page_id", "url", "html", "drop", "container").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:

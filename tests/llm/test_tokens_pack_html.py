@@ -90,3 +90,19 @@ def test_html(spark):
         assert got[100 + k] == [f"Body {k} " + " ".join(["text"] * 30)]
     assert [got[k][0] for k in (200, 201, 202, 203, 204)] == ["", "", "plain words", "cut off\nhere", "unclosed menu"]
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def _texts(spark, bodies):
+    rows = [(k, f"http://plain/{k}", f"<html>{b}</html>") for k, b in enumerate(bodies)]
+    return {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+@pytest.mark.parametrize("number", ["", "{k}"])
+def test_html_without_an_article_keeps_every_block(spark, number):
+    long = "These words of page {k} go on for long. " * 12
+    body = f"<body><div class='date'>day {{k}} by an author</div><div id='post-{number}'><h1>Title {{k}}</h1><div class='text'><p>{long}</p><h2>Part {{k}}</h2><ul><li>Point {{k}}</li></ul><blockquote>Quote {{k}}</blockquote><pre>code {{k}}</pre><p>{long}</p></div></div></body>"
+    for pages in (12, 3):
+        for k, text in _texts(spark, [body.format(k=k) for k in range(pages)]).items():
+            lines = text.split("\n")
+            article = [f"Title {k}", long.format(k=k).strip(), f"Part {k}", f"Point {k}", f"Quote {k}", f"code {k}", long.format(k=k).strip()]
+            assert lines == (article if pages == 12 else [f"day {k} by an author", *article])
