@@ -12,8 +12,12 @@ that stands in the container, the lowest element around the slots that hold
 the most text over the host's pages and around first headings. A page whose
 container holds less than half of its text, or that has none, is extracted
 whole. Paths have no digits of ids and class names, as pages number them.
-Menus, page headers, footers, sidebars, notices, adverts, forms, scripts and
-comments of readers are told by their tags, roles and class names.
+Menus, page headers, footers, sidebars, adverts and forms are told by their
+tags and roles. Words of class names and ids only make an element doubtful: it
+is left out if it holds at most a quarter of its page's text, or at most half
+and its path is on half of the host's pages, or the host has no template. An
+element with most of the text, or with an article, and body, main and article
+themselves are never left out for a word; elements within are judged anew.
 
 Vectors are never built: a page has a random 64-bit number, and the sum over
 pages of count times that number is a token's fingerprint, equal for equal
@@ -46,7 +50,8 @@ from .common import materialize
 LEAST_PAGES = 8
 #: Share of a host's pages that a template token is on.
 SUPPORT = 0.5
-#: Strings are dropped only if on nearly all pages of the host.
+#: Strings whose class has no tag are dropped only if on nearly all pages of
+#: the host; a class with tags is a template, and its pages all carry it.
 STRING_SUPPORT = 0.95
 LEAST_TOKENS = 3
 
@@ -84,10 +89,7 @@ def _aside(name: str, attributes: str, in_article: bool) -> bool:
         return True
     for key, value in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id"):
-            if any(w.lower() in ASIDE_WORDS for w in _WORD.findall(value)):
-                return True
-        elif key == "role":
+        if key == "role":
             if value.lower() in ASIDE_ROLES:
                 return True
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
@@ -95,6 +97,15 @@ def _aside(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+@lru_cache(maxsize=50_000)
+def _doubtful(name: str, attributes: str) -> bool:
+    """Whether a class name or id has a word of asides."""
+    if name in ("html", "body", "main", "article"):
+        return False
+    values = [v for k, v in _ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id")]
+    return any(w.lower() in ASIDE_WORDS for v in values for w in _WORD.findall(v))
+
+
 @lru_cache(maxsize=50_000)
 def _label(name: str, attributes: str) -> str:
     """An element in a path: its tag, class and id, without digits."""
@@ -114,14 +125,19 @@ class Block(NamedTuple):
     above: tuple[int, ...]
     #: In a first heading.
     title: bool
+    #: Paths of doubtful elements around it that the template decides on.
+    doubts: tuple[int, ...]
 
 
-def parse(html: str) -> tuple[list[int], list[Block]]:
-    """Hashes of the page's tag tokens, and its blocks outside asides."""
+def parse(html: str) -> tuple[list[int], list[Block], set[int]]:
+    """Hashes of the page's tag tokens, its blocks outside asides, and the
+    paths of its doubtful elements."""
     tags: list[int] = []
-    blocks: list[Block] = []
-    # Open elements: name, hash of the path, aside, within the article, holders around it.
-    stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = [("", 0, False, False, ())]
+    kept: list[tuple[Block, tuple[int, ...]]] = []
+    # Elements with a word of asides: path, chars, whether with an article.
+    worded: list[list] = []
+    # Open elements: name, hash of the path, aside, within the article, holders around it, worded ones around its content.
+    stack: list[tuple[str, int, bool, bool, tuple[int, ...], tuple[int, ...]]] = [("", 0, False, False, (), ())]
     buffer: list[str] = []
     names: dict[str, int] = {}
     at, end = 0, len(html)
@@ -132,7 +148,9 @@ def parse(html: str) -> tuple[list[int], list[Block]]:
             buffer.clear()
             if text:
                 top = stack[-1]
-                blocks.append(Block(top[1], text, top[3], len(tags), top[4], names.get("h1", 0) > 0))
+                kept.append((Block(top[1], text, top[3], len(tags), top[4], names.get("h1", 0) > 0, ()), top[5]))
+                for k in top[5]:
+                    worded[k][1] += len(text)
 
     def close(name: str) -> None:
         for depth in range(len(stack) - 1, 0, -1):
@@ -185,9 +203,20 @@ def parse(html: str) -> tuple[list[int], list[Block]]:
         aside = (top[2] and not (content and not top[3])) or _aside(name, attributes, top[3])
         names[name] = names.get(name, 0) + 1
         above = top[4] + (top[1],) if top[0] in HOLDERS else top[4]
-        stack.append((name, path, aside, top[3] or content, above))
+        marks = top[5]
+        if content and not top[3]:
+            for k in marks:
+                worded[k][2] = True
+        elif _doubtful(name, attributes):
+            marks = (*marks, len(worded))
+            worded.append([path, 0, False])
+        stack.append((name, path, aside, top[3] or content, above, marks))
     flush()
-    return tags, blocks
+    total = sum(len(b.text) for b, _ in kept)
+    doubtful = {k for k, (_, chars, whole) in enumerate(worded) if not whole and 2 * chars <= total}
+    short = {k for k in doubtful if 4 * worded[k][1] <= total}
+    blocks = [b._replace(doubts=tuple(worded[k][0] for k in marks if k in doubtful)) if marks else b for b, marks in kept if short.isdisjoint(marks)]
+    return tags, blocks, {worded[k][0] for k in doubtful}
 
 
 def _string(path: int, text: str) -> int:
@@ -205,7 +234,7 @@ def _signed(x: int) -> int:
 def _count(batches: Iterator) -> Iterator:
     """Partial counts by host and token; kind 0 is the page, 1 a tag, 2 a
     string, 3 a slot (the text of one path; its token is 1 within articles, 2
-    in first headings). A page's chars are those outside articles."""
+    in first headings), 4 a doubtful element. A page's chars are those outside articles."""
     import pyarrow as pa
 
     sums: dict[tuple, list] = {}
@@ -219,12 +248,14 @@ def _count(batches: Iterator) -> Iterator:
 
     for batch in batches:
         for host, key, html in zip(batch.column("host").to_pylist(), batch.column("key").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            tags, blocks = parse(html or "")
+            tags, blocks, doubtful = parse(html or "")
             page = [1, 0.0, 0, ()]
             own: dict[tuple, list] = {(host, 0, 0, 0): page}
             for k, tag in enumerate(tags):
                 own.setdefault((host, tag, 1, tag), [0, float(k), 0, ()])[0] += 1
-            for path, text, inside, place, above, title in blocks:
+            for path in doubtful:
+                own[host, path, 4, path] = [1, 0.0, 0, ()]
+            for path, text, inside, place, above, title, _ in blocks:
                 own.setdefault((host, _string(path, text), 2, path), [0, place + 0.5, 0, ()])[0] += 1
                 slot = own.setdefault((host, 1 if inside else 2 if title else path, 3, path if not inside else 0), [0, place + 0.5, 0, () if inside else above])
                 slot[0] += 1
@@ -243,8 +274,9 @@ def _count(batches: Iterator) -> Iterator:
 
 
 def _template(table):
-    """One host's template from its frequent tokens: the strings to drop and
-    the container to extract where no article is marked."""
+    """One host's template from its frequent tokens: the strings to drop,
+    the container to extract where no article is marked, and the doubtful
+    elements to leave out, null without a template."""
     import pyarrow as pa
 
     rows = table.to_pylist()
@@ -262,7 +294,9 @@ def _template(table):
         crossing = [o for o in spans if o[2] is not c and (o[0] < lo < o[1] < hi)]
         if outer or not crossing or c[0]["pages"] == pages:
             nested.append(c)
-    drop = [r["token"] for c in nested for r in c if r["kind"] == 2 and pages >= LEAST_PAGES and r["pages"] >= STRING_SUPPORT * pages]
+    fixed = [c for c in nested if pages >= LEAST_PAGES and (c[0]["pages"] >= STRING_SUPPORT * pages or any(r["kind"] == 1 for r in c))]
+    drop = [r["token"] for c in fixed for r in c if r["kind"] == 2]
+    asides = [r["token"] for r in rows if r["kind"] == 4] if pages >= LEAST_PAGES else None
     loose = [r for r in rows if r["kind"] == 3 and r["token"] != 1]
     most = max((r["chars"] for r in loose), default=0)
     heavy = [r["above"] for r in loose if 4 * r["chars"] >= most or r["token"] == 2]
@@ -270,11 +304,11 @@ def _template(table):
     within = sum(r["chars"] for r in loose if shared and shared[-1] in r["above"])
     # Where paths differ by page, the frequent ones say nothing of the article.
     container = shared[-1] if pages >= LEAST_PAGES and shared and 2 * within >= rows[0]["host_chars"] else None
-    return pa.table({"host": pa.array([host], pa.string()), "drop": pa.array([drop], pa.list_(pa.int64())), "container": pa.array([container], pa.int64())})
+    return pa.table({"host": pa.array([host], pa.string()), "drop": pa.array([drop], pa.list_(pa.int64())), "container": pa.array([container], pa.int64()), "asides": pa.array([asides], pa.list_(pa.int64()))})
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, drop, container), one row per host, from (host, key, html)."""
+    """(host, drop, container, asides), one row per host, from (host, key, html)."""
     counts = pages.mapInArrow(_count, _COUNTS).groupBy("host", "token", "kind", "path").agg(
         F.sum("pages").alias("pages"),
         # Sums of 64-bit numbers modulo 2**64, in two halves so that they cannot overflow.
@@ -289,12 +323,13 @@ def templates(pages: DataFrame) -> DataFrame:
     counts = materialize(counts.select("host", "token", "kind", "path", "pages", vector, "place", "chars", "above"), "html-counts")
     hosts = counts.where("kind = 0").select("host", F.col("pages").alias("host_pages"), F.col("chars").alias("host_chars"))
     frequent = counts.where("kind > 0").join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("host_pages"))
-    return frequent.groupBy("host").applyInArrow(_template, "host string, drop array<long>, container long")
+    return frequent.groupBy("host").applyInArrow(_template, "host string, drop array<long>, container long, asides array<long>")
 
 
-def page_text(html: str | None, drop: set[int], container: int | None) -> str:
+def page_text(html: str | None, drop: set[int], container: int | None, asides: set[int] | None) -> str:
     """The text of a page under its host's template."""
-    _, blocks = parse(html or "")
+    _, blocks, _ = parse(html or "")
+    blocks = [b for b in blocks if not b.doubts or (asides is not None and not any(_signed(d) in asides for d in b.doubts))]
     blocks = [b for b in blocks if not drop or _signed(_string(b.path, b.text)) not in drop]
     chosen = [b for b in blocks if b.inside]
     if not chosen and container is not None:
@@ -310,7 +345,7 @@ def _extract(batches: Iterator) -> Iterator:
     for batch in batches:
         sets: dict[tuple, set[int]] = {}
         as_set = lambda x: sets.setdefault(tuple(x or ()), set(x or ()))
-        texts = [page_text(h, as_set(d), c) for h, d, c in zip(*[batch.column(c).to_pylist() for c in ("html", "drop", "container")], strict=True)]
+        texts = [page_text(h, as_set(d), c, None if a is None else as_set(a)) for h, d, c, a in zip(*[batch.column(c).to_pylist() for c in ("html", "drop", "container", "asides")], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -320,7 +355,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url").alias("key"))
     # One row per host; Spark broadcasts it if its measured size allows, else joins by host and splits crowded ones.
     known = materialize(templates(rows.select("host", "key", "html")), "html-templates")
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "drop", "container").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.join(known, "host", "left").select("page_id", "url", "html", "drop", "container", "asides").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:

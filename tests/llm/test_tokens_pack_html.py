@@ -106,3 +106,22 @@ def test_html_without_an_article_keeps_every_block(spark, number):
             lines = text.split("\n")
             article = [f"Title {k}", long.format(k=k).strip(), f"Part {k}", f"Point {k}", f"Quote {k}", f"code {k}", long.format(k=k).strip()]
             assert lines == (article if pages == 12 else [f"day {k} by an author", *article])
+
+
+@pytest.mark.parametrize("pages", [12, 3])
+@pytest.mark.parametrize("body", ["<body class='has-sidebar'>{t}</body>", "<body><div id='content' class='with-sidebar'>{t}</div></body>", "<body><article class='post no-comments'>{t}</article></body>", "<body><div class='ad-free'><main>{t}</main></div></body>"])
+def test_html_words_of_classes_do_not_empty_a_page(spark, body, pages):
+    aside = "<div class='sidebar'>Side {k}</div>"
+    text = "<p>Article {k} goes on.</p><p>" + "Many words {k}. " * 10 + "</p>"
+    got = _texts(spark, [body.replace("{t}", text + aside).format(k=k) for k in range(pages)])
+    assert got == {k: f"Article {k} goes on.\n" + " ".join([f"Many words {k}."] * 10) for k in range(pages)}
+
+
+def test_html_template_of_some_pages(spark):
+    """A template that 12 of 20 pages use; a doubtful element of one page is its text."""
+    frame = "<div class='one'><span></span><i></i><p>Read by all who come here</p></div>"
+    body = "<body>{f}<div class='text'><p>{t}</p>{n}</div></body>"
+    bodies = [body.format(f=frame if k < 12 else "", t=f"Words {k}. " * 12, n=f"<div class='notice'>{f'Told {k}. ' * 8}</div>" if k == 3 else "") for k in range(20)]
+    got = _texts(spark, bodies)
+    for k in range(20):
+        assert got[k].split("\n") == [" ".join([f"Words {k}."] * 12)] + ([" ".join(["Told 3."] * 8)] if k == 3 else [])
