@@ -80,6 +80,20 @@ def nearest_vertex(points: DataFrame, sites: DataFrame, cell: float, by: str = "
     return found
 
 
+def nearest_within(points: DataFrame, sites: DataFrame, radius: float, by: str = "winding", k: int = 1) -> DataFrame:
+    """The k nearest sites at most ``radius`` away that share ``by``, exact:
+    cells as wide as the radius are joined with those around them. Adds site,
+    distance and rank."""
+    place = lambda df: df.withColumns({f"_c{a}": F.floor(F.col(a) / radius).cast("long") for a in "xyz"})
+    around = F.explode(F.array(*[F.struct(*[F.lit(n // 3**i % 3 - 1).alias(a) for i, a in enumerate("xyz")]) for n in range(27)]))
+    p = place(points).withColumn("_n", around).withColumns({f"_c{a}": F.col(f"_c{a}") + F.col(f"_n.{a}") for a in "xyz"}).drop("_n")
+    s = place(sites).select(by, "_cx", "_cy", "_cz", F.struct([F.col(c) for c in sites.columns if c != by]).alias("site"))
+    d2 = sum(((F.col(a) - F.col(f"site.{a}")) * (F.col(a) - F.col(f"site.{a}")) for a in "xyz"), F.lit(0.0))
+    pairs = p.join(s, [by, "_cx", "_cy", "_cz"]).drop("_cx", "_cy", "_cz").withColumn("distance", F.sqrt(d2)).where(F.col("distance") <= radius)
+    rank = F.row_number().over(Window.partitionBy("key", by).orderBy("distance", "site"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def nearest_exact(points: DataFrame, sites: DataFrame, by: str = "winding", k: int = 1) -> DataFrame:
     """The k nearest sites by comparing all that share ``by``: for small
     groups and tests. Adds distance and rank."""

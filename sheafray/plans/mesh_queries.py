@@ -77,35 +77,34 @@ def ray_triangle_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mesh(spark, sf_dir).where("valid").withColumn("key", F.col("winding") * 1_000_000 + F.col("r") * 100 + F.col("c"))
+    return mesh(spark, sf_dir).where("valid").withColumn("key", F.col("winding") * F.lit(10**12) + F.col("r") * 1000 + F.col("c"))
 
 
 def winding_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance from a winding's vertices to the nearest vertex of the next."""
     v = _vertices(spark, sf_dir)
-    points = v.where("r % 4 = 0 and c % 4 = 0").select("key", "winding", "x", "y", "z")
-    d = sp.nearest_vertex(points, v.select((F.col("winding") - 1).alias("winding"), "x", "y", "z"), cell=20.0)
+    d = sp.nearest_vertex(v.select("key", "winding", "x", "y", "z"), v.select((F.col("winding") - 1).alias("winding"), "x", "y", "z"), cell=20.0)
     return _rounded(d.groupBy("winding").agg(F.count(F.lit(1)).alias("n"), *st.percentiles("distance", {"gap_p10": 0.1, "gap_p50": 0.5, "gap_p90": 0.9}), F.avg((F.col("distance") < 10).cast("int").cast("double")).alias("below_half")))
 
 
 def own_other_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a vertex's three nearest planes of the next two windings come
     within 6: the next ("own"), the one after ("other") or none."""
-    v = _vertices(spark, sf_dir).where("r % 8 = 0 and c % 8 = 0").select("key", "winding", "x", "y", "z")
+    v = _vertices(spark, sf_dir).select("key", "winding", "x", "y", "z")
     n = ms.normals_interior(mesh(spark, sf_dir)).select("winding", "r", "c", "x", "y", "z", "nx", "ny", "nz")
     out = v.select("key", "winding")
     for k, name in ((1, "own"), (2, "other")):
-        sites = n.withColumn("winding", F.col("winding") - k).where((F.col("r") < 24) & (F.col("c") < 64))
-        near = sp.nearest_exact(v, sites.select("winding", "x", "y", "z", "nx", "ny", "nz"), k=3)
+        sites = n.withColumn("winding", F.col("winding") - k)
+        near = sp.nearest_within(v, sites.select("winding", "x", "y", "z", "nx", "ny", "nz"), 60.0, k=3)
         plane = F.abs(sum(((F.col(a) - F.col(f"site.{a}")) * F.col(f"site.n{a}") for a in "xyz"), F.lit(0.0)))
-        dist = near.where("distance <= 60").groupBy("key").agg(F.round(F.min(plane), 9).alias(name))
+        dist = near.groupBy("key").agg(F.round(F.min(plane), 9).alias(name))
         out = out.join(dist, "key", "left")
     kind = F.when(F.least(F.coalesce("own", F.lit(1e9)), F.coalesce("other", F.lit(1e9))) > 6, "none").when(F.coalesce("own", F.lit(1e9)) <= F.coalesce("other", F.lit(1e9)), "own").otherwise("other")
     return out.groupBy("winding", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def grid_upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = ms.upsample(mesh(spark, sf_dir).where("r < 20"), 4)
+    u = ms.upsample(mesh(spark, sf_dir), 4)
     return _rounded(u.groupBy("winding").agg(F.count(F.lit(1)).alias("n"), F.avg("z").alias("mean_z"), F.max("z").alias("max_z"), F.avg(F.col("x") * F.col("z")).alias("mean_xz")), 3)
 
 
