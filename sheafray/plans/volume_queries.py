@@ -100,10 +100,10 @@ def label_dim_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jobs_cross_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs of runs times windings, each with the first variant there is:
-    spliced, then plain. The lists are the run's own, a few rows each."""
-    runs = table(spark, sf_dir, "supplier").where("s_suppkey <= 5").select(F.col("s_suppkey").alias("run"))
+    spliced, then plain."""
+    runs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("run"))
     windings = spark.range(10, 20).select(F.col("id").alias("winding"))
-    parts = table(spark, sf_dir, "part").where("p_partkey <= 200")
+    parts = table(spark, sf_dir, "part")
     files = parts.select((F.col("p_partkey") % 5 + 1).alias("run"), (F.col("p_size") % 12 + 8).cast("long").alias("winding"), F.when(F.col("p_size") % 3 == 0, "spliced").otherwise("plain").alias("variant")).distinct()
     order = F.array_position(F.array(F.lit("spliced"), F.lit("plain")), F.col("variant"))
     jobs = runs.crossJoin(F.broadcast(windings)).join(files, ["run", "winding"], "left")
@@ -140,10 +140,13 @@ def majority_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windings dealt round-robin to four workers."""
-    ids = table(spark, sf_dir, "part").where("p_partkey <= 100").select("p_partkey")
-    k = (F.row_number().over(Window.orderBy("p_partkey")) - 1) % 4
-    return ids.withColumn("worker", k).groupBy("worker").agg(F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("sum_key"))
+    """Windings dealt round-robin to four workers: numbered within ranges of
+    keys, after the count of the ranges before."""
+    ids = table(spark, sf_dir, "part").select("p_partkey").withColumn("range", F.floor(F.col("p_partkey") / 10_000))
+    # One row a range.
+    before = ids.groupBy("range").agg(F.count(F.lit(1)).alias("own")).select("range", (F.sum("own").over(Window.orderBy("range")) - F.col("own")).alias("before"))
+    k = ((F.row_number().over(Window.partitionBy("range").orderBy("p_partkey")) - 1 + F.col("before")) % 4).cast("int")
+    return ids.join(before, "range").withColumn("worker", k).groupBy("worker").agg(F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("sum_key"))
 
 
 def first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ SLICES = {
     "winding_pitch": {" AND m.r % 4 = 0 AND m.c % 4 = 0": ""},
     "own_other_none": {" AND r % 8 = 0 AND c % 8 = 0": "", " WHERE s.r < 24 AND s.c < 64": ""},
     "grid_upsample": {"m.r < 19 AND ": ""},
+    "round_robin": {" WHERE p_partkey <= 100": ""},
+    "jobs_cross_fallback": {" WHERE p_partkey <= 200": "", " WHERE s_suppkey <= 5": ""},
 }
 
 
