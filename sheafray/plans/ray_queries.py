@@ -214,7 +214,7 @@ def offset_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     pt = _pt(spark, sf_dir)
     hits = _kind(pt, "click")
     spread = _knots(pt).groupBy("ray_id").agg(F.count("v").alias("n"), (F.percentile("v", F.lit(0.95)) - F.percentile("v", F.lit(0.05))).alias("s")).where("n >= 20 and s > 0").select("ray_id")
-    inner = seq.midpoints(hits).withColumn("shift", F.explode(F.sequence(F.lit(-8), F.lit(8), F.lit(4))))
+    inner = seq.midpoints(hits).withColumn("shift", F.explode(F.sequence(F.lit(-8), F.lit(8))))
     asked = inner.select("ray_id", "shift", F.col("t").alias("at"), F.explode(F.array(F.struct(F.lit(0).alias("role"), F.col("t").alias("t")), F.struct(F.lit(1).alias("role"), F.col("mid_left").alias("t")), F.struct(F.lit(2).alias("role"), F.col("mid_right").alias("t")))).alias("p"))
     found = seq.interpolate_at(_knots(pt), asked.select("ray_id", (F.col("p.t") + F.col("shift")).alias("t"), "shift", "at", F.col("p.role").alias("role")))
     role = lambda r: F.max(F.when(F.col("role") == r, F.col("v")))

@@ -16,6 +16,7 @@ SLICES = {
     "own_other_none": {" AND r % 8 = 0 AND c % 8 = 0": "", " WHERE s.r < 24 AND s.c < 64": ""},
     "grid_upsample": {"m.r < 19 AND ": ""},
     "round_robin": {" WHERE p_partkey <= 100": ""},
+    "offset_scan": {"unnest([-8, -4, 0, 4, 8])": "unnest(range(-8, 9))"},
     "jobs_cross_fallback": {" WHERE p_partkey <= 200": "", " WHERE s_suppkey <= 5": ""},
 }
 
