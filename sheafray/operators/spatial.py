@@ -58,6 +58,17 @@ def ray_triangle_hits(rays: DataFrame, triangles: DataFrame, cell: float, large:
     return met.where(hit).withColumn("t", t).select("ray_id", "winding", "tri_id", "t").distinct()
 
 
+def _reached(df: DataFrame, radius: float) -> DataFrame:
+    """Each row for every cell of twice the radius that its ball may touch: 8 at most."""
+    for a in "xyz":
+        df = df.withColumn(f"_c{a}", F.explode(F.sequence(*[F.floor((F.col(a) + r) / (2 * radius)).cast("long") for r in (-radius, radius)])))
+    return df
+
+
+def _placed(df: DataFrame, radius: float) -> DataFrame:
+    return df.withColumns({f"_c{a}": F.floor(F.col(a) / (2 * radius)).cast("long") for a in "xyz"})
+
+
 def nearest_vertex(points: DataFrame, sites: DataFrame, cell: float, by: str = "winding", rings: int = 1) -> DataFrame:
     """Distance from each point (key, by, x, y, z) to the nearest site with
     the same ``by``; exact if the nearest is within ``rings`` cells, and
@@ -65,11 +76,8 @@ def nearest_vertex(points: DataFrame, sites: DataFrame, cell: float, by: str = "
     found = None
     todo = points
     for _ in range(40):
-        place = lambda df, size: df.withColumns({f"_c{a}": F.floor(F.col(a) / size).cast("long") for a in "xyz"})
-        span = range(-rings, rings + 1)
-        around = F.explode(F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z")) for i in span for j in span for k in span]))
-        p = place(todo, cell).withColumn("_n", around).select("key", by, "x", "y", "z", *[(F.col(f"_c{a}") + F.col(f"_n.{a}")).alias(f"_c{a}") for a in "xyz"])
-        s = place(sites, cell).select(by, "_cx", "_cy", "_cz", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"))
+        p = _reached(todo.select("key", by, "x", "y", "z"), cell * rings)
+        s = _placed(sites, cell * rings).select(by, "_cx", "_cy", "_cz", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"))
         d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy")) + (F.col("z") - F.col("sz")) * (F.col("z") - F.col("sz"))
         best = p.join(s, [by, "_cx", "_cy", "_cz"]).groupBy("key", by).agg(F.min(d2).alias("d2")).select("key", by, F.sqrt("d2").alias("distance")).where(F.col("distance") <= cell * rings)
         found = best if found is None else found.unionByName(best)
@@ -82,12 +90,10 @@ def nearest_vertex(points: DataFrame, sites: DataFrame, cell: float, by: str = "
 
 def nearest_within(points: DataFrame, sites: DataFrame, radius: float, by: str = "winding", k: int = 1) -> DataFrame:
     """The k nearest sites at most ``radius`` away that share ``by``, exact:
-    cells as wide as the radius are joined with those around them. Adds site,
-    distance and rank."""
-    place = lambda df: df.withColumns({f"_c{a}": F.floor(F.col(a) / radius).cast("long") for a in "xyz"})
-    around = F.explode(F.array(*[F.struct(*[F.lit(n // 3**i % 3 - 1).alias(a) for i, a in enumerate("xyz")]) for n in range(27)]))
-    p = place(points).withColumn("_n", around).withColumns({f"_c{a}": F.col(f"_c{a}") + F.col(f"_n.{a}") for a in "xyz"}).drop("_n")
-    s = place(sites).select(by, "_cx", "_cy", "_cz", F.struct([F.col(c) for c in sites.columns if c != by]).alias("site"))
+    each point meets the cells that its ball may touch. Adds site, distance
+    and rank."""
+    p = _reached(points, radius)
+    s = _placed(sites, radius).select(by, "_cx", "_cy", "_cz", F.struct([F.col(c) for c in sites.columns if c != by]).alias("site"))
     d2 = sum(((F.col(a) - F.col(f"site.{a}")) * (F.col(a) - F.col(f"site.{a}")) for a in "xyz"), F.lit(0.0))
     pairs = p.join(s, [by, "_cx", "_cy", "_cz"]).drop("_cx", "_cy", "_cz").withColumn("distance", F.sqrt(d2)).where(F.col("distance") <= radius)
     rank = F.row_number().over(Window.partitionBy("key", by).orderBy("distance", "site"))
