@@ -222,10 +222,10 @@ ORACLE_SQL = {
     "triangulate": with_(*_TRI) + "SELECT winding, r, c, half, round(abs((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0)) / 2, 6) AS area, round((z0 + z1 + z2) / 3, 6) AS mean_z FROM tr",
     "ray_triangle_hits": with_(*_TRI, "ra AS (SELECT s_suppkey AS ray_id, (s_suppkey * 37) % 800 + 0.37::DOUBLE AS oy, (s_suppkey * 91) % 1200 + 0.41::DOUBLE AS ox FROM supplier)", "ba AS (SELECT *, (x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0) AS det, ((ox - x0) * (y2 - y0) - (x2 - x0) * (oy - y0)) AS pu, ((x1 - x0) * (oy - y0) - (ox - x0) * (y1 - y0)) AS pv FROM ra JOIN tr ON ox BETWEEN least(x0, x1, x2) AND greatest(x0, x1, x2) AND oy BETWEEN least(y0, y1, y2) AND greatest(y0, y1, y2))", "hi AS (SELECT ray_id, winding, z0 + pu / det * (z1 - z0) + pv / det * (z2 - z0) - 900 AS t FROM ba WHERE abs(det) > 1e-9 AND pu / det >= 0 AND pv / det >= 0 AND pu / det + pv / det <= 1)")
     + "SELECT ray_id, count(*) AS hits, round(min(t), 6) AS first_t, round(max(t), 6) AS last_t, sum(winding)::BIGINT AS windings FROM hi WHERE t BETWEEN 0 AND 200 GROUP BY ray_id",
-    "winding_pitch": with_(MESH, f"d AS (SELECT m.winding, m.r, m.c, min({_dist('m.', 'n.')}) AS distance FROM mesh m JOIN mesh n ON n.winding = m.winding + 1 WHERE m.valid AND n.valid AND m.r % 4 = 0 AND m.c % 4 = 0 GROUP BY ALL)") + "SELECT winding, count(*) AS n, round(quantile_cont(distance, 0.1), 6) AS gap_p10, round(quantile_cont(distance, 0.5), 6) AS gap_p50, round(quantile_cont(distance, 0.9), 6) AS gap_p90, round(avg((distance < 10)::INT), 6) AS below_half FROM d GROUP BY winding",
-    "own_other_none": with_(*_INTERIOR, "pt AS (SELECT * FROM mesh WHERE valid AND r % 8 = 0 AND c % 8 = 0)", f"pr AS (SELECT p.winding, p.r, p.c, s.winding - p.winding AS k, {_dist('p.', 's.')} AS distance, abs((p.x - s.x) * s.nx + (p.y - s.y) * s.ny + (p.z - s.z) * s.nz) AS plane, row_number() OVER (PARTITION BY p.winding, p.r, p.c, s.winding ORDER BY {_dist('p.', 's.')}, s.x, s.y, s.z) AS rn FROM pt p JOIN nrm s ON s.winding IN (p.winding + 1, p.winding + 2) WHERE s.r < 24 AND s.c < 64)", "be AS (SELECT winding, r, c, round(min(plane) FILTER (k = 1), 9) AS own, round(min(plane) FILTER (k = 2), 9) AS other FROM pr WHERE rn <= 3 AND distance <= 60 GROUP BY ALL)")
+    "winding_pitch": with_(MESH, f"d AS (SELECT m.winding, m.r, m.c, min({_dist('m.', 'n.')}) AS distance FROM mesh m JOIN mesh n ON n.winding = m.winding + 1 WHERE m.valid AND n.valid GROUP BY ALL)") + "SELECT winding, count(*) AS n, round(quantile_cont(distance, 0.1), 6) AS gap_p10, round(quantile_cont(distance, 0.5), 6) AS gap_p50, round(quantile_cont(distance, 0.9), 6) AS gap_p90, round(avg((distance < 10)::INT), 6) AS below_half FROM d GROUP BY winding",
+    "own_other_none": with_(*_INTERIOR, "pt AS (SELECT * FROM mesh WHERE valid)", f"pr AS (SELECT p.winding, p.r, p.c, s.winding - p.winding AS k, {_dist('p.', 's.')} AS distance, abs((p.x - s.x) * s.nx + (p.y - s.y) * s.ny + (p.z - s.z) * s.nz) AS plane, row_number() OVER (PARTITION BY p.winding, p.r, p.c, s.winding ORDER BY {_dist('p.', 's.')}, s.x, s.y, s.z) AS rn FROM pt p JOIN nrm s ON s.winding IN (p.winding + 1, p.winding + 2))", "be AS (SELECT winding, r, c, round(min(plane) FILTER (k = 1), 9) AS own, round(min(plane) FILTER (k = 2), 9) AS other FROM pr WHERE rn <= 3 AND distance <= 60 GROUP BY ALL)")
     + "SELECT p.winding, CASE WHEN least(coalesce(own, 1e9), coalesce(other, 1e9)) > 6 THEN 'none' WHEN coalesce(own, 1e9) <= coalesce(other, 1e9) THEN 'own' ELSE 'other' END AS kind, count(*) AS n FROM pt p LEFT JOIN be USING (winding, r, c) GROUP BY ALL",
-    "grid_upsample": with_(MESH, f"ce AS (SELECT m.winding, m.x, m.z AS z00, d.z AS z10, g.z AS z01, e.z AS z11 FROM mesh m {_nb('d', 1, 0)} {_nb('g', 0, 1)} {_nb('e', 1, 1)} WHERE m.r < 19 AND m.valid AND d.valid AND g.valid AND e.valid)", "st AS (SELECT unnest(range(4)) / 4.0::DOUBLE AS f)", "fi AS (SELECT winding, x + 20 * b.f AS x, (1-a.f)*(1-b.f)*z00 + a.f*(1-b.f)*z10 + (1-a.f)*b.f*z01 + a.f*b.f*z11 AS z FROM ce, st a, st b)") + "SELECT winding, count(*) AS n, round(avg(z), 3) AS mean_z, round(max(z), 3) AS max_z, round(avg(x * z), 3) AS mean_xz FROM fi GROUP BY winding",
+    "grid_upsample": with_(MESH, f"ce AS (SELECT m.winding, m.x, m.z AS z00, d.z AS z10, g.z AS z01, e.z AS z11 FROM mesh m {_nb('d', 1, 0)} {_nb('g', 0, 1)} {_nb('e', 1, 1)} WHERE m.valid AND d.valid AND g.valid AND e.valid)", "st AS (SELECT unnest(range(4)) / 4.0::DOUBLE AS f)", "fi AS (SELECT winding, x + 20 * b.f AS x, (1-a.f)*(1-b.f)*z00 + a.f*(1-b.f)*z10 + (1-a.f)*b.f*z01 + a.f*b.f*z11 AS z FROM ce, st a, st b)") + "SELECT winding, count(*) AS n, round(avg(z), 3) AS mean_z, round(max(z), 3) AS max_z, round(avg(x * z), 3) AS mean_xz FROM fi GROUP BY winding",
     "tile_profile": with_(MESH, _TILES) + "SELECT winding, tr, tc, round(mean, 6) AS mean, n FROM tl",
     "tile_contrast": with_(MESH, _TILES) + "SELECT winding, tr, round((max(mean) - min(mean)) / (max(mean) + min(mean) + 1e-6), 8) AS contrast FROM tl GROUP BY winding, tr",
     "tile_median3x3": with_(MESH, _TILES, "m1 AS (SELECT a.winding, a.tr, a.tc, CASE WHEN count(*) >= 3 THEN median(b.mean) ELSE any_value(a.mean) END AS v FROM tl a JOIN tl b ON a.winding = b.winding AND abs(a.tr - b.tr) <= 1 AND abs(a.tc - b.tc) <= 1 GROUP BY ALL)") + "SELECT a.winding, a.tr, a.tc, round(CASE WHEN count(*) >= 3 THEN median(b.v) ELSE any_value(a.v) END, 6) AS value FROM m1 a JOIN m1 b ON a.winding = b.winding AND abs(a.tr - b.tr) <= 1 AND abs(a.tc - b.tc) <= 1 GROUP BY ALL",

@@ -412,7 +412,7 @@ ORACLE_SQL = {
     "phase_hist": with_(PT, HITS, *_PHASE) + "SELECT least(floor(phase / 0.1::DOUBLE), 9)::INT AS bin, count(*) AS n FROM ph GROUP BY 1",
     "random_shift_null": with_(*_MOVED, *contrast_ctes("moved"), "cf AS (SELECT copy, avg((c > 0)::INT) AS frac FROM c GROUP BY copy)", *[x.replace("knots AS", "knots2 AS").replace("spread AS (", "spread2 AS (").replace("nb AS", "nb2 AS").replace("inner_ AS", "inner2 AS").replace("FROM nb ", "FROM nb2 ").replace("FROM inner_", "FROM inner2").replace("JOIN spread ", "JOIN spread2 ").replace("q0", "p0").replace("q1", "p1").replace("q2", "p2").replace("i0", "j0").replace("i1", "j1").replace("i2", "j2").replace("c AS (SELECT n.", "c2 AS (SELECT n.") for x in contrast_ctes()], "ob AS (SELECT avg((c > 0)::INT) AS observed FROM c2)")
     + "SELECT count(*) AS copies, round(avg(frac), 6) AS null_mean, round(quantile_cont(frac, 0.025), 6) AS null_p2_5, round(quantile_cont(frac, 0.975), 6) AS null_p97_5, round(avg((frac >= observed)::INT), 6) AS frac_at_or_above, round(any_value(observed), 6) AS observed FROM cf, ob",
-    "offset_scan": with_(PT, HITS, "knots AS (SELECT ray_id, t, raw AS v FROM pt WHERE raw IS NOT NULL)", "good AS (SELECT ray_id FROM knots GROUP BY ray_id HAVING count(*) >= 20 AND quantile_cont(v, 0.95) - quantile_cont(v, 0.05) > 0)", "nb AS (SELECT *, (t + lag(t) OVER o) / 2 AS ml, (t + lead(t) OVER o) / 2 AS mr FROM hits WINDOW o AS (PARTITION BY ray_id ORDER BY t))", "n0 AS (SELECT *, row_number() OVER () AS rid FROM (SELECT nb.*, shift FROM nb JOIN good USING (ray_id), (SELECT unnest([-8, -4, 0, 4, 8]) AS shift) WHERE ml IS NOT NULL AND mr IS NOT NULL))", "q0 AS (SELECT ray_id, t + shift AS t, rid FROM n0)", "q1 AS (SELECT ray_id, ml + shift AS t, rid FROM n0)", "q2 AS (SELECT ray_id, mr + shift AS t, rid FROM n0)", interp_cte("i0", "q0", "knots"), interp_cte("i1", "q1", "knots"), interp_cte("i2", "q2", "knots"))
+    "offset_scan": with_(PT, HITS, "knots AS (SELECT ray_id, t, raw AS v FROM pt WHERE raw IS NOT NULL)", "good AS (SELECT ray_id FROM knots GROUP BY ray_id HAVING count(*) >= 20 AND quantile_cont(v, 0.95) - quantile_cont(v, 0.05) > 0)", "nb AS (SELECT *, (t + lag(t) OVER o) / 2 AS ml, (t + lead(t) OVER o) / 2 AS mr FROM hits WINDOW o AS (PARTITION BY ray_id ORDER BY t))", "n0 AS (SELECT *, row_number() OVER () AS rid FROM (SELECT nb.*, shift FROM nb JOIN good USING (ray_id), (SELECT unnest(range(-8, 9)) AS shift) WHERE ml IS NOT NULL AND mr IS NOT NULL))", "q0 AS (SELECT ray_id, t + shift AS t, rid FROM n0)", "q1 AS (SELECT ray_id, ml + shift AS t, rid FROM n0)", "q2 AS (SELECT ray_id, mr + shift AS t, rid FROM n0)", interp_cte("i0", "q0", "knots"), interp_cte("i1", "q1", "knots"), interp_cte("i2", "q2", "knots"))
     + "SELECT shift, count(*) AS n, round(avg((i0.v - (i1.v + i2.v) / 2 > 0)::INT), 6) AS frac_c_pos FROM n0 JOIN i0 USING (rid) JOIN i1 USING (rid) JOIN i2 USING (rid) GROUP BY shift",
     "snap_nearest": with_(PT, *_SNAP)
     + "SELECT ray_id, count(*) AS crossings, count(*) FILTER (status = 'snapped') AS snapped, count(*) FILTER (status = 'no_crest') AS no_crest, count(*) FILTER (status = 'conflict') AS conflict, round(coalesce(median(abs(t_new - t)) FILTER (status = 'snapped'), -1), 6) AS median_move FROM sp GROUP BY ray_id",

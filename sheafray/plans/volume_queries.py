@@ -210,13 +210,13 @@ ORACLE_SQL = {
     "percentile_panel": " UNION ALL ".join(f"SELECT {g} AS grp, count(*) AS n, " + ", ".join(f"round(quantile_cont({c}, {q}), 4) AS {n}" for n, q in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95), ("p99", 0.99))) + f" FROM {t} GROUP BY 1" for g, c, t in (("l_returnflag", "l_extendedprice", "lineitem"), ("o_orderpriority", "o_totalprice", "orders"))),
     "histogram_fixed": "SELECT l_returnflag, least(floor(l_quantity / 5), 9)::INT AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY ALL",
     "label_dim_join": "WITH c AS (SELECT c_nationkey, count(*) AS n, avg(c_acctbal) AS mean FROM customer GROUP BY 1) SELECT n_name, coalesce(r_name, '-') AS label, n, round(mean, 4) AS mean_balance, '| ' || n_name || ' | ' || coalesce(r_name, '-') || ' | ' || format('{:,}', n * 1000) || ' |' AS line FROM c JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey",
-    "jobs_cross_fallback": "WITH f AS (SELECT DISTINCT p_partkey % 5 + 1 AS run, p_size % 12 + 8 AS winding, CASE WHEN p_size % 3 = 0 THEN 'spliced' ELSE 'plain' END AS variant FROM part WHERE p_partkey <= 200), j AS (SELECT s_suppkey AS run, w AS winding FROM supplier, (SELECT unnest(range(10, 20)) AS w) WHERE s_suppkey <= 5) SELECT run, winding, coalesce(max(variant), 'missing') AS variant FROM j LEFT JOIN f USING (run, winding) GROUP BY run, winding",
+    "jobs_cross_fallback": "WITH f AS (SELECT DISTINCT p_partkey % 5 + 1 AS run, p_size % 12 + 8 AS winding, CASE WHEN p_size % 3 = 0 THEN 'spliced' ELSE 'plain' END AS variant FROM part), j AS (SELECT s_suppkey AS run, w AS winding FROM supplier, (SELECT unnest(range(10, 20)) AS w)) SELECT run, winding, coalesce(max(variant), 'missing') AS variant FROM j LEFT JOIN f USING (run, winding) GROUP BY run, winding",
     "shard_digests": "SELECT doc_id, octet_length(encode(text))::BIGINT AS bytes, sha256(text) AS sha256 FROM documents",
     "json_props": "SELECT event_type, count(k) AS n, sum(k)::BIGINT AS sum_k, round(avg(k), 6) AS mean_k FROM (SELECT event_type, (props->>'$.k')::BIGINT AS k FROM events) GROUP BY event_type",
     "log_extract": "SELECT conv_id, turn, regexp_extract(text, '([a-z]+ing)', 1) AS first_match, len(regexp_extract_all(text, '[a-z]+ing'))::BIGINT AS matches FROM conversations WHERE regexp_matches(text, '[a-z]+ing')",
     "last_line": "SELECT conv_id, role, arg_max(octet_length(encode(text)), turn)::BIGINT AS bytes, max(turn) AS turn FROM conversations GROUP BY conv_id, role",
     "majority_class": "WITH c AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_linestatus AS majority, round(1 - n / total, 6) AS off_majority FROM (SELECT *, sum(n) OVER (PARTITION BY l_returnflag) AS total, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, l_linestatus) AS rn FROM c) WHERE rn = 1",
-    "round_robin": "SELECT worker, count(*) AS n, sum(p_partkey)::BIGINT AS sum_key FROM (SELECT p_partkey, ((row_number() OVER (ORDER BY p_partkey) - 1) % 4)::INT AS worker FROM part WHERE p_partkey <= 100) GROUP BY worker",
+    "round_robin": "SELECT worker, count(*) AS n, sum(p_partkey)::BIGINT AS sum_key FROM (SELECT p_partkey, ((row_number() OVER (ORDER BY p_partkey) - 1) % 4)::INT AS worker FROM part) GROUP BY worker",
     "first_fit": "WITH c AS (SELECT o_orderkey % 6 AS spacing, sum(o_totalprice) AS cost FROM orders GROUP BY 1), b AS (SELECT i::INT AS which, (SELECT max(cost) FROM c) * f AS budget FROM (SELECT unnest([0, 1, 2]) AS i, unnest([0.5::DOUBLE, 0.97::DOUBLE, 1.0::DOUBLE]) AS f)) SELECT which, spacing FROM (SELECT which, spacing, row_number() OVER (PARTITION BY which ORDER BY CASE WHEN cost <= budget THEN spacing ELSE 1000 - spacing END) AS rn FROM c, b) WHERE rn = 1",
     "binomial_error": with_(PT) + "SELECT kind, round(p, 6) AS p, n, round(sqrt(p * (1 - p) / n), 6) AS se, round(1.96 * sqrt(p * (1 - p) / n), 6) AS half_width FROM (SELECT kind, avg((raw > 60)::INT) AS p, count(raw) AS n FROM pt GROUP BY kind)",
     "paired_runs": with_(PT) + "SELECT ray_id, round(median(d), 6) AS median_diff, round(quantile_cont(d, 0.99), 6) AS p99_diff, round(max(d), 6) AS max_diff, round(avg((floor(a) = floor(b))::INT), 6) AS same_count FROM (SELECT ray_id, raw AS a, floor(raw * 8) / 8 AS b, abs(raw - floor(raw * 8) / 8) AS d FROM pt WHERE raw IS NOT NULL) GROUP BY ray_id",
