@@ -69,6 +69,16 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, written first where it is itself the outcome of a shuffle.
+
+    Operators that deal rows by their place in the input read it several
+    times; rows of files come in the same order each time, those of a shuffle
+    need not.
+    """
+    return materialize(df, "settled") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

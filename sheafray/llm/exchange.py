@@ -87,7 +87,8 @@ def _answer(kind: int, hot: int | None) -> Callable:
         total[order] = np.repeat(np.add.reduceat(counts[order], at), np.diff(np.append(at, len(values)))) if len(at) else 0
         rows = []
         for g, lo, hi in zip(groups, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            own, n = values[lo:hi], total[lo:hi]
+            n = total[lo:hi]
+            own = np.stack([values[lo:hi], more[lo:hi]], axis=1) if wide else values[lo:hi]
             rows.append((g, kind, own[(n > 1) if hot is None else (n > 1) & (n <= hot)]))
             if hot is not None:
                 rows.append((g, kind + 1, own[n > hot]))
@@ -106,13 +107,17 @@ def _answer(kind: int, hot: int | None) -> Callable:
 def shared(sent: DataFrame, kind: int = 0, hot: int | None = None) -> DataFrame:
     """``ANSWER`` rows: for each group its numbers that occur elsewhere too,
     or twice in it; those with over ``hot`` occurrences in all as ``kind`` + 1.
-
-    Of 128-bit numbers the first 64 bits come back; a group looks them up
-    among its own numbers only.
+    128-bit numbers come back whole, half by half (``answered_wide``).
     """
     return sent.groupBy("_bucket").applyInArrow(_answer(kind, hot), ANSWER)
 
 
+def answered_wide(table, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """All 128-bit numbers of an answer that one group got."""
+    halves = answered(table, kind).reshape(-1, 2)
+    return np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
+
+
 def answered(table, kind: int = 0) -> np.ndarray:
     """All numbers of an answer that one group got."""
     return np.frombuffer(b"".join(v for v, k in zip(table.column("values").to_pylist(), table.column("kind").to_pylist(), strict=True) if k == kind), np.uint64)

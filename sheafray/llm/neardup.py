@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialize
 from .components import components, partial_components
-from .rolling import SpanHash, mix64, text_buffer, word_hashes
+from .rolling import mix64, text_buffer, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -53,12 +53,15 @@ def shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """The shingles' hashes of all texts, and where each text's begin."""
     words, first = word_hashes(data, bounds)
     n = np.diff(first)
-    spans = SpanHash(words)
     count = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
     begin = np.concatenate([[0], np.cumsum(count)])
     at = np.arange(begin[-1]) - np.repeat(begin[:-1], count) + np.repeat(first[:-1], count)
     length = np.repeat(np.minimum(n, SHINGLE), count)
-    return mix64(spans.spans(at, at + length) + length.astype(np.uint64), 17), begin
+    out = words[at]
+    for k in range(1, SHINGLE):
+        longer = slice(None) if length.min(initial=SHINGLE) > k else np.flatnonzero(length > k)
+        out[longer] = mix64(out[longer] ^ words[at[longer] + k], 17 + k)
+    return out, begin
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:

@@ -1,25 +1,33 @@
-"""Array kernels shared by the duplicate operators: hashes of any span of a
-byte or word sequence from prefix sums, and sliding minima.
-
-A sequence's hash is the sum of code(x_i) * B**i modulo 2**64, codes being
-fixed random 64-bit numbers; a span's hash is the difference of two prefix
-sums times B**-start. Two independent pairs of tables give 128 bits.
+"""Array kernels shared by the duplicate operators: hashes of words, of runs
+of a given length, and sliding minima.
+
+What decides whether two strings are equal is mixed, not summed: a word's
+bytes go through a bijective mixer eight at a time, and a run's hash mixes
+those of its two halves. Two lanes of different seeds give 128 bits.
+``SpanHash``, a sum of code(x_i) * B**i modulo 2**64, is cheaper and tells
+long strings of a special make apart badly; it only chooses anchors.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Odd multipliers.
+_M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective finalizer: equal inputs, and only they, give equal outputs."""
     with np.errstate(over="ignore"):
-        z = x.astype(np.uint64, copy=True) + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) % 2**64)
-        z = (z ^ (z >> np.uint64(30))) * _M1
-        z = (z ^ (z >> np.uint64(27))) * _M2
-        return z ^ (z >> np.uint64(31))
+        z = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) % 2**64)
+        z ^= z >> np.uint64(30)
+        z *= _M1
+        z ^= z >> np.uint64(27)
+        z *= _M2
+        z ^= z >> np.uint64(31)
+        return z
 
 
 class SpanHash:
@@ -65,6 +73,40 @@ def byte_codes(data: np.ndarray, lane: int = 0) -> np.ndarray:
     return mix64(np.arange(256, dtype=np.uint64), 11 + lane)[data]
 
 
+def octets(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number."""
+    return np.ndarray((max(0, len(data) - 7),), np.dtype("<u8"), np.ascontiguousarray(data), strides=(1,))
+
+
+#: Of a number its first k bytes.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def run_hashes(codes: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
+    """The hash of each run of ``length`` numbers, by its start, from the
+    hashes of runs of half that length. ``codes`` are themselves mixed."""
+    if len(codes) < length:
+        return np.zeros(0, np.uint64)
+    h, n = codes if lane == 0 else mix64(codes, lane), 1
+    while n < length:
+        step = min(n, length - n)
+        with np.errstate(over="ignore"):
+            h = mix64(h[:-step] + h[step:] * _M3, 101 + lane)
+        n += step
+    return h
+
+
+def byte_runs(data: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
+    """The hash of each run of ``length`` bytes, at least eight, by its start."""
+    h, n = mix64(octets(data), 211 + lane), 8
+    while n < length and len(h):
+        step = min(n, length - n)
+        with np.errstate(over="ignore"):
+            h = mix64(h[:-step] + h[step:] * _M3, 223 + lane)
+        n += step
+    return h
+
+
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -77,6 +119,8 @@ class Words:
     before each text, again one more than there are texts.
     """
 
+    LONG = 64
+
     def __init__(self, data: np.ndarray, bounds: np.ndarray) -> None:
         solid = np.zeros(len(data) + 2, bool)
         solid[1:-1] = ~_IS_SPACE[data]
@@ -91,7 +135,21 @@ class Words:
         self.first = np.searchsorted(self.start, bounds)
 
     def hashes(self, lane: int = 0) -> np.ndarray:
-        return mix64(SpanHash(byte_codes(self.data, lane), lane).spans(self.start, self.end) + (self.end - self.start).astype(np.uint64))
+        """A hash of each word's bytes. Words of up to eight bytes are mixed
+        as one number, longer ones number by number, those over ``LONG`` bytes
+        by a cryptographic hash."""
+        size = self.end - self.start
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = octets(padded)
+        out = mix64(eight[self.start] & _MASK[np.minimum(size, 8)], 3 + lane)
+        more, k = np.flatnonzero((size > 8) & (size <= self.LONG)), 8
+        while len(more):
+            out[more] = mix64(out[more] ^ (eight[self.start[more] + k] & _MASK[np.minimum(size[more] - k, 8)]), 3 + lane)
+            k += 8
+            more = more[size[more] > k]
+        for j in np.flatnonzero(size > self.LONG).tolist():
+            out[j] = int.from_bytes(blake2b(self.data[self.start[j] : self.end[j]], digest_size=8, salt=bytes([lane])).digest(), "little")
+        return mix64(out + size.astype(np.uint64), 5 + lane)
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
@@ -161,23 +219,36 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Members:
-    """A set of 64-bit numbers to test arrays against."""
+    """A set of 64-bit numbers, or of 128-bit ones if ``more`` has their
+    second halves, to test arrays against."""
 
     BITS = 20
 
-    def __init__(self, values: np.ndarray) -> None:
-        self.values = np.unique(values)
+    def __init__(self, values: np.ndarray, more: np.ndarray | None = None) -> None:
+        self.more = None
+        if more is None:
+            self.values = np.unique(values)
+        else:
+            order = np.lexsort((more, values))
+            self.values, self.more = values[order], more[order]
+            # How many may share a first half, which is 1 but for chance.
+            self.most = int(np.unique(self.values, return_counts=True)[1].max(initial=1)) if len(values) else 1
         self.seen = np.zeros(1 << self.BITS, bool)
         self.seen[(self.values >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
 
-    def of(self, values: np.ndarray) -> np.ndarray:
+    def of(self, values: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
         """Which values are in the set: a bitmap lookup settles most."""
         out = np.zeros(len(values), bool)
         if not len(self.values):
             return out
         maybe = np.flatnonzero(self.seen[(values >> np.uint64(64 - self.BITS)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.values, values[maybe]), len(self.values) - 1)
-        out[maybe] = self.values[at] == values[maybe]
+        if self.more is None:
+            out[maybe] = self.values[at] == values[maybe]
+            return out
+        for k in range(self.most):
+            j = np.minimum(at + k, len(self.values) - 1)
+            out[maybe] |= (self.values[j] == values[maybe]) & (self.more[j] == more[maybe])
         return out
 
 
@@ -192,13 +263,13 @@ def text_chunks(bounds: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, chunk: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, bounds: np.ndarray, chunk: int = 2 << 20, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of the texts, and the number of words before
     each text, with one more entry for all."""
     parts, counts = [], []
     for lo, hi in text_chunks(bounds, chunk):
         words = Words(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
-        parts.append(words.hashes())
+        parts.append(words.hashes(lane))
         counts.append(np.diff(words.first))
     first = np.zeros(len(bounds), np.int64)
     if counts:

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import documents, groups_for
-from .rolling import Members, SpanHash, cover, mix64, text_buffer, within, word_hashes
+from .common import documents, groups_for, settled
+from .rolling import Members, cover, run_hashes, text_buffer, within, word_hashes
 
 WINDOW = 35
 #: A perfect difference set of the period 21 (any residue is the
@@ -40,12 +40,15 @@ class _Group:
     def __init__(self, table, window: int, text: str = "_text") -> None:
         self.data, self.bounds = text_buffer(table.column(text))
         self.words, self.first = word_hashes(self.data, self.bounds)
-        self.window, self.lanes = window, {}
+        self.window = window
 
-    def spans(self, length: int, lane: int = 0) -> np.ndarray:
-        if lane not in self.lanes:
-            self.lanes[lane] = SpanHash(self.words if lane == 0 else mix64(self.words, lane), lane)
-        return self.lanes[lane].windows(length)
+    def both(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of the windows that start at ``at``: the
+        second lane, of the bytes too, is made only where there are any."""
+        if not len(at):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        second, _ = word_hashes(self.data, self.bounds, lane=1)
+        return run_hashes(self.words, self.window)[at], run_hashes(second, self.window, 1)[at]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of the anchors, places counted over all texts."""
@@ -55,10 +58,7 @@ class _Group:
         on = np.zeros(PERIOD, bool)
         on[list(COVER)] = True
         at = np.flatnonzero(inside & on[local % PERIOD])
-        return at, mix64(self.spans(length)[at])
-
-    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return mix64(self.spans(self.window)[at], 1), self.spans(self.window, 1)[at]
+        return at, run_hashes(self.words, length)[at]
 
     def around(self, anchors: np.ndarray) -> np.ndarray:
         """Starts of the windows that hold one of the anchors at a shift below
@@ -84,7 +84,7 @@ def _send_windows(window: int, buckets: int):
             at, hashes = group.anchors()
             starts = group.around(at[Members(exchange.answered(answer)).of(hashes)])
         none = np.zeros(0, np.uint64)
-        first, more = group.windows(starts) if len(starts) else (none, none)
+        first, more = group.both(starts) if len(starts) else (none, none)
         return exchange.send(table.column("_group")[0].as_py() if table.num_rows else 0, first, more, buckets)
 
     return run
@@ -95,8 +95,10 @@ def _removed(group: _Group, answer) -> np.ndarray:
     inside = within(group.first, group.window)
     if not answer.num_rows or not len(inside):
         return np.zeros(len(group.words), bool)
-    hit = Members(exchange.answered(answer)).of(mix64(group.spans(group.window), 1))
-    starts = np.flatnonzero(hit & inside)
+    # The first lane leaves few windows to be told by both.
+    first, more = exchange.answered_wide(answer)
+    near = np.flatnonzero(inside & Members(first).of(run_hashes(group.words, group.window)))
+    starts = near[Members(first, more).of(*group.both(near))]
     return cover(len(group.words), starts, starts + group.window)
 
 
@@ -144,6 +146,7 @@ def _rewrite(window: int):
 
 def _dealt(docs: DataFrame, carry: list, window: int) -> tuple[DataFrame, DataFrame]:
     """The dealt rows, and for each group the hashes of its repeated windows."""
+    docs = settled(docs)
     groups, size = groups_for(docs, exchange.GROUP_BYTES)
     buckets = max(exchange.LEAST_BUCKETS, size // exchange.BUCKET_BYTES)
     dealt = exchange.deal(docs.select(*carry, F.col("text").alias("_text")), groups)
@@ -162,7 +165,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """All rows and columns of ``docs`` with the repeated words cut out of
     ``text``; ``n_chars``, where there is one, follows the new text."""
     rest = [c for c in docs.columns if c != "text"]
-    dealt, windows = _dealt(docs, [F.struct(*rest).alias("_row")] if rest else [F.lit(1).alias("_row")], window)
+    dealt, windows = _dealt(docs, [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row")] if rest else [F.lit(1).alias("_row")], window)
     out = dealt.groupBy("_group").cogroup(windows.groupBy("_group")).applyInArrow(_rewrite(window), dealt.select("_row", "_text").schema)
     value = lambda c: F.col("_text") if c == "text" else F.length("_text").cast("long") if c == "n_chars" else F.col(f"_row.`{c}`")
     return out.select(*[value(c).alias(c) for c in docs.columns])

@@ -2,50 +2,63 @@
 common-prefix interval tree of enhanced suffix arrays.
 
 A suffix array of a whole corpus fits no task, so its suffixes are dealt by
-content. Every window of ``length`` bytes has one anchor, its least 80-byte
-gram by hash; equal windows have equal anchors at equal places, so all windows
-of an anchor are judged together and no repeat is split. Anchors that occur
-once are dropped by a set exchange before any text moves. What is left are
-segments, the bytes under the windows of one anchor.
+content. Every window of a given length has one anchor, its least 80-byte gram
+by hash; equal windows have equal anchors at equal places, so all windows of an
+anchor are judged together and no repeat is split. Anchors that occur once are
+dropped by a set exchange before any text moves. What is left are segments, the
+bytes under the windows of one anchor.
 
 For each anchor an enhanced suffix array (suffixes in order, and the common
 prefix of neighbours) is built over its distinct segments and scanned with a
-stack. Every interval of the scan with a common prefix of at least ``length``
-bytes holds all occurrences of one repeated string; if the bytes before its
+stack. Every interval of the scan with a common prefix of at least a window
+holds all occurrences of one repeated string; if the bytes before its
 occurrences differ, the string cannot be extended to the left for all of them
 and the interval is a maximal repeat group, which covers its occurrences.
-Other intervals lie inside such a group. Segments that occur twice whole need
-no scan.
+Other intervals lie inside such a group. A segment that occurs twice whole is
+an interval by itself.
 
-An anchor with over ``HOT`` occurrences (a passage that very many documents
-quote) would make one unbounded array. Its windows are judged by their 128-bit
-hashes in the set exchange instead, where each group sends a number once. Both
-ways are exact.
+Two lengths are judged at once. ``length`` decides what is removed; ``least``,
+half of it, is what counts as a passage: fifty short words are less than 400
+bytes. The anchors of the longer windows are among those of the shorter ones.
+
+An anchor with over ``HOT`` occurrences (a line that very many documents quote
+among different words) would make one unbounded array. It is split by what
+stands around it, at once to the end: into its windows, each of which is, as an
+anchor with its whole context, an interval that needs no scan. Windows meet by
+128-bit hashes in a set exchange, where each group sends a number once. Both
+ways are exact and give the same spans.
+
+Very long texts are read in slices of ``CHUNK_BYTES`` that overlap by a window;
+each anchor belongs to one slice, so the arrays of a task stay small.
 
 Defined cases: a null or empty text has no bytes; texts shorter than a window
 stay; repeated rows are copies of each other; an empty table gives no rows;
-further columns are not read.
+further columns are carried by ``remove_repeats`` under their own names and
+not read by the rest.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
+from hashlib import blake2b, sha256
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import documents, groups_for
-from .rolling import Members, SpanHash, byte_codes, cover, mix64, sliding_argmin, text_buffer, text_chunks, within
+from .common import documents, groups_for, settled
+from .rolling import Members, SpanHash, byte_codes, byte_runs, cover, mix64, sliding_argmin, text_buffer, text_chunks, within
 
 LENGTH = 400
+#: What counts as a passage.
+LEAST = LENGTH // 2
 GRAM = 80
 #: An anchor's occurrences, at most, for a suffix array.
 HOT = 256
 CHUNK_BYTES = 1 << 20
 #: Kinds of answers to a group: segments covered whole, segments covered in
-#: part, and windows.
+#: part, and windows of each of the two lengths. 0 and 1: anchors, hot anchors.
 WHOLE, PART, WINDOWS = 10, 11, 12
 
 _SEGMENTS = "_bucket int, _group int, anchors binary, sizes binary, places binary, counts binary, data binary"
@@ -119,49 +132,86 @@ def covered_parts(segments: list[bytes], places: list[int], length: int) -> list
     return spans
 
 
-class _Chunk:
-    """Anchors, segments and windows of some texts."""
-
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, length: int) -> None:
-        self.data, self.length = data, length
-        codes = byte_codes(data)
-        self.hash = SpanHash(codes)
-        grams = mix64(self.hash.windows(GRAM))
-        self.starts = np.flatnonzero(within(bounds, length))
-        anchor = sliding_argmin(grams, length - GRAM + 1)[self.starts]
-        new = np.ones(len(anchor), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (self.starts[1:] != self.starts[:-1] + 1)
-        at = np.flatnonzero(new)
-        self.place, self.lo = anchor[at], self.starts[at]
-        self.hi = self.starts[np.append(at[1:], len(anchor)) - 1] if len(at) else self.starts
-        self.anchors = mix64(grams[self.place], 3)
-
-    def segments(self) -> np.ndarray:
-        """A hash of each segment."""
-        return mix64(self.hash.spans(self.lo, self.hi + self.length) + (self.hi - self.lo).astype(np.uint64), 5)
+def _digest(segment: bytes) -> bytes:
+    return blake2b(segment, digest_size=16).digest()
 
-    def windows(self, at: np.ndarray) -> np.ndarray:
-        return mix64(self.hash.spans(at, at + self.length), 7)
 
-    def more(self, at: np.ndarray) -> np.ndarray:
-        return SpanHash(byte_codes(self.data, 1), 1).spans(at, at + self.length)
+class _Chunk:
+    """Anchors, segments and windows of some texts, or of a slice of one.
 
+    ``start`` and ``end`` are a segment's bytes, ``place`` its anchor's;
+    ``long`` tells which anchors have windows of ``length``, that start from
+    ``first`` to ``last``, and ``lo`` to ``hi`` are those of ``least``.
+    """
 
-def _chunks(table, length: int):
-    data, bounds = text_buffer(table.column("_text"))
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, least: int, length: int, keep: tuple[int, int]) -> None:
+        self.data, self.least, self.length = data, least, length
+        grams = mix64(SpanHash(byte_codes(data)).windows(GRAM))
+        self.place, self.lo, self.hi = self._anchors(grams, bounds, least, keep)
+        place, self.first, self.last = self._anchors(grams, bounds, length, keep)
+        self.long = np.searchsorted(self.place, place)
+        self.anchors = mix64(grams[self.place], 3)
+        self.start, self.end = self.lo.copy(), self.hi + least
+        self.start[self.long] = np.minimum(self.lo[self.long], self.first)
+        self.end[self.long] = np.maximum(self.end[self.long], self.last + length)
+
+    @staticmethod
+    def _anchors(grams: np.ndarray, bounds: np.ndarray, length: int, keep: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The anchors' places, and the first and last window of each."""
+        starts = np.flatnonzero(within(bounds, length))
+        anchor = sliding_argmin(grams, length - GRAM + 1)[starts]
+        new = np.ones(len(anchor), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
+        at = np.flatnonzero(new)
+        place, first = anchor[at], starts[at]
+        last = starts[np.append(at[1:], len(anchor)) - 1] if len(at) else starts
+        own = (place >= keep[0]) & (place < keep[1])
+        return place[own], first[own], last[own]
+
+    def windows(self, hot: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For both lengths the starts and 128-bit hashes of the windows of
+        the anchors that ``hot`` marks."""
+        if not hot.any():
+            return
+        mask = cover(len(self.data), self.start[hot], self.end[hot])
+        compact, to = self.data[mask], np.cumsum(mask) - 1
+        which = hot[self.long]
+        levels = [(self.length, self.first[which], self.last[which])]
+        if self.least < self.length:
+            levels.append((self.least, self.lo[hot], self.hi[hot]))
+        for length, lo, hi in levels:
+            n = hi - lo + 1
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            if len(at):
+                yield length, at, *(byte_runs(compact, length, lane)[to[at]] for lane in (0, 1))
+
+
+def _chunks(data: np.ndarray, bounds: np.ndarray, least: int, length: int) -> Iterator[tuple[int, _Chunk]]:
+    """Chunks and where they begin: texts together, long ones in slices. A
+    slice has all windows of the anchors that lie in its own part."""
     for lo, hi in text_chunks(bounds, CHUNK_BYTES):
-        yield lo, hi, _Chunk(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], length)
+        a, b = int(bounds[lo]), int(bounds[hi])
+        if hi - lo > 1 or b - a <= 2 * CHUNK_BYTES:
+            yield a, _Chunk(data[a:b], bounds[lo : hi + 1] - a, least, length, (0, b - a))
+            continue
+        for own in range(a, b, CHUNK_BYTES):
+            c, d = max(a, own - length), min(b, own + CHUNK_BYTES + length)
+            yield c, _Chunk(data[c:d], np.array([0, d - c]), least, length, (own - c, min(b, own + CHUNK_BYTES) - c))
+
 
+def _group_of(table) -> int:
+    return table.column("_group")[0].as_py() if table.num_rows else 0
 
-def _send_anchors(length: int, buckets: int):
+
+def _send_anchors(least: int, length: int, buckets: int):
     def run(table):
-        found = [c.anchors for _, _, c in _chunks(table, length)]
-        return exchange.send(table.column("_group")[0].as_py(), np.concatenate(found or [np.zeros(0, np.uint64)]), None, buckets)
+        found = [c.anchors for _, c in _chunks(*text_buffer(table.column("_text")), least, length)]
+        return exchange.send(_group_of(table), np.concatenate(found or [np.zeros(0, np.uint64)]), None, buckets)
 
     return run
 
 
-def _send_segments(length: int, buckets: int):
+def _send_segments(least: int, length: int, buckets: int):
     """The distinct segments of a group's repeated anchors, packed by bucket."""
 
     def run(table, answer):
@@ -169,13 +219,13 @@ def _send_segments(length: int, buckets: int):
 
         held: dict[tuple[int, int], dict[bytes, list[int]]] = {}
         normal = Members(exchange.answered(answer, 0))
-        for _, _, c in _chunks(table, length) if len(normal.values) else ():
+        for _, c in _chunks(*text_buffer(table.column("_text")), least, length) if len(normal.values) else ():
             hit = np.flatnonzero(normal.of(c.anchors))
             raw = c.data.tobytes()
-            for h, p, lo, hi in zip(c.anchors[hit].tolist(), c.place[hit].tolist(), c.lo[hit].tolist(), c.hi[hit].tolist(), strict=True):
-                seen = held.setdefault((h * buckets) >> 64, {}).setdefault((h, raw[lo : hi + length]), [p - lo, 0])
+            for h, p, a, b in zip(c.anchors[hit].tolist(), c.place[hit].tolist(), c.start[hit].tolist(), c.end[hit].tolist(), strict=True):
+                seen = held.setdefault((h * buckets) >> 64, {}).setdefault((h, raw[a:b]), [p - a, 0])
                 seen[1] += 1
-        group = table.column("_group")[0].as_py() if table.num_rows else 0
+        group = _group_of(table)
         rows = []
         for bucket, segments in sorted(held.items()):
             keys, notes = list(segments), list(segments.values())
@@ -197,20 +247,13 @@ def _send_segments(length: int, buckets: int):
     return run
 
 
-def _segment_hash(data: bytes, ends: np.ndarray, length: int) -> np.ndarray:
-    """The same hashes as ``_Chunk.segments`` of segments that lie in a row."""
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    out = np.empty(len(ends), np.uint64)
-    raw, bounds = np.frombuffer(data, np.uint8), np.append(starts, ends[-1] if len(ends) else 0)
-    for lo, hi in text_chunks(bounds, CHUNK_BYTES):
-        h = SpanHash(byte_codes(raw[bounds[lo] : bounds[hi]]))
-        s = bounds[lo : hi + 1] - bounds[lo]
-        out[lo:hi] = mix64(h.spans(s[:-1], s[1:]) + (np.diff(s) - length).astype(np.uint64), 5)
-    return out
-
+def _scan(least: int, every: bool):
+    """Judge a bucket's segments, anchor by anchor.
 
-def _scan(length: int):
-    """Judge a bucket's segments, anchor by anchor."""
+    Groups are told the digests of segments that are covered whole, and of
+    others the spans, with the digest of the repeated string. With ``every``
+    the spans within segments covered whole are told too.
+    """
 
     def run(table):
         import pyarrow as pa
@@ -221,110 +264,202 @@ def _scan(length: int):
         groups = np.repeat(np.array(table.column("_group").to_pylist(), np.int32), [len(x) // 8 for x in table.column("anchors").to_pylist()])
         data = blob("data")
         ends = np.cumsum(sizes, dtype=np.int64)
-        hashes = _segment_hash(data, ends, length)
         order = np.argsort(anchors, kind="stable").tolist()
-        whole: dict[int, list[int]] = {}
-        part: dict[int, list[tuple[int, int, int]]] = {}
-        ends_, sizes_, anchors_, counts_, places_, groups_, hashes_ = (x.tolist() for x in (ends, sizes, anchors, counts, places, groups, hashes))
+        whole: dict[int, list[bytes]] = {}
+        part: dict[int, list[bytes]] = {}
+        ends_, sizes_, anchors_, counts_, places_, groups_ = (x.tolist() for x in (ends, sizes, anchors, counts, places, groups))
         at = 0
         while at < len(order):
             stop = at
             distinct: dict[bytes, list] = {}
             while stop < len(order) and anchors_[order[stop]] == anchors_[order[at]]:
                 j = order[stop]
-                note = distinct.setdefault(data[ends_[j] - sizes_[j] : ends_[j]], [0, places_[j], hashes_[j], []])
+                note = distinct.setdefault(data[ends_[j] - sizes_[j] : ends_[j]], [0, places_[j], []])
                 note[0] += counts_[j]
-                note[3].append(groups_[j])
+                note[2].append(groups_[j])
                 stop += 1
             at = stop
-            single = [note[0] == 1 for note in distinct.values()]
-            spans = covered_parts(list(distinct), [note[1] for note in distinct.values()], length) if any(single) and len(single) > 1 else [[]] * len(single)
-            for once, note, found in zip(single, distinct.values(), spans, strict=True):
-                if not once:
-                    for g in note[3]:
-                        whole.setdefault(g, []).append(note[2])
-                else:
-                    part.setdefault(note[3][0], []).extend((note[2], lo, hi) for lo, hi in found)
-        rows = [(g, WHOLE, np.array(v, np.uint64).tobytes()) for g, v in whole.items()] + [(g, PART, np.array(v, np.uint64).tobytes()) for g, v in part.items() if v]
+            asked = [every or note[0] == 1 for note in distinct.values()]
+            spans = covered_parts(list(distinct), [note[1] for note in distinct.values()], least) if any(asked) and len(asked) > 1 else [[]] * len(asked)
+            for (segment, note), found in zip(distinct.items(), spans, strict=True):
+                own = _digest(segment)
+                if note[0] > 1:
+                    for g in note[2]:
+                        whole.setdefault(g, []).append(own)
+                if every or note[0] == 1:
+                    told = [own + np.array([lo, hi], np.uint64).tobytes() + _digest(segment[lo:hi]) for lo, hi in found]
+                    for g in note[2] if told else ():
+                        part.setdefault(g, []).extend(told)
+        rows = [(g, kind, b"".join(v)) for kind, held in ((WHOLE, whole), (PART, part)) for g, v in held.items()]
         return pa.table({"_group": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "values": pa.array([r[2] for r in rows], pa.binary())})
 
     return run
 
 
-def _send_windows(length: int, buckets: int):
+def _send_windows(least: int, length: int, buckets: int):
     """Hashes of the windows of hot anchors."""
 
     def run(table, answer):
         none = [np.zeros(0, np.uint64)]
         first, more = [*none], [*none]
         hot = Members(exchange.answered(answer, 1))
-        for _, _, c in _chunks(table, length) if len(hot.values) else ():
-            hit = hot.of(c.anchors)
-            if hit.any():
-                at = c.starts[np.repeat(hit, c.hi - c.lo + 1)]
-                first.append(c.windows(at))
-                more.append(c.more(at))
-        return exchange.send(table.column("_group")[0].as_py() if table.num_rows else 0, np.concatenate(first), np.concatenate(more), buckets)
+        for _, c in _chunks(*text_buffer(table.column("_text")), least, length) if len(hot.values) else ():
+            for _, _, one, two in c.windows(hot.of(c.anchors)):
+                first.append(one)
+                more.append(two)
+        return exchange.send(_group_of(table), np.concatenate(first), np.concatenate(more), buckets)
+
+    return run
+
+
+def _found(data: np.ndarray, bounds: np.ndarray, answer, least: int, length: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Starts, ends and string digests of a group's repeats, by its answers."""
+    normal, hot = Members(exchange.answered(answer, 0)), Members(exchange.answered(answer, 1))
+    windows = Members(*exchange.answered_wide(answer, WINDOWS))
+    whole = {x.tobytes() for x in exchange.answered(answer, WHOLE).reshape(-1, 2)}
+    part: dict[bytes, list[tuple[int, int, bytes]]] = {}
+    for x in exchange.answered(answer, PART).reshape(-1, 6):
+        part.setdefault(x[:2].tobytes(), []).append((int(x[2]), int(x[3]), x[4:].tobytes()))
+    starts, ends, names = [], [], []
+    for base, c in _chunks(data, bounds, least, length) if len(normal.values) or len(hot.values) else ():
+        hit = np.flatnonzero(normal.of(c.anchors))
+        raw = c.data.tobytes() if len(hit) else b""
+        for a, b in zip(c.start[hit].tolist(), c.end[hit].tolist(), strict=True):
+            own = _digest(raw[a:b])
+            if own in whole:
+                starts.append(base + a)
+                ends.append(base + b)
+                names.append(own)
+            for lo, hi, name in part.get(own, ()):
+                starts.append(base + a + lo)
+                ends.append(base + a + hi)
+                names.append(name)
+        for size, at, one, two in c.windows(hot.of(c.anchors)):
+            ok = windows.of(one, two)
+            starts.extend((base + at[ok]).tolist())
+            ends.extend((base + at[ok] + size).tolist())
+            names.extend(x.tobytes() for x in np.stack([one[ok], two[ok]], axis=1))
+    return np.array(starts, np.int64), np.array(ends, np.int64), names
+
+
+def _runs(gone: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text how many bytes ``gone`` marks, and in how many runs."""
+    upto = np.concatenate([[0], np.cumsum(gone)])
+    begins = gone.copy()
+    begins[1:] &= ~gone[:-1]
+    inner = bounds[(bounds > 0) & (bounds < len(gone))]
+    begins[inner] = gone[inner]
+    runs = np.concatenate([[0], np.cumsum(begins)])
+    return upto[bounds[1:]] - upto[bounds[:-1]], runs[bounds[1:]] - runs[bounds[:-1]]
+
+
+def _report(least: int, length: int):
+    def run(table, answer):
+        import pyarrow as pa
+
+        data, bounds = text_buffer(table.column("_text"))
+        starts, ends, _ = _found(data, bounds, answer, least, length)
+        enough = ends - starts >= length
+        gone = cover(len(data), starts[enough], ends[enough])
+        removed, spans = _runs(gone, bounds)
+        repeated, passages = _runs(cover(len(data), starts, ends), bounds)
+        digests = []
+        for a, b, k in zip(bounds[:-1].tolist(), bounds[1:].tolist(), removed.tolist(), strict=True):
+            digests.append(sha256((data[a:b][~gone[a:b]] if k else data[a:b]).tobytes()).hexdigest())
+        numbers = {"n_bytes": np.diff(bounds), "n_removed": removed, "n_spans": spans}
+        more = {"n_repeated": repeated, "n_passages": passages}
+        whole = lambda held: {k: pa.array(v.astype(np.int64)) for k, v in held.items()}
+        return pa.table({"doc_id": table.column("doc_id").cast(pa.int64()), **whole(numbers), "kept_sha256": pa.array(digests, pa.string()), **whole(more)})
+
+    return run
+
+
+def _groups(least: int, length: int):
+    def run(table, answer):
+        import pyarrow as pa
+
+        data, bounds = text_buffer(table.column("_text"))
+        starts, ends, names = _found(data, bounds, answer, least, length)
+        text = np.searchsorted(bounds, starts, "right") - 1
+        # Slices and anchors may tell of one occurrence twice.
+        rows = sorted({(n.hex(), k, s - int(bounds[k]), e - s) for n, k, s, e in zip(names, text.tolist(), starts.tolist(), ends.tolist(), strict=True)})
+        ids = table.column("doc_id").to_pylist()
+        return pa.table(
+            {
+                "repeat_id": pa.array([r[0] for r in rows], pa.string()),
+                "doc_id": pa.array([ids[r[1]] for r in rows], pa.int64()),
+                "start": pa.array([r[2] for r in rows], pa.int64()),
+                "length": pa.array([r[3] for r in rows], pa.int64()),
+            }
+        )
 
     return run
 
 
-def _digest(length: int):
+def _cut(least: int, length: int):
     def run(table, answer):
         import pyarrow as pa
 
-        whole = Members(exchange.answered(answer, WHOLE))
-        windows = Members(exchange.answered(answer, WINDOWS))
-        triples = exchange.answered(answer, PART).reshape(-1, 3)
-        triples = triples[np.argsort(triples[:, 0], kind="stable")]
-        some = Members(triples[:, 0])
         data, bounds = text_buffer(table.column("_text"))
-        n_removed, n_spans, digests = [], [], []
-        for first, last, c in _chunks(table, length):
-            hashes = c.segments()
-            hit = whole.of(hashes)
-            starts, ends = [c.lo[hit]], [c.hi[hit] + length]
-            hit = np.flatnonzero(some.of(hashes))
-            lo, hi = np.searchsorted(triples[:, 0], hashes[hit], "left"), np.searchsorted(triples[:, 0], hashes[hit], "right")
-            rows = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)]) if len(hit) else np.zeros(0, np.int64)
-            base = np.repeat(c.lo[hit], hi - lo)
-            starts.append(base + triples[rows, 1].astype(np.int64))
-            ends.append(base + triples[rows, 2].astype(np.int64))
-            if len(windows.values):
-                at = c.starts[windows.of(c.windows(c.starts))]
-                starts.append(at)
-                ends.append(at + length)
-            gone = cover(len(c.data), np.concatenate(starts), np.concatenate(ends))
-            own = bounds[first : last + 1] - bounds[first]
-            upto = np.concatenate([[0], np.cumsum(gone)])
-            begins = gone.copy()
-            begins[1:] &= ~gone[:-1]
-            inner = own[(own > 0) & (own < len(gone))]
-            begins[inner] = gone[inner]
-            runs = np.concatenate([[0], np.cumsum(begins)])
-            removed = upto[own[1:]] - upto[own[:-1]]
-            n_removed.append(removed)
-            n_spans.append(runs[own[1:]] - runs[own[:-1]])
-            for a, b, k in zip(own[:-1].tolist(), own[1:].tolist(), removed.tolist(), strict=True):
-                text = c.data[a:b]
-                digests.append(hashlib.sha256((text[~gone[a:b]] if k else text).tobytes()).hexdigest())
-        flat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-        return pa.table({"doc_id": table.column("doc_id").cast(pa.int64()), "n_bytes": pa.array(np.diff(bounds)), "n_removed": pa.array(flat(n_removed)), "n_spans": pa.array(flat(n_spans)), "kept_sha256": pa.array(digests, pa.string())})
+        starts, ends, _ = _found(data, bounds, answer, least, length)
+        enough = ends - starts >= length
+        gone = cover(len(data), starts[enough], ends[enough])
+        texts = table.column("_text").to_pylist()
+        for k in np.flatnonzero(_runs(gone, bounds)[0]).tolist():
+            a, b = bounds[k], bounds[k + 1]
+            texts[k] = data[a:b][~gone[a:b]].tobytes().decode(errors="ignore")
+        rest = [c for c in table.column_names if c not in ("_group", "_text")]
+        return pa.table({**{c: table.column(c) for c in rest}, "_text": pa.array(texts, pa.string())})
 
     return run
 
 
-def repeat_digests(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the digest of what is kept."""
+def _judged(docs: DataFrame, carry: list, least: int, length: int, hot: int, every: bool = False):
+    """The dealt rows, and for each group the answers about its text."""
+    if not GRAM <= least <= length:
+        raise ValueError(f"least is to be from {GRAM} to length")
+    docs = settled(docs)
     groups, size = groups_for(docs, exchange.GROUP_BYTES)
     buckets = max(exchange.LEAST_BUCKETS, size // exchange.GROUP_BYTES)
-    dealt = exchange.deal(docs.select("doc_id", F.col("text").alias("_text")), groups)
+    dealt = exchange.deal(docs.select(*carry, F.col("text").alias("_text")), groups)
     by_group = lambda df: df.groupBy("_group")
-    anchors = exchange.shared(by_group(dealt).applyInArrow(_send_anchors(length, max(exchange.LEAST_BUCKETS, size // exchange.BUCKET_BYTES)), exchange.SENT), hot=hot)
-    segments = by_group(dealt).cogroup(by_group(anchors)).applyInArrow(_send_segments(length, buckets), _SEGMENTS)
-    judged = segments.groupBy("_bucket").applyInArrow(_scan(length), exchange.ANSWER)
-    windows = exchange.shared(by_group(dealt).cogroup(by_group(anchors)).applyInArrow(_send_windows(length, buckets), exchange.SENT), kind=WINDOWS)
-    return by_group(dealt).cogroup(by_group(judged.unionByName(windows))).applyInArrow(_digest(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    wide = max(exchange.LEAST_BUCKETS, size // exchange.BUCKET_BYTES)
+    anchors = exchange.shared(by_group(dealt).applyInArrow(_send_anchors(least, length, wide), exchange.SENT), hot=hot)
+    segments = by_group(dealt).cogroup(by_group(anchors)).applyInArrow(_send_segments(least, length, buckets), _SEGMENTS)
+    judged = segments.groupBy("_bucket").applyInArrow(_scan(least, every), exchange.ANSWER)
+    windows = exchange.shared(by_group(dealt).cogroup(by_group(anchors)).applyInArrow(_send_windows(least, length, buckets), exchange.SENT), kind=WINDOWS)
+    return by_group(dealt), by_group(anchors.unionByName(judged).unionByName(windows))
+
+
+def repeat_digests(docs: DataFrame, length: int = LENGTH, hot: int = HOT, least: int = LEAST) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and the digest of what is kept when
+    strings of ``length`` bytes that occur again are removed; n_repeated and
+    n_passages: bytes under strings of ``least`` bytes that occur again, and
+    their maximal runs."""
+    dealt, answers = _judged(docs, [F.col("doc_id")], least, length, hot)
+    return dealt.cogroup(answers).applyInArrow(_report(least, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, n_passages long")
+
+
+def repeat_groups(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """(repeat_id, doc_id, start, length): all occurrences, in bytes, of the
+    repeat groups of at least ``length`` bytes that are maximal within the
+    reach of an anchor. Rows with one repeat_id are one string; repeats at a
+    hot anchor are told by their windows."""
+    dealt, answers = _judged(docs, [F.col("doc_id").cast("long").alias("doc_id")], length, length, hot, every=True)
+    return dealt.cogroup(answers).applyInArrow(_groups(length, length), "repeat_id string, doc_id long, start long, length long")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """All rows and columns of ``docs`` without the bytes under strings of
+    ``length`` bytes that occur again; of a character cut in two nothing is
+    left. ``n_chars``, where there is one, follows the new text."""
+    rest = [c for c in docs.columns if c != "text"]
+    carry = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row")] if rest else [F.lit(1).alias("_row")]
+    schema = docs.select(*carry, F.col("text").alias("_text")).schema
+    dealt, answers = _judged(docs, carry, length, length, hot)
+    out = dealt.cogroup(answers).applyInArrow(_cut(length, length), schema)
+    value = lambda c: F.col("_text") if c == "text" else F.length("_text").cast("long") if c == "n_chars" else F.col(f"_row.`{c}`")
+    return out.select(*[value(c).alias(c) for c in docs.columns])
 
 
 def suffix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
