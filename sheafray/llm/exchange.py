@@ -63,7 +63,9 @@ def send(group: int, values: np.ndarray, more: np.ndarray | None, buckets: int):
     )
 
 
-def _answer(kind: int, hot: int | None) -> Callable:
+def counted(kind: int, hot: int | None = None) -> Callable:
+    """What a bucket answers to the groups that sent it numbers."""
+
     def run(table):
         import pyarrow as pa
 
@@ -109,7 +111,7 @@ def shared(sent: DataFrame, kind: int = 0, hot: int | None = None) -> DataFrame:
     or twice in it; those with over ``hot`` occurrences in all as ``kind`` + 1.
     128-bit numbers come back whole, half by half (``answered_wide``).
     """
-    return sent.groupBy("_bucket").applyInArrow(_answer(kind, hot), ANSWER)
+    return sent.groupBy("_bucket").applyInArrow(counted(kind, hot), ANSWER)
 
 
 def answered_wide(table, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:

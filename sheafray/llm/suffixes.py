@@ -61,7 +61,9 @@ CHUNK_BYTES = 1 << 20
 #: part, and windows of each of the two lengths. 0 and 1: anchors, hot anchors.
 WHOLE, PART, WINDOWS = 10, 11, 12
 
-_SEGMENTS = "_bucket int, _group int, anchors binary, sizes binary, places binary, counts binary, data binary"
+#: What groups send: windows as ``exchange.SENT`` has them, or segments, with
+#: anchors as values and sizes as more.
+_TOLD = exchange.SENT + ", places binary, data binary"
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -79,19 +81,15 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return lo
 
 
-def maximal_repeats(strings: list[bytes], starts: list[range], length: int) -> list[tuple[int, list[tuple[int, int]]]]:
+def maximal_repeats(strings: list[bytes], starts: list[list[int]], length: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Maximal repeat groups of at least ``length`` bytes among the suffixes
-    of ``strings`` that begin in ``starts``: (bytes, [(string, start), ...]).
-
-    ``starts`` of a string must reach as far left as its repeats do; what
-    begins at the first of them counts as not extendable.
-    """
+    of ``strings`` that begin in ``starts``: (bytes, [(string, start), ...])."""
     suffixes = sorted((s[k:], i, k) for i, (s, ks) in enumerate(zip(strings, starts, strict=True)) for k in ks)
     n = len(suffixes)
     # left[j]: how many times the byte before a suffix differs from its forerunner's, up to j.
     left, before = [0] * n, None
     for j, (_, i, k) in enumerate(suffixes):
-        byte = strings[i][k - 1] if k > starts[i].start else None
+        byte = strings[i][k - 1] if k else None
         left[j] = (left[j - 1] if j else 0) + (byte is None or byte != before)
         before = byte
     groups, stack = [], []
@@ -109,27 +107,39 @@ def maximal_repeats(strings: list[bytes], starts: list[range], length: int) -> l
     return groups
 
 
-def covered_parts(segments: list[bytes], places: list[int], length: int) -> list[list[tuple[int, int]]]:
-    """For each of an anchor's distinct segments the spans that repeats cover.
+def repeated_parts(segments: list[bytes], places: list[int], length: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The maximal repeat groups among an anchor's distinct segments.
 
     ``places`` has the anchor's place in each. A window is repeated only if
-    some other segment agrees with it left and right of the anchor; the best
-    agreement of a segment on either side is that with a neighbour in sorted
-    order, which bounds the suffixes worth sorting.
+    some other segment agrees with it left and right of the anchor. A group
+    that cannot be extended to the left begins where two segments cease to
+    agree, and how far any two agree is how far some neighbours in sorted
+    order do; so few suffixes are worth sorting.
     """
     n = len(segments)
     right, left = [0] * n, [0] * n
-    for best, keys in ((right, [s[p:] for s, p in zip(segments, places, strict=True)]), (left, [s[:p][::-1] for s, p in zip(segments, places, strict=True)])):
+    ceases: list[set[int]] = [set(), set()]
+    sides = [s[p:] for s, p in zip(segments, places, strict=True)], [s[:p][::-1] for s, p in zip(segments, places, strict=True)]
+    for best, keys, seen in zip((right, left), sides, ceases, strict=True):
         order = sorted(range(n), key=keys.__getitem__)
         for a, b in zip(order, order[1:], strict=False):
             k = common_prefix(keys[a], keys[b])
             best[a], best[b] = max(best[a], k), max(best[b], k)
-    starts = [range(p - lo, max(p - lo, p + hi - length + 1)) for p, lo, hi in zip(places, left, right, strict=True)]
-    spans: list[list[tuple[int, int]]] = [[] for _ in segments]
-    for depth, where in maximal_repeats(segments, starts, length):
-        for i, k in where:
-            spans[i].append((k, k + depth))
-    return spans
+            seen.add(k)
+    back = sorted(ceases[1])
+    starts = [[p - k for k in back if length - hi <= k <= lo] for p, lo, hi in zip(places, left, right, strict=True)]
+    return maximal_repeats(segments, starts, length)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that touch as one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
 
 
 def _digest(segment: bytes) -> bytes:
@@ -211,20 +221,26 @@ def _send_anchors(least: int, length: int, buckets: int):
     return run
 
 
-def _send_segments(least: int, length: int, buckets: int):
-    """The distinct segments of a group's repeated anchors, packed by bucket."""
+def _tell(least: int, length: int, buckets: int, wide: int):
+    """The distinct segments of a group's repeated anchors, packed by bucket,
+    and behind those buckets the hashes of the windows of hot anchors."""
 
     def run(table, answer):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         held: dict[tuple[int, int], dict[bytes, list[int]]] = {}
-        normal = Members(exchange.answered(answer, 0))
-        for _, c in _chunks(*text_buffer(table.column("_text")), least, length) if len(normal.values) else ():
+        first, more = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        normal, hot = Members(exchange.answered(answer, 0)), Members(exchange.answered(answer, 1))
+        for _, c in _chunks(*text_buffer(table.column("_text")), least, length) if answer.num_rows else ():
             hit = np.flatnonzero(normal.of(c.anchors))
-            raw = c.data.tobytes()
+            raw = c.data.tobytes() if len(hit) else b""
             for h, p, a, b in zip(c.anchors[hit].tolist(), c.place[hit].tolist(), c.start[hit].tolist(), c.end[hit].tolist(), strict=True):
                 seen = held.setdefault((h * buckets) >> 64, {}).setdefault((h, raw[a:b]), [p - a, 0])
                 seen[1] += 1
+            for _, _, one, two in c.windows(hot.of(c.anchors)):
+                first.append(one)
+                more.append(two)
         group = _group_of(table)
         rows = []
         for bucket, segments in sorted(held.items()):
@@ -235,111 +251,116 @@ def _send_segments(least: int, length: int, buckets: int):
                     group,
                     np.array([h for h, _ in keys], np.uint64).tobytes(),
                     np.array([len(s) for _, s in keys], np.int32).tobytes(),
-                    np.array([p for p, _ in notes], np.int32).tobytes(),
                     np.array([n for _, n in notes], np.int32).tobytes(),
+                    np.array([p for p, _ in notes], np.int32).tobytes(),
                     b"".join(s for _, s in keys),
                 )
             )
         kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
-        names = ("_bucket", "_group", "anchors", "sizes", "places", "counts", "data")
-        return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(zip(names, kinds, strict=True))})
+        names = ("_bucket", "_group", "values", "more", "counts", "places", "data")
+        told = pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(zip(names, kinds, strict=True))})
+        windows = exchange.send(group, np.concatenate(first), np.concatenate(more), wide)
+        none = pa.array([b""] * windows.num_rows, pa.binary())
+        windows = windows.set_column(0, "_bucket", pc.add(windows.column("_bucket"), pa.scalar(buckets, pa.int32())))
+        return pa.concat_tables([told, windows.append_column("places", none).append_column("data", none)])
 
     return run
 
 
-def _scan(least: int, every: bool):
+def _scan(table, least: int, length: int, every: bool):
     """Judge a bucket's segments, anchor by anchor.
 
     Groups are told the digests of segments that are covered whole, and of
-    others the spans, with the digest of the repeated string. With ``every``
-    the spans within segments covered whole are told too.
+    others what is covered, by strings of ``least`` bytes and by those of
+    ``length``. With ``every`` each group's part of each segment is told, and
+    the digest of the repeated string.
     """
+    import pyarrow as pa
+
+    blob = lambda c: b"".join(table.column(c).to_pylist())
+    anchors = np.frombuffer(blob("values"), np.uint64)
+    sizes, places, counts = (np.frombuffer(blob(c), np.int32) for c in ("more", "places", "counts"))
+    groups = np.repeat(np.array(table.column("_group").to_pylist(), np.int32), [len(x) // 8 for x in table.column("values").to_pylist()])
+    data = blob("data")
+    ends = np.cumsum(sizes, dtype=np.int64)
+    order = np.argsort(anchors, kind="stable").tolist()
+    whole: dict[int, list[bytes]] = {}
+    part: dict[int, list[bytes]] = {}
+    ends_, sizes_, anchors_, counts_, places_, groups_ = (x.tolist() for x in (ends, sizes, anchors, counts, places, groups))
+    at = 0
+    while at < len(order):
+        stop = at
+        distinct: dict[bytes, list] = {}
+        while stop < len(order) and anchors_[order[stop]] == anchors_[order[at]]:
+            j = order[stop]
+            note = distinct.setdefault(data[ends_[j] - sizes_[j] : ends_[j]], [0, places_[j], [], []])
+            note[0] += counts_[j]
+            note[2].append(groups_[j])
+            stop += 1
+        at = stop
+        notes = list(distinct.values())
+        if len(notes) > 1 and (every or any(note[0] == 1 for note in notes)):
+            for depth, where in repeated_parts(list(distinct), [note[1] for note in notes], least):
+                for i, k in where:
+                    notes[i][3].append((k, k + depth))
+        for segment, note in distinct.items():
+            own = _digest(segment)
+            if note[0] > 1:
+                for g in note[2]:
+                    whole.setdefault(g, []).append(own)
+            if every:
+                told = [own + np.array([lo, hi, 0], np.uint64).tobytes() + _digest(segment[lo:hi]) for lo, hi in note[3]]
+            elif note[0] == 1:
+                long = merged([s for s in note[3] if s[1] - s[0] >= length])
+                short = [s for s in merged(note[3]) if s not in long]
+                told = [own + np.array([lo, hi, kind], np.uint64).tobytes() for kind, spans in ((0, short), (1, long)) for lo, hi in spans]
+            else:
+                told = []
+            for g in note[2] if told else ():
+                part.setdefault(g, []).extend(told)
+    rows = [(g, kind, b"".join(v)) for kind, held in ((WHOLE, whole), (PART, part)) for g, v in held.items()]
+    return pa.table({"_group": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "values": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def _judge(least: int, length: int, buckets: int, every: bool):
+    """A bucket's answers: of segments by their scan, of windows by count."""
+    count = exchange.counted(WINDOWS)
 
     def run(table):
-        import pyarrow as pa
-
-        blob = lambda c: b"".join(table.column(c).to_pylist())
-        anchors = np.frombuffer(blob("anchors"), np.uint64)
-        sizes, places, counts = (np.frombuffer(blob(c), np.int32) for c in ("sizes", "places", "counts"))
-        groups = np.repeat(np.array(table.column("_group").to_pylist(), np.int32), [len(x) // 8 for x in table.column("anchors").to_pylist()])
-        data = blob("data")
-        ends = np.cumsum(sizes, dtype=np.int64)
-        order = np.argsort(anchors, kind="stable").tolist()
-        whole: dict[int, list[bytes]] = {}
-        part: dict[int, list[bytes]] = {}
-        ends_, sizes_, anchors_, counts_, places_, groups_ = (x.tolist() for x in (ends, sizes, anchors, counts, places, groups))
-        at = 0
-        while at < len(order):
-            stop = at
-            distinct: dict[bytes, list] = {}
-            while stop < len(order) and anchors_[order[stop]] == anchors_[order[at]]:
-                j = order[stop]
-                note = distinct.setdefault(data[ends_[j] - sizes_[j] : ends_[j]], [0, places_[j], []])
-                note[0] += counts_[j]
-                note[2].append(groups_[j])
-                stop += 1
-            at = stop
-            asked = [every or note[0] == 1 for note in distinct.values()]
-            spans = covered_parts(list(distinct), [note[1] for note in distinct.values()], least) if any(asked) and len(asked) > 1 else [[]] * len(asked)
-            for (segment, note), found in zip(distinct.items(), spans, strict=True):
-                own = _digest(segment)
-                if note[0] > 1:
-                    for g in note[2]:
-                        whole.setdefault(g, []).append(own)
-                if every or note[0] == 1:
-                    told = [own + np.array([lo, hi], np.uint64).tobytes() + _digest(segment[lo:hi]) for lo, hi in found]
-                    for g in note[2] if told else ():
-                        part.setdefault(g, []).extend(told)
-        rows = [(g, kind, b"".join(v)) for kind, held in ((WHOLE, whole), (PART, part)) for g, v in held.items()]
-        return pa.table({"_group": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "values": pa.array([r[2] for r in rows], pa.binary())})
-
-    return run
-
-
-def _send_windows(least: int, length: int, buckets: int):
-    """Hashes of the windows of hot anchors."""
-
-    def run(table, answer):
-        none = [np.zeros(0, np.uint64)]
-        first, more = [*none], [*none]
-        hot = Members(exchange.answered(answer, 1))
-        for _, c in _chunks(*text_buffer(table.column("_text")), least, length) if len(hot.values) else ():
-            for _, _, one, two in c.windows(hot.of(c.anchors)):
-                first.append(one)
-                more.append(two)
-        return exchange.send(_group_of(table), np.concatenate(first), np.concatenate(more), buckets)
+        return count(table) if table.column("_bucket")[0].as_py() >= buckets else _scan(table, least, length, every)
 
     return run
 
 
-def _found(data: np.ndarray, bounds: np.ndarray, answer, least: int, length: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Starts, ends and string digests of a group's repeats, by its answers."""
+def _found(data: np.ndarray, bounds: np.ndarray, answer, least: int, length: int, every: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
+    """Starts and ends of what a group's answers cover, and whether strings of
+    ``length`` do; with ``every`` the digests of the strings instead."""
     normal, hot = Members(exchange.answered(answer, 0)), Members(exchange.answered(answer, 1))
     windows = Members(*exchange.answered_wide(answer, WINDOWS))
     whole = {x.tobytes() for x in exchange.answered(answer, WHOLE).reshape(-1, 2)}
-    part: dict[bytes, list[tuple[int, int, bytes]]] = {}
-    for x in exchange.answered(answer, PART).reshape(-1, 6):
-        part.setdefault(x[:2].tobytes(), []).append((int(x[2]), int(x[3]), x[4:].tobytes()))
-    starts, ends, names = [], [], []
+    part: dict[bytes, list[tuple]] = {}
+    for x in exchange.answered(answer, PART).reshape(-1, 7 if every else 5):
+        part.setdefault(x[:2].tobytes(), []).append((int(x[2]), int(x[3]), x[5:].tobytes() if every else bool(x[4])))
+    starts, ends, notes = [], [], []
     for base, c in _chunks(data, bounds, least, length) if len(normal.values) or len(hot.values) else ():
-        hit = np.flatnonzero(normal.of(c.anchors))
+        hit = np.flatnonzero(normal.of(c.anchors)) if whole or part else ()
         raw = c.data.tobytes() if len(hit) else b""
-        for a, b in zip(c.start[hit].tolist(), c.end[hit].tolist(), strict=True):
+        for a, b in zip(c.start[hit].tolist(), c.end[hit].tolist(), strict=True) if len(hit) else ():
             own = _digest(raw[a:b])
             if own in whole:
                 starts.append(base + a)
                 ends.append(base + b)
-                names.append(own)
-            for lo, hi, name in part.get(own, ()):
+                notes.append(own if every else b - a >= length)
+            for lo, hi, note in part.get(own, ()):
                 starts.append(base + a + lo)
                 ends.append(base + a + hi)
-                names.append(name)
+                notes.append(note)
         for size, at, one, two in c.windows(hot.of(c.anchors)):
             ok = windows.of(one, two)
             starts.extend((base + at[ok]).tolist())
             ends.extend((base + at[ok] + size).tolist())
-            names.extend(x.tobytes() for x in np.stack([one[ok], two[ok]], axis=1))
-    return np.array(starts, np.int64), np.array(ends, np.int64), names
+            notes.extend((x.tobytes() for x in np.stack([one[ok], two[ok]], axis=1)) if every else [size >= length] * int(ok.sum()))
+    return np.array(starts, np.int64), np.array(ends, np.int64), notes
 
 
 def _runs(gone: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -358,8 +379,8 @@ def _report(least: int, length: int):
         import pyarrow as pa
 
         data, bounds = text_buffer(table.column("_text"))
-        starts, ends, _ = _found(data, bounds, answer, least, length)
-        enough = ends - starts >= length
+        starts, ends, enough = _found(data, bounds, answer, least, length)
+        enough = np.array(enough, bool)
         gone = cover(len(data), starts[enough], ends[enough])
         removed, spans = _runs(gone, bounds)
         repeated, passages = _runs(cover(len(data), starts, ends), bounds)
@@ -379,7 +400,7 @@ def _groups(least: int, length: int):
         import pyarrow as pa
 
         data, bounds = text_buffer(table.column("_text"))
-        starts, ends, names = _found(data, bounds, answer, least, length)
+        starts, ends, names = _found(data, bounds, answer, least, length, every=True)
         text = np.searchsorted(bounds, starts, "right") - 1
         # Slices and anchors may tell of one occurrence twice.
         rows = sorted({(n.hex(), k, s - int(bounds[k]), e - s) for n, k, s, e in zip(names, text.tolist(), starts.tolist(), ends.tolist(), strict=True)})
@@ -401,8 +422,8 @@ def _cut(least: int, length: int):
         import pyarrow as pa
 
         data, bounds = text_buffer(table.column("_text"))
-        starts, ends, _ = _found(data, bounds, answer, least, length)
-        enough = ends - starts >= length
+        starts, ends, enough = _found(data, bounds, answer, least, length)
+        enough = np.array(enough, bool)
         gone = cover(len(data), starts[enough], ends[enough])
         texts = table.column("_text").to_pylist()
         for k in np.flatnonzero(_runs(gone, bounds)[0]).tolist():
@@ -425,10 +446,9 @@ def _judged(docs: DataFrame, carry: list, least: int, length: int, hot: int, eve
     by_group = lambda df: df.groupBy("_group")
     wide = max(exchange.LEAST_BUCKETS, size // exchange.BUCKET_BYTES)
     anchors = exchange.shared(by_group(dealt).applyInArrow(_send_anchors(least, length, wide), exchange.SENT), hot=hot)
-    segments = by_group(dealt).cogroup(by_group(anchors)).applyInArrow(_send_segments(least, length, buckets), _SEGMENTS)
-    judged = segments.groupBy("_bucket").applyInArrow(_scan(least, every), exchange.ANSWER)
-    windows = exchange.shared(by_group(dealt).cogroup(by_group(anchors)).applyInArrow(_send_windows(least, length, buckets), exchange.SENT), kind=WINDOWS)
-    return by_group(dealt), by_group(anchors.unionByName(judged).unionByName(windows))
+    told = by_group(dealt).cogroup(by_group(anchors)).applyInArrow(_tell(least, length, buckets, wide), _TOLD)
+    judged = told.groupBy("_bucket").applyInArrow(_judge(least, length, buckets, every), exchange.ANSWER)
+    return by_group(dealt), by_group(anchors.unionByName(judged))
 
 
 def repeat_digests(docs: DataFrame, length: int = LENGTH, hot: int = HOT, least: int = LEAST) -> DataFrame:

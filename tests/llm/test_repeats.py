@@ -97,7 +97,7 @@ def test_empty_tables(spark):
 
 
 def test_maximal_repeats():
-    groups = suffixes.maximal_repeats([b"xxabcdefyy", b"zzabcdefqq", b"wwabcdemm"], [range(7)] * 3, 4)
+    groups = suffixes.maximal_repeats([b"xxabcdefyy", b"zzabcdefqq", b"wwabcdemm"], [list(range(7))] * 3, 4)
     assert (6, [(0, 2), (1, 2)]) in [(n, sorted(w)) for n, w in groups]
     assert (5, [(0, 2), (1, 2), (2, 2)]) in [(n, sorted(w)) for n, w in groups]
     assert len(groups) == 2
