@@ -21,9 +21,10 @@ of pairs.
 
 Defined cases: null, empty and blank texts link with nothing; a text of one to
 four words has one shingle, all of it; repeated rows are copies; rows that
-share an id are one node (the class is the id's); a row with a null id has the
-class null and stays; an empty table gives no rows; further columns are not
-read, and ``near_stage`` carries them whole.
+share an id but not their text are judged each by its text, and ``near_stage``
+keeps each that no other text's class holds; a row with a null id has the class
+null and stays; an empty table gives no rows; further columns are not read, and
+``near_stage`` carries them whole.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 from math import log
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialize
@@ -47,6 +48,8 @@ REGISTERS = BANDS * ROWS
 #: that a task takes, about.
 BLOCK = 1024
 SLOT = 4000
+#: Nodes from here on stand for texts whose id another text has as well.
+FRESH = 1 << 61
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +138,7 @@ def _sign(batches: Iterator) -> Iterator:
             hashes, begin = shingles(data, bounds)
             signature = bag_signatures(hashes, begin)
             raw, edges = data.tobytes(), bounds.tolist()
-            digest = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(edges, edges[1:], strict=False)]
+            digest = [hashlib.sha256(raw[a:b]).digest()[:16] for a, b in zip(edges, edges[1:], strict=False)]
             points = mix64(signature.view(np.uint64).reshape(-1), 37).reshape(signature.shape)
             bands = np.zeros((len(points), BANDS), np.uint64)
             for r in range(ROWS):
@@ -282,25 +285,52 @@ def _links_across(shared: DataFrame, stars: DataFrame, texts: DataFrame, thresho
     return materialize(members.join(texts.withColumnRenamed("id", "node"), "node").withColumn("slot", slot).groupBy("slot").applyInArrow(_across(threshold), "a long, b long"), "near-across")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id) of every row of ``docs`` (doc_id, text): the least
-    id of the documents it is linked with, directly or through others."""
+def text_digest(text: Column) -> Column:
+    """128 bits of a text's SHA-256, as ``_sign`` makes them."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
+
+
+def _nodes(signed: DataFrame) -> DataFrame:
+    """One row for each different text: digest, id (the least it has), node
+    and bands. The node is the id, or where texts share it, for all but one of
+    them a number beyond ``FRESH`` made of the text."""
+    copies = materialize(signed.where("doc_id is not null and bands is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "near-copies")
+    twice = copies.groupBy("id").agg(F.min("digest").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "lead")
+    if not twice.head(1):
+        return copies.withColumn("node", F.col("id"))
+    fresh = F.lit(FRESH) + F.pmod(F.xxhash64("digest"), F.lit(FRESH))
+    node = F.when(F.col("lead").isNull() | (F.col("lead") == F.col("digest")), F.col("id")).otherwise(fresh)
+    return materialize(copies.join(twice, "id", "left").withColumn("node", node).drop("lead"), "near-nodes")
+
+
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``docs`` as (doc_id, digest), digest null without words, and for each
+    digest its id, node and class, a node."""
     signed = materialize(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, digest binary, bands array<long>"), "near-signed")
     # Exact copies are one node; their bands are equal.
-    copies = materialize(signed.where("doc_id is not null and bands is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "near-copies")
+    copies = _nodes(signed)
     banded = copies.select("node", F.explode("bands").alias("bucket"))
     leaders = materialize(banded.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("bucket", "lead"), "near-leaders")
     shared = materialize(banded.join(leaders, "bucket"), "near-shared")
     # Whole texts move once, by id, at any size; later joins see those of documents that share a bucket.
-    members = shared.select(F.col("node").alias("id")).distinct().hint("merge")
-    texts = materialize(docs.select(F.col("doc_id").alias("id"), "text").join(members, "id"), "near-texts")
+    members = shared.select("node").distinct().join(copies.select("node", F.col("id").alias("_id"), "digest"), "node").hint("merge")
+    same = (F.col("doc_id") == F.col("_id")) & (text_digest(F.col("text")) == F.col("digest"))
+    texts = materialize(docs.select("doc_id", "text").join(members, same).select(F.col("node").alias("id"), "text"), "near-texts")
     first = shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     links = verified(first, texts, threshold)
     more = _links_across(shared, materialize(partial_components(links), "near-parts"), texts, threshold)
     stars = materialize(components(links.unionByName(more)), "near-stars")
-    by_text = copies.join(stars, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
-    out = signed.select("doc_id", F.when(F.col("bands").isNotNull(), F.col("digest")).alias("digest"))
-    return out.join(materialize(by_text, "near-classes"), "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class_id"))
+    by_text = materialize(copies.join(stars, "node", "left").select("digest", "id", "node", F.coalesce("component", "node").alias("class")), "near-classes")
+    return signed.select("doc_id", F.when(F.col("bands").isNotNull(), F.col("digest")).alias("digest")), by_text
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id) of every row of ``docs`` (doc_id, text): the least
+    id of the documents it is linked with, directly or through others."""
+    rows, by_text = _classes(docs, threshold)
+    # A class of nodes beyond FRESH alone goes by its texts' id.
+    by_text = by_text.select("digest", F.when(F.col("class") >= FRESH, F.col("id")).otherwise(F.col("class")).alias("class"))
+    return rows.join(by_text, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class_id"))
 
 
 def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,10 +339,11 @@ def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the document with the
-    least id stays, once; documents without an id stay."""
-    found = classes(docs)
-    keep = found.where("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
-    columns = docs.columns
-    named = docs.join(keep, F.col("doc_id") == F.col("_id")).select(*columns).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """Pipeline stage: of each group of near duplicates one row stays, that of
+    the document with the least id; documents without an id and those without
+    words stay."""
+    _, by_text = _classes(docs, THRESHOLD)
+    lead = by_text.where("node = class").select(F.col("id").alias("_id"), F.col("digest").alias("_lead"))
+    named = docs.where("doc_id is not null").withColumn("_digest", text_digest(F.col("text"))).join(lead, (F.col("doc_id") == F.col("_id")) & (F.col("_digest") == F.col("_lead")))
+    plain = F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return named.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns).unionByName(docs.where(plain))

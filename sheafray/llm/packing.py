@@ -1,25 +1,29 @@
 """Packing (operator 7): mixture-controlled windows by deficit round-robin.
 
 Every source is a queue of its documents' tokens, cut into packets of at most
-``packet`` tokens. A queue with the share p of all tokens earns p tokens of
-credit for each token packed, and sends its next packet when its credit
-reaches that packet's middle; so a packet is sent at the time (its middle's
-place in the queue) / (the queue's length), the same for every queue. The
-order by that time is the round-robin's order, and each queue's deficit stays
-below one packet at any point, across windows and across partitions, though
-no task sees more than its own slice of time.
+``packet`` tokens, and has a target: the tokens it is to have in a window for
+those of the others. A queue with the target w earns w tokens of credit a
+round, and sends its next packet when its credit reaches that packet's middle;
+so a packet is sent in round (its middle's place in the queue) / w. The order
+by rounds is the round-robin's order, and each queue's deficit stays below one
+packet at any point, across windows and across partitions, though no task sees
+more than its own slice of rounds. A queue that runs out leaves the others in
+their proportions.
 
 Tokens stand in that order without gaps; a window is each next ``window`` of
-them. A slice of time gets the same share of every queue, so slices are even
-whatever the sources' sizes; sums of tokens by slice give each slice's first
-place, and every slice cuts its packets at window ends on its own.
+them. A slice is as many rounds as hold about ``slice_tokens`` while all queues
+last; sums of tokens by slice give each slice's first place, slices with few
+tokens are cut together, and each of these batches cuts its packets at window
+ends on its own.
 
-Target shares are those of the input. To pack another mixture, mix first
-(operator 9), which repeats or drops documents towards target weights.
+Targets are by default what the input holds, so that all queues last to the
+end. All documents are packed whatever the targets; to drop or repeat some
+towards a mixture, mix first (operator 9).
 
 Defined cases: a null or empty text is its end id alone; a null source is a
-queue of its own; repeated rows are packed each; an empty table gives no rows;
-further columns are not read.
+queue of its own; sources that ``targets`` does not name have the target 1; a
+target that is not positive is an error; repeated rows are packed each; an
+empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +47,7 @@ _PACKETS = "slice long, sent double, source string, queue_at long, doc_id long,
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _encode(path: str, kind: str, end: int):
+def _encode(path: str, kind: str, end: int, width: int):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -61,14 +65,14 @@ def _encode(path: str, kind: str, end: int):
                 for source, k in zip(some.column("source").to_pylist(), n, strict=True):
                     starts.append(queued.get(source, 0))
                     queued[source] = starts[-1] + k
-                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in packed]
+                ids = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in packed]
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("source").cast(pa.string()), pa.array([part] * len(n), pa.int32()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "part", "queue_start", "n", "ids"])
 
     return run
 
 
-def _packets(packet: int):
-    """Cut documents into packets and give each its time and slice."""
+def _packets(packet: int, width: int):
+    """Cut documents into packets and give each its round and slice."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -77,8 +81,7 @@ def _packets(packet: int):
         for batch in batches:
             n = batch.column("n").to_numpy()
             begin = batch.column("queue_at").to_numpy()
-            total = batch.column("queue_tokens").to_numpy()
-            slices = batch.column("slices").to_numpy()
+            target, rounds = batch.column("target").to_numpy(), batch.column("rounds").to_numpy()
             for at in range(0, len(n), 500):
                 rows = slice(at, at + 500)
                 count = -(-n[rows] // packet)
@@ -86,11 +89,11 @@ def _packets(packet: int):
                 start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * packet
                 size = np.minimum(packet, n[rows][doc] - start)
                 place = begin[rows][doc] + start
-                sent = (place + size / 2) / total[rows][doc]
+                sent = (place + size / 2) / target[rows][doc]
                 ids = batch.column("ids").slice(at, 500).to_pylist()
-                cut = [ids[d][2 * s : 2 * (s + k)] for d, s, k in zip(doc.tolist(), start.tolist(), size.tolist(), strict=True)]
+                cut = [ids[d][width * s : width * (s + k)] for d, s, k in zip(doc.tolist(), start.tolist(), size.tolist(), strict=True)]
                 take = pa.array(doc + at)
-                which = np.minimum((sent * slices[rows][doc]).astype("i8"), slices[rows][doc] - 1)
+                which = (sent / rounds[rows][doc]).astype("i8")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(which), pa.array(sent), batch.column("source").take(take), pa.array(place), batch.column("doc_id").take(take), pa.array(start), pa.array(size.astype("i4")), pa.array(n[rows][doc]), pa.array(cut, pa.binary())],
                     names=["slice", "sent", "source", "queue_at", "doc_id", "start", "n", "doc_tokens", "ids"],
@@ -99,8 +102,8 @@ def _packets(packet: int):
     return run
 
 
-def _cut(window: int):
-    """One slice's packets, in order, cut at window ends; neighbouring packets
+def _cut(window: int, width: int):
+    """A batch of slices' packets, in order, cut at window ends; neighbouring packets
     of a document in the same window are one piece."""
 
     def run(table):
@@ -108,7 +111,7 @@ def _cut(window: int):
         import pyarrow as pa
 
         table = table.sort_by([("sent", "ascending"), ("source", "ascending"), ("queue_at", "ascending")]).combine_chunks()
-        base = table.column("slice_start")[0].as_py()
+        base = int(table.column("slice_start").to_numpy().min())
         queue_at, start, n = (table.column(c).to_numpy() for c in ("queue_at", "start", "n"))
         source = table.column("source").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
         place = np.cumsum(n, dtype=np.int64) - n
@@ -119,7 +122,7 @@ def _cut(window: int):
         begin = np.union1d(place[~on], np.arange(-base % window, total, window))
         packet = np.searchsorted(place, begin, "right") - 1
         length = np.diff(np.append(begin, total))
-        ids = memoryview(np.frombuffer(b"".join(table.column("ids").to_pylist()), "<u2").astype("<u4")).cast("B")
+        ids = memoryview(np.frombuffer(b"".join(table.column("ids").to_pylist()), f"<u{width}").astype("<u4")).cast("B")
         crc = [zlib.crc32(ids[4 * a : 4 * (a + k)]) for a, k in zip(begin.tolist(), length.tolist(), strict=True)]
         at = base + begin
         columns = [table.column("doc_id").take(pa.array(packet)), pa.array(start[packet] + begin - place[packet]), pa.array(length), pa.array(crc, pa.int64()), table.column("doc_tokens").take(pa.array(packet)), pa.array(at // window), pa.array(at % window)]
@@ -128,30 +131,50 @@ def _cut(window: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 2, window: int = WINDOW, packet: int = PACKET, slice_tokens: int = SLICE_TOKENS) -> DataFrame:
+def id_width(tokenizer: str, kind: str, end: int) -> int:
+    """Bytes that hold any id."""
+    return 2 if max(encoder(tokenizer, kind).tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
+
+
+def _running(counts: DataFrame, key: str, value: str, name: str, block: int = 4096) -> DataFrame:
+    """``key`` with the sum of ``value`` over all smaller keys, by blocks of
+    keys: no task sees more than a block or one row of each block."""
+    blocked = counts.withColumn("_block", F.floor(F.col(key) / block))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocked.groupBy("_block").agg(F.sum(value).alias("_sum")).select("_block", F.coalesce(F.sum("_sum").over(earlier(Window.orderBy("_block"))), F.lit(0)).alias("_base"))
+    own = F.coalesce(F.sum(value).over(earlier(Window.partitionBy("_block").orderBy(key))), F.lit(0))
+    return blocked.withColumn("_own", own).join(blocks, "_block").select(key, (F.col("_own") + F.col("_base")).alias(name))
+
+
+def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 2, window: int = WINDOW, packet: int = PACKET, slice_tokens: int = SLICE_TOKENS, targets: dict[str | None, float] | None = None) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset."""
-    tokens = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(_encode(tokenizer, kind, end), _TOKENS), "pack-tokens")
+    sequence_id, offset. ``targets`` has the sources' proportions of tokens,
+    by default those of the input."""
+    if any(not w > 0 for w in (targets or {}).values()):
+        raise ValueError("targets are to be positive")
+    width = id_width(tokenizer, kind, end)
+    tokens = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(_encode(tokenizer, kind, end, width), _TOKENS), "pack-tokens")
     # One row per source and part: where the part's documents stand in the queue.
     queue = Window.partitionBy("source").orderBy("part")
     sums = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
-    places = materialize(
-        sums.select("source", "part", F.coalesce(F.sum("n").over(queue.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("source")).alias("queue_tokens")),
-        "pack-places",
-    )
-    total = places.groupBy("source").agg(F.first("queue_tokens").alias("n")).agg(F.sum("n")).first()[0] or 0
+    target = F.sum("n").over(Window.partitionBy("source")).cast("double")
+    if targets is not None:
+        named = F.create_map(*[F.lit(x) for s, w in targets.items() if s is not None for x in (s, float(w))]) if any(s is not None for s in targets) else F.lit(None).cast("map<string,double>")
+        target = F.when(F.col("source").isNull(), F.lit(float(targets.get(None, 1.0)))).otherwise(F.coalesce(named[F.col("source")], F.lit(1.0)))
+    places = materialize(sums.select("source", "part", F.coalesce(F.sum("n").over(queue.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), target.alias("target")), "pack-places")
+    every = places.groupBy("source").agg(F.first("target").alias("w")).agg(F.sum("w")).first()[0] or 1.0
     t, p = tokens.alias("t"), places.alias("p")
     placed = t.join(p, (F.col("t.part") == F.col("p.part")) & F.col("t.source").eqNullSafe(F.col("p.source"))).select(
-        "t.doc_id", "t.source", (F.col("t.queue_start") + F.col("p.before")).alias("queue_at"), "p.queue_tokens", "t.n", F.lit(max(1, total // slice_tokens)).cast("long").alias("slices"), "t.ids"
+        "t.doc_id", "t.source", (F.col("t.queue_start") + F.col("p.before")).alias("queue_at"), "p.target", "t.n", F.lit(slice_tokens / float(every)).alias("rounds"), "t.ids"
     )
     # The same arithmetic without ids, for the first place of each slice.
-    light = placed.select("queue_at", "queue_tokens", "n", "slices", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(packet).cast("long"))).alias("start"))
+    light = placed.select("queue_at", "target", "n", "rounds", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(packet).cast("long"))).alias("start"))
     size = F.least(F.lit(packet), F.col("n") - F.col("start"))
-    sent = (F.col("queue_at") + F.col("start") + size / 2) / F.col("queue_tokens").cast("double")
-    by_slice = light.select(F.least((sent * F.col("slices")).cast("long"), F.col("slices") - 1).alias("slice"), size.alias("k")).groupBy("slice").agg(F.sum("k").alias("k"))
-    starts = by_slice.select("slice", F.coalesce(F.sum("k").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("slice_start"))
-    packets = placed.mapInArrow(_packets(packet), _PACKETS)
-    return packets.join(starts, "slice").groupBy("slice").applyInArrow(_cut(window), _PIECES)
+    sent = (F.col("queue_at") + F.col("start") + size / 2) / F.col("target")
+    by_slice = light.select((sent / F.col("rounds")).cast("long").alias("slice"), size.alias("k")).groupBy("slice").agg(F.sum("k").alias("k"))
+    starts = _running(by_slice, "slice", "k", "slice_start").withColumn("batch", F.floor(F.col("slice_start") / slice_tokens))
+    packets = placed.mapInArrow(_packets(packet, width), _PACKETS)
+    return packets.join(starts, "slice").groupBy("batch").applyInArrow(_cut(window, width), _PIECES)
 
 
 def pack_query(spark: SparkSession, sf_dir: str) -> DataFrame:

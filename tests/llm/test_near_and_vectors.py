@@ -66,6 +66,18 @@ def test_null_ids_repeats_and_stage(spark):
     assert neardup.classes(docs.limit(0)).collect() == []
 
 
+def test_texts_that_share_an_id(spark):
+    """Each text is judged by itself: none is lost to another under its id,
+    and a copy of another document's text goes whatever its id holds besides."""
+    one, two, three = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    rows = [(3, one, "a"), (5, two, "b"), (5, one, "c"), (5, three, "d"), (5, three, "e"), (6, three + " tail", "f"), (5, " ", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {(r.doc_id, r.text.strip()[:2]) for r in neardup.near_stage(spark, docs, "").collect()}
+    assert kept >= {(3, "x0"), (5, "y0"), (5, "")} and len(kept) == 4 and kept & {(5, "z0"), (6, "z0")}
+    got = {(r.doc_id, r.class_id) for r in neardup.classes(docs).collect()}
+    assert got >= {(3, 3), (5, 3), (5, 5)} and got & {(6, 5), (6, 6)}
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 6, 150)

@@ -76,13 +76,14 @@ def license_counts(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
     at = [(k, label) for words, label in licenses.PHRASES for k in range(len(w)) if tuple(w[k : k + len(words)]) == words]
     found, best = {label for _, label in at}, 1.0 if at else 0.0
-    for i in range(0, max(1, len(w)), licenses.STEP):
-        block = set(w[i : i + licenses.BLOCK])
-        for label, template in licenses.TEMPLATES:
-            tokens = set(template.split())
-            if len(block & tokens) >= licenses.THRESHOLD * len(tokens):
+    for label, template, marks in licenses.TEXTS:
+        tokens = licenses.plain_words(template)
+        step = max(licenses.LEAST_STEP, 1 << (len(tokens) - 1).bit_length())
+        for i in range(0, max(1, len(w)), step):
+            block, own = set(w[i : i + 2 * step]), set(tokens)
+            if len(block & own) >= licenses.THRESHOLD * len(own) and set(marks.split()) <= block:
                 found.add(label)
-                best = max(best, len(block & tokens) / len(tokens))
+                best = max(best, len(block & own) / len(own))
     starts = [k for k, _ in at]
     return len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at})), ",".join(sorted(found)), best
 
@@ -93,3 +94,21 @@ def test_license_scan(spark):
     for r in got:
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == license_counts(TEXTS[r.doc_id])
     assert licenses.scan(_docs(spark).limit(0)).collect() == []
+
+
+def test_license_texts(spark):
+    """Whole texts among other words, with some words lost, and notices that
+    only share their form."""
+    filler = " ".join(f"word{k}" for k in range(500))
+    texts = [f"{filler} {text} {filler}" for _, text, _ in licenses.TEXTS]
+    texts += [" ".join(w for k, w in enumerate(text.split()) if k % 9) for _, text, _ in licenses.TEXTS]
+    texts += ["licensed under the zlib license version 2 0", "released under the bsd license", "spdx license identifier 2 0 zlib"]
+    got = {r.doc_id: r for r in licenses.scan(_docs(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        r = got[k]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == license_counts(t)
+    for k, (label, _, _) in enumerate(licenses.TEXTS):
+        assert label in got[k].labels.split(",")
+    assert [got[len(texts) - k].labels for k in (3, 2)] == ["", ""] and "apache" not in got[len(texts) - 1].labels
+    own = licenses.scan(_docs(spark, ["Do what you like with these words, friend"]), texts=(("mine", "do what you like with these words", "like"), ("none", " ", "")))
+    assert {r.labels for r in own.where("doc_id = 0").collect()} == {"mine"}

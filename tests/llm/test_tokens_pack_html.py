@@ -71,6 +71,39 @@ def test_packing(spark):
     assert packing.pack(_docs(spark).limit(0), vocabulary("word_bpe_49k.json")).collect() == []
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_packing_to_targets(spark, monkeypatch, wide):
+    """Windows hold the targets' proportions while all queues last, and those
+    of the remaining ones after; ids of any width come back."""
+    docs = spark.createDataFrame([(k, "ab"[k % 2] if k % 5 else None, f"Word{k} and more, words. " * 60, "x") for k in range(300)], "doc_id long, source string, text string, part string")
+    if wide:
+        monkeypatch.setattr(packing, "id_width", lambda *_: 4)
+    goal = {"a": 6.0, "b": 3.0, None: 1.0}
+    source = {r.doc_id: r.source for r in docs.collect()}
+    tk = encoder(vocabulary("word_bpe_49k.json"), "word").tokenizer
+    ids = {r.doc_id: [*tk.encode(r.text, add_special_tokens=False).ids, 2] for r in docs.collect()}
+    left = {s: sum(len(ids[i]) for i in ids if source[i] == s) for s in goal}
+    windows, at = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for p in packing.pack(docs, vocabulary("word_bpe_49k.json"), slice_tokens=20_000, targets=goal).collect():
+        assert p.ids_crc32 == zlib.crc32(np.array(ids[p.doc_id][p.start : p.start + p.length], "<u4").tobytes())
+        windows[p.sequence_id][source[p.doc_id]] += p.length
+        at[p.doc_id] += p.length
+    assert at == {i: len(x) for i, x in ids.items()} and sorted(windows) == list(range(len(windows)))
+    mixed = 0
+    for k in sorted(windows)[:-1]:
+        assert sum(windows[k].values()) == packing.WINDOW
+        live = {s for s in goal if left[s] > 2 * packing.WINDOW}
+        if len(live) == 3:
+            mixed += 1
+            for s in goal:
+                assert abs(windows[k][s] - packing.WINDOW * goal[s] / 10) <= 2 * packing.PACKET
+        for s in goal:
+            left[s] -= windows[k][s]
+    assert mixed > 3
+    with pytest.raises(ValueError):
+        packing.pack(docs, vocabulary("word_bpe_49k.json"), targets={"a": 0.0})
+
+
 def _page(k, body="", host="a.example.com"):
     return (k, f"http://{host}/{k}", f"<html><head><title>T{k}</title><script>if (a < b) 'x'</script></head><body><header>Top</header><nav><ul><li><a href='/'>Home</a></ul></nav><div class='cookie-notice'>We use cookies</div>{body}<aside>Side {k}</aside><form><input>Mail</form><footer>&copy; host</footer></body></html>")
 
