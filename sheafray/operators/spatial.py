@@ -1,15 +1,19 @@
 """Spatial joins: ray and triangle, nearest vertex, k nearest planes.
 
 Geometry is bucketed into grid cells and joined by cell equality, so a pair is
-only formed where both sides are near; large triangles, few, are tested apart.
+only formed where both sides are near. Large triangles have cells of their own
+size; searches that find nothing near go on in larger cells.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import cross, dot, minus
+from .lineage import cut
 
 
 def _vec(name: str, order: str = "zyx") -> tuple[Column, Column, Column]:
@@ -29,33 +33,62 @@ def hit_predicate(origin, direction, v0, v1, v2, length: Column, eps: float = 1e
     return t, (F.abs(a) > eps) & (u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0) & (t <= length)
 
 
-def ray_triangle_hits(rays: DataFrame, triangles: DataFrame, cell: float, large: float = 64.0) -> DataFrame:
+def _stretches(size: Column) -> Column:
+    """The cells of a ray in order: array of (from, to, cz, cy, cx).
+
+    A ray passes from cell to cell where it crosses a plane of the grid; the
+    middle between two crossings tells the cell.
+    """
+
+    def crossings(a: str) -> Column:
+        o, d = F.col(f"origin.{a}"), F.col(f"direction.{a}")
+        one, two = F.floor(o / size), F.floor((o + F.col("length") * d) / size)
+        planes = F.transform(F.sequence(F.least(one, two), F.greatest(one, two) + 1), lambda k: (k * size - o) / d)
+        return F.when(d != 0, F.filter(planes, lambda t: (t > 0) & (t < F.col("length")))).otherwise(F.array().cast("array<double>"))
+
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.col("length").cast("double")), *[crossings(a) for a in "zyx"])))
+    cell = lambda a, t: F.floor((F.col(f"origin.{a}") + t * F.col(f"direction.{a}")) / size)
+
+    def stretch(lo: Column, hi: Column) -> Column:
+        middle = (lo + F.coalesce(hi, lo)) / 2
+        return F.struct(lo.alias("from"), hi.alias("to"), *[cell(a, middle).alias(f"c{a}") for a in "zyx"])
+
+    # The last cut opens a stretch of its own: what is hit at the very end.
+    return F.transform(cuts, lambda t, i: stretch(t, F.get(cuts, i + 1)))
+
+
+def ray_triangle_hits(rays: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
     """(ray_id, winding, tri_id, t) of every hit.
 
     ``rays``: ray_id, origin, direction (z, y, x structs, unit), length.
-    ``triangles``: winding, tri_id, v0, v1, v2. A small triangle goes to every
-    cell its bounding box touches; a ray to the cells around its samples, one
-    each half cell. Triangles wider than ``large`` go to every ray they can
-    reach through a coarse grid of their own size class.
+    ``triangles``: winding, tri_id, v0, v1, v2. Triangles outside the box of
+    all rays are dropped; others go to every cell that their bounding box
+    touches, in a grid of ``cell`` or, if they are wider, of the power of two
+    of it that holds them. A ray goes to the cells it passes. A hit counts in
+    the stretch of the ray it lies in, hence once.
     """
     lo, hi = {}, {}
     for a in "zyx":
         corner = [F.col(f"{v}.{a}") for v in ("v0", "v1", "v2")]
         lo[a], hi[a] = F.least(*corner), F.greatest(*corner)
+    end = lambda a: F.col(f"origin.{a}") + F.col("length") * F.col(f"direction.{a}")
+    # One row.
+    box = rays.agg(*[f(g(F.col(f"origin.{a}"), end(a))).alias(f"{n}_{a}") for a in "zyx" for n, f, g in (("least", F.min, F.least), ("most", F.max, F.greatest))])
+    reached = triangles.join(F.broadcast(box), None, "cross")
+    for a in "zyx":
+        reached = reached.where((hi[a] >= F.col(f"least_{a}")) & (lo[a] <= F.col(f"most_{a}")))
     wide = F.greatest(*[hi[a] - lo[a] for a in "zyx"])
-    classed = triangles.withColumn("size", F.when(wide <= large, F.lit(cell)).otherwise(F.lit(float(cell)) * F.pow(F.lit(2.0), F.ceil(F.log2(wide / cell)))))
-    cells = classed
+    classed = reached.select(*triangles.columns, F.when(wide <= 2 * cell, F.lit(float(cell))).otherwise(F.lit(float(cell)) * F.pow(F.lit(2.0), F.ceil(F.log2(wide / cell)))).alias("size"))
+    cells, slack = classed, F.col("size") * 1e-9
     for a in "zyx":
-        cells = cells.withColumn(f"c{a}", F.explode(F.sequence(F.floor(lo[a] / F.col("size")).cast("int"), F.floor(hi[a] / F.col("size")).cast("int"))))
-    sizes = classed.select("size").distinct()
+        cells = cells.withColumn(f"c{a}", F.explode(F.sequence(F.floor((lo[a] - slack) / F.col("size")), F.floor((hi[a] + slack) / F.col("size")))))
     # A handful of size classes: powers of two of the cell.
-    sampled = rays.crossJoin(F.broadcast(sizes)).withColumn("s", F.explode(F.sequence(F.lit(0), F.ceil(F.col("length") / (F.col("size") / 2)).cast("int")))).withColumn("along", F.least(F.col("s") * F.col("size") / 2, F.col("length")))
-    around = F.explode(F.array(*[F.struct(*[F.lit(n // 3**k % 3 - 1).alias(a) for k, a in enumerate("zyx")]) for n in range(27)]))
-    at = {a: F.floor((F.col(f"origin.{a}") + F.col("along") * F.col(f"direction.{a}")) / F.col("size")).cast("int") for a in "zyx"}
-    visited = sampled.withColumn("n", around).select("ray_id", "origin", "direction", "length", "size", *[(at[a] + F.col(f"n.{a}")).alias(f"c{a}") for a in "zyx"]).distinct()
-    met = visited.join(cells, ["size", "cz", "cy", "cx"])
+    sizes = classed.select("size").distinct()
+    passed = rays.crossJoin(F.broadcast(sizes)).select("ray_id", "origin", "direction", "length", "size", F.inline(_stretches(F.col("size"))))
+    met = passed.join(cells, ["size", "cz", "cy", "cx"])
     t, hit = hit_predicate(_vec("origin"), _vec("direction"), _vec("v0"), _vec("v1"), _vec("v2"), F.col("length"))
-    return met.where(hit).withColumn("t", t).select("ray_id", "winding", "tri_id", "t").distinct()
+    own = (F.col("t") >= F.col("from")) & (F.col("to").isNull() | (F.col("t") < F.col("to")))
+    return met.where(hit).withColumn("t", t).where(own).select("ray_id", "winding", "tri_id", "t")
 
 
 def _reached(df: DataFrame, radius: float) -> DataFrame:
@@ -69,42 +102,40 @@ def _placed(df: DataFrame, radius: float) -> DataFrame:
     return df.withColumns({f"_c{a}": F.floor(F.col(a) / (2 * radius)).cast("long") for a in "xyz"})
 
 
-def nearest_vertex(points: DataFrame, sites: DataFrame, cell: float, by: str = "winding", rings: int = 1) -> DataFrame:
+def nearest_vertex(points: DataFrame, sites: DataFrame, cell: float, by: str = "winding") -> DataFrame:
     """Distance from each point (key, by, x, y, z) to the nearest site with
-    the same ``by``; exact if the nearest is within ``rings`` cells, and
-    completed by widening the cells for points that found none that near."""
-    found = None
-    todo = points
-    for _ in range(40):
-        p = _reached(todo.select("key", by, "x", "y", "z"), cell * rings)
-        s = _placed(sites, cell * rings).select(by, "_cx", "_cy", "_cz", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"))
-        d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy")) + (F.col("z") - F.col("sz")) * (F.col("z") - F.col("sz"))
-        best = p.join(s, [by, "_cx", "_cy", "_cz"]).groupBy("key", by).agg(F.min(d2).alias("d2")).select("key", by, F.sqrt("d2").alias("distance")).where(F.col("distance") <= cell * rings)
-        found = best if found is None else found.unionByName(best)
-        todo = todo.join(best.select("key"), "key", "left_anti")
-        if not todo.join(sites.select(by).distinct(), by, "left_semi").head(1):
-            return found
-        cell *= 4
-    return found
+    the same ``by``, exact; points of a ``by`` without sites are left out.
+
+    Points that find none within ``cell`` look again in cells of twice the
+    size, and so on; each round is computed once and cut off from the last.
+    """
+    sites = sites.select(by, "x", "y", "z")
+    todo = points.join(sites.select(by).distinct(), by, "left_semi").select("key", by, "x", "y", "z")
+    d2 = sum(((F.col(a) - F.col(f"s{a}")) * (F.col(a) - F.col(f"s{a}")) for a in "xyz"), F.lit(0.0))
+    found = []
+    while True:
+        s = _placed(sites, cell).select(by, "_cx", "_cy", "_cz", *[F.col(a).alias(f"s{a}") for a in "xyz"])
+        met = _reached(todo, cell).join(s, [by, "_cx", "_cy", "_cz"], "left")
+        best = cut(met.groupBy("key", by, "x", "y", "z").agg(F.sqrt(F.min(d2)).alias("distance")))
+        near = F.coalesce(F.col("distance") <= cell, F.lit(False))
+        found.append(best.where(near).select("key", by, "distance"))
+        todo = best.where(~near).drop("distance")
+        if not todo.head(1):
+            return functools.reduce(DataFrame.unionByName, found)
+        cell *= 2
 
 
 def nearest_within(points: DataFrame, sites: DataFrame, radius: float, by: str = "winding", k: int = 1) -> DataFrame:
-    """The k nearest sites at most ``radius`` away that share ``by``, exact:
-    each point meets the cells that its ball may touch. Adds site, distance
-    and rank."""
-    p = _reached(points, radius)
-    s = _placed(sites, radius).select(by, "_cx", "_cy", "_cz", F.struct([F.col(c) for c in sites.columns if c != by]).alias("site"))
-    d2 = sum(((F.col(a) - F.col(f"site.{a}")) * (F.col(a) - F.col(f"site.{a}")) for a in "xyz"), F.lit(0.0))
-    pairs = p.join(s, [by, "_cx", "_cy", "_cz"]).drop("_cx", "_cy", "_cz").withColumn("distance", F.sqrt(d2)).where(F.col("distance") <= radius)
-    rank = F.row_number().over(Window.partitionBy("key", by).orderBy("distance", "site"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    """The k nearest sites at most ``radius`` away that share ``by``, exact.
+    Adds site, distance and rank.
 
-
-def nearest_exact(points: DataFrame, sites: DataFrame, by: str = "winding", k: int = 1) -> DataFrame:
-    """The k nearest sites by comparing all that share ``by``: for small
-    groups and tests. Adds distance and rank."""
-    s = sites.select(by, F.struct([F.col(c) for c in sites.columns if c != by]).alias("site"))
+    Sites go to every cell that a point that near may lie in, a point to its
+    own cell. So all pairs of a point are made in one place, and the ranking
+    moves none of them.
+    """
+    p = _placed(points, radius)
+    s = _reached(sites, radius).select(by, "_cx", "_cy", "_cz", F.struct([F.col(c) for c in sites.columns if c != by]).alias("site"))
     d2 = sum(((F.col(a) - F.col(f"site.{a}")) * (F.col(a) - F.col(f"site.{a}")) for a in "xyz"), F.lit(0.0))
-    pairs = points.join(s, by).withColumn("distance", F.sqrt(d2))
-    rank = F.row_number().over(Window.partitionBy("key", by).orderBy("distance", "site"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    pairs = p.join(s, [by, "_cx", "_cy", "_cz"]).withColumn("distance", F.sqrt(d2)).where(F.col("distance") <= radius)
+    rank = F.row_number().over(Window.partitionBy(by, "_cx", "_cy", "_cz", "key").orderBy("distance", "site"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).drop("_cx", "_cy", "_cz")
