@@ -12,9 +12,8 @@ their proportions.
 
 Tokens stand in that order without gaps; a window is each next ``window`` of
 them. A slice is as many rounds as hold about ``slice_tokens`` while all queues
-last; sums of tokens by slice give each slice's first place, slices with few
-tokens are cut together, and each of these batches cuts its packets at window
-ends on its own.
+last; sums of tokens by slice give each slice's first place, and every slice
+cuts its packets at window ends on its own.
 
 Targets are by default what the input holds, so that all queues last to the
 end. All documents are packed whatever the targets; to drop or repeat some
@@ -103,7 +102,7 @@ def _packets(packet: int, width: int):
 
 
 def _cut(window: int, width: int):
-    """A batch of slices' packets, in order, cut at window ends; neighbouring packets
+    """One slice's packets, in order, cut at window ends; neighbouring packets
     of a document in the same window are one piece."""
 
     def run(table):
@@ -111,7 +110,7 @@ def _cut(window: int, width: int):
         import pyarrow as pa
 
         table = table.sort_by([("sent", "ascending"), ("source", "ascending"), ("queue_at", "ascending")]).combine_chunks()
-        base = int(table.column("slice_start").to_numpy().min())
+        base = table.column("slice_start")[0].as_py()
         queue_at, start, n = (table.column(c).to_numpy() for c in ("queue_at", "start", "n"))
         source = table.column("source").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
         place = np.cumsum(n, dtype=np.int64) - n
@@ -172,9 +171,9 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 2, wind
     size = F.least(F.lit(packet), F.col("n") - F.col("start"))
     sent = (F.col("queue_at") + F.col("start") + size / 2) / F.col("target")
     by_slice = light.select((sent / F.col("rounds")).cast("long").alias("slice"), size.alias("k")).groupBy("slice").agg(F.sum("k").alias("k"))
-    starts = _running(by_slice, "slice", "k", "slice_start").withColumn("batch", F.floor(F.col("slice_start") / slice_tokens))
+    starts = _running(by_slice, "slice", "k", "slice_start")
     packets = placed.mapInArrow(_packets(packet, width), _PACKETS)
-    return packets.join(starts, "slice").groupBy("batch").applyInArrow(_cut(window, width), _PIECES)
+    return packets.join(starts, "slice").groupBy("slice").applyInArrow(_cut(window, width), _PIECES)
 
 
 def pack_query(spark: SparkSession, sf_dir: str) -> DataFrame:
