@@ -105,12 +105,14 @@ def _names(words: list[str]) -> Column:
 def prefixes(spark: SparkSession, known: list[Template], order: dict[str, int]) -> DataFrame:
     """One row for each template and token of its prefix: step, token, its
     place in the template, and the template."""
+    ints = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<int>")
     rows = []
     for k, t in enumerate(known):
-        ranks = sorted(order[w] for w in t.tokens)
-        marks = [order[w] for w in t.marks if w in order]
-        rows += [(t.step, token, place, k, t.label, ranks, marks, t.need) for place, token in enumerate(ranks[: len(ranks) - t.need + 1])]
-    return spark.createDataFrame(rows, "step int, token int, place int, template int, label string, ranks array<int>, marks array<int>, need int")
+        ranks, marks = sorted(order[w] for w in t.tokens), [order[w] for w in t.marks if w in order]
+        rows.append(F.struct(F.lit(t.step).alias("step"), F.lit(k).alias("template"), F.lit(t.label).alias("label"), ints(ranks).alias("ranks"), ints(marks).alias("marks"), F.lit(t.need).alias("need")))
+    every = F.array(*rows) if rows else F.array().cast("array<struct<step:int,template:int,label:string,ranks:array<int>,marks:array<int>,need:int>>")
+    table = spark.range(1).select(F.explode(every).alias("t")).select("t.*")
+    return table.select("*", F.posexplode(F.slice("ranks", 1, F.size("ranks") - F.col("need") + 1)).alias("place", "token"))
 
 
 def blocks(words: Column, known: list[Template], order: dict[str, int]) -> Column:
