@@ -41,6 +41,13 @@ def with_neighbours(mesh: DataFrame) -> DataFrame:
     return mesh.withColumn("up", _neighbour("r", -1)).withColumn("down", _neighbour("r", 1)).withColumn("left", _neighbour("c", -1)).withColumn("right", _neighbour("c", 1))
 
 
+def to_level(mesh: DataFrame, level: int, micron: float | None = None) -> DataFrame:
+    """Coordinates in voxels of a coarser level, or in microns from voxels of
+    ``micron`` microns at level 0; vertices that are not valid become -1."""
+    factor = F.lit(micron if micron is not None else 2.0**-level)
+    return mesh.withColumns({a: F.when(F.col("valid"), F.col(a) * factor).otherwise(F.lit(-1.0)) for a in "xyz"})
+
+
 def _xyz(name: str) -> tuple[Column, Column, Column]:
     prefix = f"{name}." if name else ""
     return F.col(prefix + "x"), F.col(prefix + "y"), F.col(prefix + "z")
@@ -175,6 +182,49 @@ def full_blocks(mesh: DataFrame, size: int, stride: int = 3) -> DataFrame:
     return block.where((F.col("block_ok") == size * size) & (F.col("r") % stride == 0) & (F.col("c") % stride == 0)).select("winding", "r", "c")
 
 
+def spaced_blocks(blocks: DataFrame, n: int = 3) -> DataFrame:
+    """Of each winding's blocks, in order of row and column, ``n`` at even
+    distances from the first to the last (fewer if it has fewer).
+
+    Rows of blocks are counted first, so that only the rows that a pick lies
+    in are numbered block by block.
+    """
+    order = Window.partitionBy("winding").orderBy("r")
+    rows = blocks.groupBy("winding", "r").agg(F.count(F.lit(1)).alias("own"))
+    rows = rows.withColumn("before", F.sum("own").over(order) - F.col("own")).withColumn("all", F.sum("own").over(Window.partitionBy("winding")))
+    picks = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(k * (F.col("all") - 1) / max(1, n - 1))))
+    asked = rows.withColumn("pick", F.explode(picks)).where((F.col("pick") >= F.col("before")) & (F.col("pick") < F.col("before") + F.col("own")))
+    numbered = blocks.withColumn("at", F.row_number().over(Window.partitionBy("winding", "r").orderBy("c")) - 1)
+    return numbered.join(asked.select("winding", "r", (F.col("pick") - F.col("before")).alias("at")), ["winding", "r", "at"]).select("winding", "r", "c")
+
+
+def band_rows(mesh: DataFrame, low: float, high: float, margin: float = 40.0) -> DataFrame:
+    """The rows of each winding from the first to the last that reach into the
+    band of z, widened by ``margin``, and a row more on either side: what rays
+    within the band can meet."""
+    inside = F.col("valid") & F.col("z").between(low - margin, high + margin)
+    reach = mesh.where(inside).groupBy("winding").agg((F.min("r") - 1).alias("_first"), (F.max("r") + 1).alias("_last"))
+    return mesh.join(reach, "winding").where(F.col("r").between(F.col("_first"), F.col("_last"))).drop("_first", "_last")
+
+
+def valid_tiles(mesh: DataFrame, tile: int, dark: Column, least: float = 0.9, most_dark: float = 0.05) -> DataFrame:
+    """Tiles (winding, tr, tc) whose vertices are valid for at least the share
+    ``least`` and of which valid ones are ``dark`` for at most ``most_dark``,
+    with both shares."""
+    share = lambda c: F.avg(c.cast("int").cast("double"))
+    tiles = mesh.groupBy("winding", F.floor(F.col("r") / tile).cast("int").alias("tr"), F.floor(F.col("c") / tile).cast("int").alias("tc"))
+    return tiles.agg(share(F.col("valid")).alias("valid_share"), share(F.when(F.col("valid"), dark)).alias("dark_share")).where((F.col("valid_share") >= least) & (F.col("dark_share") <= most_dark))
+
+
+def quantile_windings(mesh: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """The windings at shares of their number, in order: one row a winding
+    passes through the window."""
+    order = Window.orderBy("winding")
+    ranked = mesh.select("winding").distinct().withColumn("_at", F.row_number().over(order) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+    wanted = F.array(*[F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(q))) for q in shares])
+    return ranked.where(F.array_contains(wanted, F.col("_at").cast("long"))).select("winding")
+
+
 def triangulate(mesh: DataFrame) -> DataFrame:
     """Two triangles for each cell whose corners allow: winding, r, c, half,
     and v0, v1, v2 as (x, y, z)."""

@@ -102,6 +102,13 @@ def _placed(df: DataFrame, radius: float) -> DataFrame:
     return df.withColumns({f"_c{a}": F.floor(F.col(a) / (2 * radius)).cast("long") for a in "xyz"})
 
 
+def by_locality(rays: DataFrame, cell: float, partitions: int) -> DataFrame:
+    """Rays (origin) dealt by ranges of z, y, x cells and in that order within
+    a partition, so that neighbours read the same chunks one after another."""
+    cells = [F.floor(F.col(f"origin.{a}") / cell) for a in "zyx"]
+    return rays.repartitionByRange(partitions, *cells).sortWithinPartitions(*cells, *[F.col(f"origin.{a}") for a in "zyx"])
+
+
 def nearest_vertex(points: DataFrame, sites: DataFrame, cell: float, by: str = "winding") -> DataFrame:
     """Distance from each point (key, by, x, y, z) to the nearest site with
     the same ``by``, exact; points of a ``by`` without sites are left out.

@@ -152,12 +152,41 @@ def axis_distance_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.histogram(v, "radius", 0.0, 1000.0, 10, "winding")
 
 
+def spaced_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three full blocks of each winding, evenly spaced in order."""
+    return ms.spaced_blocks(ms.full_blocks(mesh(spark, sf_dir), 4), 3)
+
+
+def band_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each winding rays between 1052 and 1060 can meet."""
+    rows = ms.band_rows(mesh(spark, sf_dir), 1052.0, 1060.0)
+    return rows.groupBy("winding").agg(F.min("r").alias("first_row"), F.max("r").alias("last_row"), F.count(F.lit(1)).alias("vertices"), F.count(F.when(F.col("valid"), 1)).alias("valid"))
+
+
+def valid_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ms.valid_tiles(mesh(spark, sf_dir), 8, F.col("z") < 993.0))
+
+
+def quantile_windings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windings at a fifth to four fifths of their number, and their vertices."""
+    picked = ms.quantile_windings(mesh(spark, sf_dir), (0.2, 0.4, 0.6, 0.8))
+    return mesh(spark, sf_dir).join(F.broadcast(picked), "winding").groupBy("winding").agg(F.count(F.lit(1)).alias("vertices"))
+
+
+def level_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extents of the windings at level 2 and in microns of 2.4 a voxel."""
+    m = mesh(spark, sf_dir)
+    coarse, metric = ms.to_level(m, 2), ms.to_level(m, 0, micron=2.4)
+    part = lambda d, name: d.groupBy("winding").agg(*[F.max(a).alias(f"{name}_{a}") for a in "xyz"], F.count(F.when(F.col("x") == -1, 1)).alias(f"{name}_missing"))
+    return _rounded(part(coarse, "level2").join(part(metric, "micron"), "winding"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         mesh_normals_interior, mesh_normals_onesided, mesh_roughness, grid_distortion, outward_fraction, radius_by_winding, sector_gaps, plane_polyline,
         full_blocks, triangulate, ray_triangle_hits, winding_pitch, own_other_none, grid_upsample, tile_profile, tile_contrast, tile_median3x3, tile_smooth,
-        drift_unwrap, axis_distance_hist,
+        drift_unwrap, axis_distance_hist, spaced_blocks, band_rows, valid_tiles, quantile_windings, level_units,
     )
 } | {"shell_exit": sight_lines}
 
@@ -207,7 +236,22 @@ _TRI = [
 ]
 _SMOOTH_W = "kw AS (SELECT unnest(range(-4, 5)) AS d, exp(-0.5 * unnest(range(-4, 5)) ** 2) AS w)"
 
+_EXTENT = "SELECT winding, {0} FROM mesh GROUP BY winding"
 ORACLE_SQL = {
+    "spaced_blocks": with_(
+        MESH,
+        "b AS (SELECT m.winding, m.r, m.c FROM mesh m JOIN mesh b ON b.winding = m.winding AND b.r BETWEEN m.r AND m.r + 3 AND b.c BETWEEN m.c AND m.c + 3 WHERE m.r % 3 = 0 AND m.c % 3 = 0 GROUP BY m.winding, m.r, m.c HAVING sum(b.valid::INT) = 16)",
+        "n AS (SELECT *, row_number() OVER (PARTITION BY winding ORDER BY r, c) - 1 AS k, count(*) OVER (PARTITION BY winding) AS n FROM b)",
+    )
+    + "SELECT winding, r, c FROM n WHERE k IN (0, (n - 1) // 2, n - 1)",
+    "band_rows": with_(MESH, "e AS (SELECT winding, min(r) - 1 AS lo, max(r) + 1 AS hi FROM mesh WHERE valid AND z BETWEEN 1012 AND 1100 GROUP BY winding)")
+    + "SELECT m.winding, min(r) AS first_row, max(r) AS last_row, count(*) AS vertices, count(*) FILTER (valid) AS valid FROM mesh m JOIN e ON m.winding = e.winding WHERE r BETWEEN lo AND hi GROUP BY m.winding",
+    "valid_tiles": with_(MESH, "t AS (SELECT winding, (r // 8)::INT AS tr, (c // 8)::INT AS tc, avg(valid::INT) AS v, avg(CASE WHEN valid THEN (z < 993)::INT END) AS d FROM mesh GROUP BY ALL)")
+    + "SELECT winding, tr, tc, round(v, 6) AS valid_share, round(d, 6) AS dark_share FROM t WHERE v >= 0.9 AND d <= 0.05",
+    "quantile_windings": with_(MESH, "w AS (SELECT winding, row_number() OVER (ORDER BY winding) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT winding FROM mesh))")
+    + "SELECT winding, count(*) AS vertices FROM mesh WHERE winding IN (SELECT winding FROM w WHERE k IN (least(n - 1, floor(n * 0.2::DOUBLE)), least(n - 1, floor(n * 0.4::DOUBLE)), least(n - 1, floor(n * 0.6::DOUBLE)), least(n - 1, floor(n * 0.8::DOUBLE)))) GROUP BY winding",
+    "level_units": with_(MESH)
+    + _EXTENT.format(", ".join([f"round(max(CASE WHEN valid THEN {a} * {f} ELSE -1 END), 6) AS {n}_{a}" for n, f in (("level2", "0.25::DOUBLE"), ("micron", "2.4::DOUBLE")) for a in "xyz"] + [f"count(*) FILTER (NOT valid OR x * {f} = -1) AS {n}_missing" for n, f in (("level2", "0.25::DOUBLE"), ("micron", "2.4::DOUBLE"))])),
     "mesh_normals_interior": with_(*_INTERIOR) + _NXYZ,
     "mesh_normals_onesided": with_(*_ONESIDED) + _NXYZ,
     "mesh_roughness": with_(*_INTERIOR, "be AS (SELECT winding, (gx - 2*x + lx) * nx + (gy - 2*y + ly) * ny + (gz - 2*z + lz) * nz AS su, (dx - 2*x + ux) * nx + (dy - 2*y + uy) * ny + (dz - 2*z + uz) * nz AS sv, " + f"0.5 * ({_dist('g', '')} + {_dist('', 'l')}) AS hu, 0.5 * ({_dist('d', '')} + {_dist('', 'u')}) AS hv FROM nrm)", "ag AS (SELECT winding, count(*) AS vertices, sqrt(avg(su*su)) AS rms_u, sqrt(avg(sv*sv)) AS rms_v, sqrt(avg((su * (20 / greatest(hu, 1e-6)) ** 2) ** 2)) AS rms_u_normalised, sqrt(avg((sv * (20 / greatest(hv, 1e-6)) ** 2) ** 2)) AS rms_v_normalised FROM be GROUP BY winding)", f"stp AS (SELECT m.winding, {_dist('g.', 'm.')} AS step FROM mesh m {_nb('g', 0, 1)} WHERE m.valid AND g.valid)", "sa AS (SELECT winding, median(step) AS step_median, quantile_cont(step, 0.05) AS step_p5, quantile_cont(step, 0.95) AS step_p95 FROM stp GROUP BY winding)")
