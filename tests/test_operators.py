@@ -204,3 +204,23 @@ def test_offsets_flow(spark):
     assert sorted(r.gap for r in gaps.collect()) == [3.0, 5.0]
     runs = sequence.integer_runs(spark.createDataFrame([(1, k) for k in (3, 4, 5, 9, 11, 12)], "g int, k int"), "g", "k")
     assert sorted((r.first, r.last, r.n) for r in runs.collect()) == [(3, 5, 3), (9, 9, 1), (11, 12, 2)]
+
+
+def test_rows_blocks_and_rays_by_place(spark):
+    from pyspark.sql import functions as F
+
+    from sheafray.operators import mesh as ms
+
+    grid = spark.createDataFrame([(w, r, c, 1.0 * c, 1.0 * r, 100.0 * r, (w, r, c) != (1, 4, 2)) for w in (1, 2) for r in range(9) for c in range(5)], "winding int, r int, c int, x double, y double, z double, valid boolean")
+    assert {(x.winding, x.r) for x in ms.band_rows(grid, 300.0, 350.0, 40.0).collect()} == {(w, r) for w in (1, 2) for r in (2, 3, 4)}
+    assert ms.band_rows(grid, 5000.0, 6000.0).collect() == []
+    blocks = ms.full_blocks(grid, 2, 1)
+    for w, n in ((1, 28), (2, 32)):
+        every = sorted((x.r, x.c) for x in blocks.where(F.col("winding") == w).collect())
+        assert len(every) == n
+        assert sorted((x.r, x.c) for x in ms.spaced_blocks(blocks, 3).where(F.col("winding") == w).collect()) == [every[0], every[(n - 1) // 2], every[-1]]
+    assert [x.winding for x in ms.quantile_windings(grid, (0.2, 0.8)).orderBy("winding").collect()] == [1, 2]
+    rays = spark.range(200).select("id", F.struct(*[((F.col("id") * k) % 100).cast("double").alias(a) for a, k in (("z", 7), ("y", 13), ("x", 29))]).alias("origin"))
+    dealt = spatial.by_locality(rays, 10.0, 4).withColumn("p", F.spark_partition_id()).collect()
+    key = [(x.p, x.origin.z // 10, x.origin.y // 10, x.origin.x // 10) for x in dealt]
+    assert len(key) == 200 and key == sorted(key) and len({k[0] for k in key}) == 4
