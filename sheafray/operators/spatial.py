@@ -115,15 +115,20 @@ def nearest_vertex(points: DataFrame, sites: DataFrame, cell: float, by: str = "
 
     Points that find none within ``cell`` look again in cells of twice the
     size, and so on; each round is computed once and cut off from the last.
+    From the third round on cells are looked at part by part: only parts whose box may hold a
+    site nearer than the farthest corner of another are looked into.
     """
     sites = sites.select(by, "x", "y", "z")
     todo = points.join(sites.select(by).distinct(), by, "left_semi").select("key", by, "x", "y", "z")
     d2 = sum(((F.col(a) - F.col(f"s{a}")) * (F.col(a) - F.col(f"s{a}")) for a in "xyz"), F.lit(0.0))
-    found = []
+    found, simple = [], 2 * cell
     while True:
-        s = _placed(sites, cell).select(by, "_cx", "_cy", "_cz", *[F.col(a).alias(f"s{a}") for a in "xyz"])
-        met = _reached(todo, cell).join(s, [by, "_cx", "_cy", "_cz"], "left")
-        best = cut(met.groupBy("key", by, "x", "y", "z").agg(F.sqrt(F.min(d2)).alias("distance")))
+        if cell <= simple:
+            s = _placed(sites, cell).select(by, "_cx", "_cy", "_cz", *[F.col(a).alias(f"s{a}") for a in "xyz"])
+            hit = _reached(todo, cell).join(s, [by, "_cx", "_cy", "_cz"]).groupBy("key", by).agg(F.sqrt(F.min(d2)).alias("distance"))
+        else:
+            hit = _by_parts(todo, sites, cell, by)
+        best = cut(todo.join(hit, ["key", by], "left"))
         near = F.coalesce(F.col("distance") <= cell, F.lit(False))
         found.append(best.where(near).select("key", by, "distance"))
         todo = best.where(~near).drop("distance")
@@ -132,6 +137,24 @@ def nearest_vertex(points: DataFrame, sites: DataFrame, cell: float, by: str = "
         cell *= 2
 
 
+def _by_parts(points: DataFrame, sites: DataFrame, radius: float, by: str) -> DataFrame:
+    """(key, by, distance) of the nearest site in the cells that a point's ball
+    touches, by eighths of a cell's side."""
+    part = sites.withColumns({f"_p{a}": F.floor(F.col(a) / (radius / 4)).cast("long") for a in "xyz"})
+    inside = [*(f"_p{a}" for a in "xyz")]
+    box = part.groupBy(by, *inside).agg(*[f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+    box = box.withColumns({f"_c{a}": F.floor(F.col(f"_p{a}") / 8).cast("long") for a in "xyz"})
+    square = lambda c: c * c
+    least = sum((square(F.greatest(F.col(f"lo_{a}") - F.col(a), F.col(a) - F.col(f"hi_{a}"), F.lit(0.0))) for a in "xyz"), F.lit(0.0))
+    most = sum((square(F.greatest(F.abs(F.col(f"lo_{a}") - F.col(a)), F.abs(F.col(f"hi_{a}") - F.col(a)))) for a in "xyz"), F.lit(0.0))
+    met = _reached(points, radius).join(box, [by, "_cx", "_cy", "_cz"]).select("key", by, "x", "y", "z", *inside, least.alias("least"), most.alias("most"))
+    bound = F.min("most").over(Window.partitionBy("key", by)) * (1 + 1e-9)
+    asked = met.withColumn("bound", bound).where(F.col("least") <= F.col("bound"))
+    s = part.select(by, *inside, *[F.col(a).alias(f"s{a}") for a in "xyz"])
+    d2 = sum((square(F.col(a) - F.col(f"s{a}")) for a in "xyz"), F.lit(0.0))
+    return asked.join(s, [by, *inside]).groupBy("key", by).agg(F.sqrt(F.min(d2)).alias("distance"))
+
+
 def nearest_within(points: DataFrame, sites: DataFrame, radius: float, by: str = "winding", k: int = 1) -> DataFrame:
     """The k nearest sites at most ``radius`` away that share ``by``, exact.
     Adds site, distance and rank.
