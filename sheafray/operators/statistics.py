@@ -6,11 +6,74 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import share
+from .lineage import cut
 from .sequence import interpolate_at, midpoints
 
 
+def by_value(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """(key, value, n): how often each group (``key``, a struct of ``by``) has
+    each value, nulls left out, dealt by ranges of both and checkpointed.
+
+    Equal values are counted before they move, so neither a hot group nor a
+    hot value is one task's burden. Groups without values are absent.
+    """
+    key = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(1).alias("one"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(key.alias("key"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return cut(counted.repartitionByRange("key", "value"))
+
+
+def ranked_percentiles(counted: DataFrame, qs: dict[str, float]) -> DataFrame:
+    """(key, one column per percentile) of ``by_value`` rows: exact, with
+    linear interpolation, for groups of any size.
+
+    The partitions' sizes tell which of them hold the ranks asked for; only
+    those, at most two per percentile and group, are ranked within.
+    """
+    placed = counted.withColumn("part", F.spark_partition_id())
+    group = Window.partitionBy("key")
+    earlier = F.sum("size").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = placed.groupBy("key", "part").agg(F.sum("n").alias("size")).select("key", "part", "size", F.coalesce(earlier, F.lit(0)).alias("before"), F.sum("size").over(group).alias("total"))
+    place = {name: F.lit(q) * (F.col("total") - 1) for name, q in qs.items()}
+    within = lambda rank, lo, hi: (rank >= lo) & (rank < hi)
+    held = F.lit(False)
+    for at in place.values():
+        for rank in (F.floor(at), F.ceil(at)):
+            held = held | within(rank, F.col("before"), F.col("before") + F.col("size"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("key", "part").orderBy("value"))
+    ranked = placed.join(parts.where(held), ["key", "part"]).withColumn("upto", upto).withColumn("since", F.col("upto") - F.col("n"))
+    found = []
+    for name, at in place.items():
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            found.append(F.max(F.when(within(rank, F.col("since"), F.col("upto")), F.col("value"))).alias(f"{side}_{name}"))
+    ends = ranked.groupBy("key").agg(F.first("total").alias("total"), *found)
+    part = lambda at: at - F.floor(at)
+    return ends.select("key", *[(F.col(f"lo_{name}") * (1 - part(at)) + F.col(f"hi_{name}") * part(at)).alias(name) for name, at in place.items()])
+
+
+def exact_percentiles(rows: DataFrame, value: str, qs: dict[str, float], *by: str) -> DataFrame:
+    """(by, n, one column per percentile): see ``ranked_percentiles``."""
+    counted = by_value(rows, value, *by)
+    out = counted.groupBy("key").agg(F.sum("n").alias("n")).join(ranked_percentiles(counted, qs), "key")
+    return out.select(*[F.col(f"key.{c}").alias(c) for c in by], "n", *qs)
+
+
+def summarise(rows: DataFrame, *by: str, column: str = "c") -> DataFrame:
+    """``summary`` of groups of any size; without ``by`` one row, of nulls and
+    n = 0 where there is no value."""
+    counted = by_value(rows, column, *by)
+    value, n = F.col("value"), F.col("n")
+    part = lambda hit: F.sum(F.when(hit, n).otherwise(0)) / F.sum(n)
+    sums = counted.groupBy("key").agg(F.sum(n).alias("n"), (F.sum(value * n) / F.sum(n)).alias("mean_c"), part(value > 0).alias("frac_c_pos"), part(value > 0.1).alias("frac_c_gt_0_1"))
+    out = sums.join(ranked_percentiles(counted, {"median_c": 0.5}), "key").select(*[F.col(f"key.{c}").alias(c) for c in by], "n", "median_c", "mean_c", "frac_c_pos", "frac_c_gt_0_1")
+    if by:
+        return out
+    # At most one row.
+    return out.agg(F.coalesce(F.first("n"), F.lit(0)).alias("n"), *[F.first(c).alias(c) for c in ("median_c", "mean_c", "frac_c_pos", "frac_c_gt_0_1")])
+
+
 def summary(column: str = "c") -> list[Column]:
-    """n, median, mean and the shares above 0 and 0.1 of a contrast column."""
+    """n, median, mean and the shares above 0 and 0.1 of a contrast column, of
+    groups of a bounded size, as rays; see ``summarise`` for others."""
     c = F.col(column)
     return [
         F.count(c).alias("n"),
@@ -46,8 +109,13 @@ def contrast(knots: DataFrame, hits: DataFrame, least_samples: int = 20) -> Data
 
 def gap_statistics(gapped: DataFrame, *by: str, small: float = 3.0) -> DataFrame:
     """n, median and shares of short and long gaps; the median is the group's.
-    Two passes: the median joins back to the gaps on the group's columns."""
-    med = gapped.groupBy(*by).agg(F.percentile("gap", F.lit(0.5)).alias("median"))
+    Two passes: the median joins back to the gaps on the group's columns. Of
+    the groups only rays are of a bounded size."""
+    if "ray_id" in by:
+        med = gapped.groupBy(*by).agg(F.percentile("gap", F.lit(0.5)).alias("median"))
+    else:
+        found = exact_percentiles(gapped, "gap", {"median": 0.5}, *by).drop("n")
+        med = found if by else found.agg(F.first("median").alias("median"))
     rows = gapped.join(med, list(by)) if by else gapped.crossJoin(F.broadcast(med))
     gap, near = F.col("gap"), F.col("gap") < small
     aggs = [
@@ -136,7 +204,8 @@ def null_report(copies: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def percentiles(column: str, qs: dict[str, float]) -> list[Column]:
-    """Exact percentiles with linear interpolation, by name."""
+    """Exact percentiles with linear interpolation, by name, of groups of a
+    bounded size; see ``exact_percentiles`` for others."""
     return [F.percentile(column, F.lit(q)).alias(name) for name, q in qs.items()]
 
 

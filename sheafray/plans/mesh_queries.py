@@ -84,7 +84,8 @@ def winding_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance from a winding's vertices to the nearest vertex of the next."""
     v = _vertices(spark, sf_dir)
     d = sp.nearest_vertex(v.select("key", "winding", "x", "y", "z"), v.select((F.col("winding") - 1).alias("winding"), "x", "y", "z"), cell=20.0)
-    return _rounded(d.groupBy("winding").agg(F.count(F.lit(1)).alias("n"), *st.percentiles("distance", {"gap_p10": 0.1, "gap_p50": 0.5, "gap_p90": 0.9}), F.avg((F.col("distance") < 10).cast("int").cast("double")).alias("below_half")))
+    gaps = st.exact_percentiles(d, "distance", {"gap_p10": 0.1, "gap_p50": 0.5, "gap_p90": 0.9}, "winding")
+    return _rounded(gaps.join(d.groupBy("winding").agg(F.avg((F.col("distance") < 10).cast("int").cast("double")).alias("below_half")), "winding"))
 
 
 def own_other_none(spark: SparkSession, sf_dir: str) -> DataFrame:

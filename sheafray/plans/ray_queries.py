@@ -67,17 +67,16 @@ def sheet_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contrast_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contrast by bands of t, bands with at least 20 crossings."""
     c = _contrast(spark, sf_dir).withColumn("band", st.band(F.col("t"), [0, 150, 300, 450, 600]))
-    return _rounded(c.groupBy("band").agg(*st.summary()).where("n >= 20"))
+    return _rounded(st.summarise(c, "band").where("n >= 20"))
 
 
 _BAND = "CASE WHEN t >= 0 AND t < 150 THEN '0-150' WHEN t >= 150 AND t < 300 THEN '150-300' WHEN t >= 300 AND t < 450 THEN '300-450' WHEN t >= 450 AND t < 600 THEN '450-600' WHEN t >= 600 AND t < 99999 THEN '600-99999' END"
 
 
 def overall_and_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, with the overall row, in one pass of a rollup."""
-    c = _contrast(spark, sf_dir).withColumn("band", st.band(F.col("t"), [0, 150, 300, 450, 600]))
-    out = c.rollup("band").agg(*st.summary(), F.grouping("band").alias("all_bands"))
-    return _rounded(out.select(F.when(F.col("all_bands") == 1, "all").otherwise(F.col("band")).alias("band"), "n", "median_c", "mean_c", "frac_c_pos", "frac_c_gt_0_1"))
+    """The same, with the overall row: a crossing counts for its band and for all."""
+    c = _contrast(spark, sf_dir).select("c", F.explode(F.array(st.band(F.col("t"), [0, 150, 300, 450, 600]), F.lit("all"))).alias("band"))
+    return _rounded(st.summarise(c, "band"))
 
 
 def hit_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +173,10 @@ def phase_to_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phase of interior model crossings relative to the fit: 0 on a fitted
     crossing, near one half between two."""
     p = F.col("phase")
-    return _rounded(_phase(spark, sf_dir).agg(F.count(p).alias("n"), F.percentile(p, F.lit(0.5)).alias("median"), share(p < 0.15).alias("frac_lt_0_15"), share((p >= 0.35) & (p <= 0.65)).alias("frac_mid")))
+    phases = _phase(spark, sf_dir)
+    middle = st.exact_percentiles(phases, "phase", {"median": 0.5}).agg(F.first("median").alias("median"))
+    rest = phases.agg(F.count(p).alias("n"), share(p < 0.15).alias("frac_lt_0_15"), share((p >= 0.35) & (p <= 0.65)).alias("frac_mid"))
+    return _rounded(rest.crossJoin(F.broadcast(middle)).select("n", "median", "frac_lt_0_15", "frac_mid"))
 
 
 def phase_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,9 +329,18 @@ def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rays, crossings and gap percentiles of the model store."""
     pt = _pt(spark, sf_dir)
     views = _kind(pt, "view")
-    per_ray = views.groupBy("ray_id").count().agg(F.count(F.lit(1)).alias("rays"), F.sum("count").alias("crossings"), F.percentile("count", F.lit(0.5)).alias("crossings_per_ray"))
-    g = seq.gaps(views).agg(*st.percentiles("gap", {"gap_p10": 0.1, "gap_p50": 0.5, "gap_p90": 0.9}), share(F.col("gap") < 8).alias("frac_lt_8"))
-    return _rounded(per_ray.crossJoin(F.broadcast(g)))
+    counts = views.groupBy("ray_id").agg(F.count(F.lit(1)).alias("count"))
+    per_ray = counts.agg(F.count(F.lit(1)).alias("rays"), F.sum("count").alias("crossings"))
+    gaps, qs = seq.gaps(views), {"gap_p10": 0.1, "gap_p50": 0.5, "gap_p90": 0.9}
+    # Each is one row.
+    one = [
+        st.exact_percentiles(counts, "count", {"crossings_per_ray": 0.5}).agg(F.first("crossings_per_ray").alias("crossings_per_ray")),
+        st.exact_percentiles(gaps, "gap", qs).agg(*[F.first(q).alias(q) for q in qs]),
+        gaps.agg(share(F.col("gap") < 8).alias("frac_lt_8")),
+    ]
+    for row in one:
+        per_ray = per_ray.crossJoin(F.broadcast(row))
+    return _rounded(per_ray)
 
 
 def middle_block(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,7 +372,7 @@ def block_audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _kind(pt, "click")
     out = None
     for state, frame in (("raw", hits), ("shifted", hits.withColumn("t", F.col("t") + 6.0))):
-        c = st.contrast(_knots(pt), frame).agg(*st.summary())
+        c = st.summarise(st.contrast(_knots(pt), frame))
         g = st.gap_statistics(seq.gaps(frame)).select(F.col("n").alias("gaps"), "median", "frac_lt_half_median", "frac_gt_1_5_median")
         row = c.crossJoin(F.broadcast(g)).withColumn("state", F.lit(state))
         out = row if out is None else out.unionByName(row)

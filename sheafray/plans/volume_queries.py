@@ -79,9 +79,10 @@ def zero_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def percentile_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = {"p5": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
-    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("grp")).agg(F.count(F.lit(1)).alias("n"), *st.percentiles("l_extendedprice", q))
-    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.count(F.lit(1)).alias("n"), *st.percentiles("o_totalprice", q))
-    return _rounded(line.unionByName(orders), 4)
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_extendedprice").alias("v"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("grp"), F.col("o_totalprice").alias("v"))
+    rows = line.withColumn("of", F.lit("line")).unionByName(orders.withColumn("of", F.lit("orders")))
+    return _rounded(st.exact_percentiles(rows, "v", q, "of", "grp").drop("of"), 4)
 
 
 def histogram_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +184,7 @@ def variant_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def roll_up_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and quartiles of ratios by group, nulls left out."""
     o = table(spark, sf_dir, "orders").select("o_orderstatus", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice") / 1000).alias("ratio"))
-    return _rounded(o.groupBy("o_orderstatus").agg(F.count("ratio").alias("n"), *st.percentiles("ratio", {"q25": 0.25, "q50": 0.5, "q75": 0.75})), 5)
+    return _rounded(st.exact_percentiles(o, "ratio", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, "o_orderstatus"), 5)
 
 
 QUERIES = {

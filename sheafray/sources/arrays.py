@@ -7,22 +7,17 @@ will do, and decoded on the executors; one file is one row. Only metadata
 
 from __future__ import annotations
 
-import bz2
-import gzip
 import hashlib
 import io
 import json
-import lzma
 import re
 import struct
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Codecs of the standard library; others (blosc) need a codec that is absent.
-CODECS = {None: bytes, "zlib": zlib.decompress, "gzip": gzip.decompress, "bz2": bz2.decompress, "lzma": lzma.decompress}
+from .codecs import DECODE, ENCODE, FILTERS, decode_chunk
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
@@ -38,14 +33,15 @@ def read_json(spark: SparkSession, path: str) -> dict:
 
 
 def array_meta(spark: SparkSession, path: str) -> dict:
-    """Shape, chunks, dtype, order, codec and separator of a zarr v2 array."""
+    """Shape, chunks, dtype, order, codec, filters and separator of a zarr v2 array."""
     m = read_json(spark, f"{path}/.zarray")
-    codec = (m.get("compressor") or {}).get("id")
-    if codec not in CODECS:
+    codec, filters = (m.get("compressor") or {}).get("id"), m.get("filters") or []
+    if codec not in DECODE:
         raise ValueError(f"codec {codec} is not available")
-    if m.get("filters"):
-        raise ValueError("filters are not available")
-    return {"shape": m["shape"], "chunks": m["chunks"], "dtype": m["dtype"], "order": m.get("order", "C"), "codec": codec, "separator": m.get("dimension_separator", "."), "fill": m.get("fill_value") or 0}
+    for f in filters:
+        if f["id"] not in FILTERS:
+            raise ValueError(f"filter {f['id']} is not available")
+    return {"filters": filters, "shape": m["shape"], "chunks": m["chunks"], "dtype": m["dtype"], "order": m.get("order", "C"), "codec": codec, "separator": m.get("dimension_separator", "."), "fill": m.get("fill_value") or 0}
 
 
 def pyramid(spark: SparkSession, path: str) -> dict[str, float]:
@@ -65,13 +61,13 @@ def read_chunks(spark: SparkSession, path: str, z: tuple[int, int] | None = None
     keyed = files.select(*[F.regexp_extract("path", place, k).cast("int").alias(n) for k, n in enumerate(("cz", "cy", "cx"), 1)], "content", "length")
     if z:
         keyed = keyed.where((F.col("cz") >= z[0] // meta["chunks"][0]) & (F.col("cz") <= (z[1] - 1) // meta["chunks"][0]))
-    shape, codec, order, dtype = tuple(meta["chunks"]), meta["codec"], meta["order"], np.dtype(meta["dtype"])
+    shape, codec, filters, order, dtype = tuple(meta["chunks"]), meta["codec"], meta["filters"], meta["order"], np.dtype(meta["dtype"])
 
     def decode(batches):
         for rows in batches:
             out = []
             for raw in rows["content"]:
-                data = CODECS[codec](raw)
+                data = decode_chunk(bytes(raw), codec, filters)
                 if len(data) != int(np.prod(shape)) * dtype.itemsize:
                     raise ValueError("a chunk has another size than its metadata says")
                 out.append(np.frombuffer(data, dtype).reshape(shape, order=order).tobytes("C"))
@@ -94,7 +90,7 @@ def chunk_rows(spark: SparkSession, volume: np.ndarray, chunk: tuple[int, int, i
 
 def chunk_files(chunks: DataFrame, separator: str = ".", codec: str | None = "zlib") -> DataFrame:
     """(path, content) of chunk rows as zarr files, dark chunks left out."""
-    pack = {"zlib": zlib.compress, "gzip": gzip.compress, "bz2": bz2.compress, "lzma": lzma.compress, None: bytes}[codec]
+    pack = ENCODE[codec]
 
     def encode(batches):
         for rows in batches:
@@ -106,24 +102,27 @@ def chunk_files(chunks: DataFrame, separator: str = ".", codec: str | None = "zl
 
 
 def save_files(files: DataFrame, root: str) -> int:
-    """Write (path, content) rows below ``root``, a folder that all executors
-    share: to a temporary name first, then renamed, so that a repeated task
-    leaves a whole file. Returns how many there are."""
+    """Write (path, content) rows below ``root``, a folder or a URI of a file
+    system that all executors reach: to another name first, then moved, so
+    that a repeated task leaves a whole file. Returns how many there are."""
 
     def write(batches):
-        import os
         import uuid
 
         import pandas as pd
+        from pyarrow import fs
 
+        system, top = fs.FileSystem.from_uri(root)
         for rows in batches:
             for name, content in zip(rows["path"], rows["content"], strict=True):
-                target = os.path.join(root, name)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
+                target = f"{top.rstrip('/')}/{name}"
+                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
                 part = f"{target}.{uuid.uuid4().hex}"
-                with open(part, "wb") as f:
+                with system.open_output_stream(part, compression=None) as f:
                     f.write(content)
-                os.replace(part, target)
+                if system.type_name == "hdfs" and system.get_file_info(target).type != fs.FileType.NotFound:
+                    system.delete_file(target)  # a move there never replaces
+                system.move(part, target)
             yield pd.DataFrame({"n": [len(rows)]})
 
     return files.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

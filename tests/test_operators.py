@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sheafray.functions import expr
 from sheafray.operators import mesh as ms
 from sheafray.operators import rays, sequence, spatial, statistics, volume
-from sheafray.sources import arrays, text
+from sheafray.sources import arrays, codecs, text
 
 
 def test_expressions(spark):
@@ -100,6 +100,73 @@ def test_statistics(spark):
     assert statistics.contrast(df.select(F.lit(1).alias("ray_id"), F.col("v").alias("t"), "v").limit(3), df.select(F.lit(1).alias("ray_id"), F.col("v").alias("t")).limit(0)).collect() == []
 
 
+def test_percentiles_of_any_group(spark):
+    """Against NumPy: a hot group, a hot value, a null group, groups of one and
+    two values, and one without any."""
+    rng = np.random.default_rng(11)
+    groups = {"hot": [*rng.normal(0, 9, 3000), *[1.5] * 2000], "even": [7.0] * 50, None: [3.0, -1.0], "one": [2.0], "big": [1e300, *rng.lognormal(0, 5, 900)], "none": []}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("none", None), ("hot", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    qs = {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    got = {r.g: r for r in statistics.exact_percentiles(df, "v", qs, "g").collect()}
+    assert set(got) == set(groups) - {"none"}
+    for g, r in got.items():
+        assert r.n == len(groups[g]) and [r[q] for q in qs] == pytest.approx([np.quantile(groups[g], q) for q in qs.values()], rel=1e-12)
+    every = np.concatenate([v for v in groups.values() if v])
+    assert statistics.exact_percentiles(df, "v", {"m": 0.5}).first().m == pytest.approx(np.median(every))
+    few = df.where("g = 'hot'").withColumnRenamed("v", "c")
+    want = few.agg(*statistics.summary()).first()
+    assert list(statistics.summarise(few).first()) == pytest.approx(list(want))
+    nothing = statistics.summarise(few.limit(0)).first()
+    assert nothing.n == 0 and nothing.median_c is None and statistics.exact_percentiles(df.limit(0), "v", qs, "g").collect() == []
+
+
+def test_codecs(spark, tmp_path):
+    import struct
+    import zlib
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    v = np.cumsum(rng.integers(0, 3, 4000)).astype("<u4")
+    raw, noise = v.tobytes(), rng.bytes(999)
+    for data, width in ((raw, 4), (raw, 1), (noise, 8), (b"", 2), (b"abc", 2), (raw[:-3], 4)):
+        assert codecs.blosc_decode(codecs.blosc_encode(data, width)) == data
+    # Two blocks of 8192 bytes, split by bytes, the last shorter and so whole; each by another coder.
+    for flag, coder in ((1, "lz4_raw"), (2, "snappy"), (4, "zstd"), (3, None)):
+        pack = zlib.compress if coder is None else lambda b, coder=coder: pa.Codec(coder).compress(b).to_pybytes()
+        blocks = []
+        for block in (raw[:8192], raw[8192:]):
+            turned = np.frombuffer(block, np.uint8).reshape(-1, 4).T
+            parts = [p.tobytes() for p in turned] if len(block) == 8192 else [turned.tobytes()]
+            blocks.append(b"".join(struct.pack("<I", len(pack(p))) + pack(p) for p in parts))
+        head = bytes([2, 1, 1 | flag << 5, 4]) + struct.pack("<III", len(raw), 8192, 24 + sum(map(len, blocks))) + struct.pack("<II", 24, 24 + len(blocks[0]))
+        assert codecs.blosc_decode(head + b"".join(blocks)) == raw
+    # Bit planes: plane k holds bit k of each element, the first element lowest.
+    planes = b"".join(sum(((int(x) >> k) & 1) << i for i, x in enumerate(v)).to_bytes(500, "little") for k in range(32))
+    body = pa.Codec("lz4_raw").compress(planes).to_pybytes()
+    frame = bytes([2, 1, 0x14 | 1 << 5, 4]) + struct.pack("<IIIII", len(raw), len(raw), 24 + len(body), 20, len(body)) + body
+    assert codecs.blosc_decode(frame) == raw
+    with pytest.raises(ValueError):
+        codecs.blosc_decode(bytes([2, 1, 0x10, 4]) + frame[4:])
+    steps = np.diff(v.astype("<i4"), prepend=0).astype("<i2").tobytes()
+    assert codecs.decode_chunk(zlib.compress(steps), "zlib", [{"id": "delta", "dtype": "<i4", "astype": "<i2"}]) == v.astype("<i4").tobytes()
+    turned = v.view(np.uint8).reshape(-1, 4).T.tobytes()
+    checked = struct.pack("<I", zlib.crc32(turned)) + turned
+    assert codecs.decode_chunk(checked, None, [{"id": "shuffle", "elementsize": 4}, {"id": "crc32"}]) == raw
+    with pytest.raises(ValueError):
+        codecs.decode_chunk(b"0000" + turned, None, [{"id": "crc32"}])
+    scaled = codecs.decode_chunk(np.array([15, 20], "u1").tobytes(), None, [{"id": "fixedscaleoffset", "scale": 10, "offset": 3, "dtype": "<f8", "astype": "|u1"}])
+    assert np.frombuffer(scaled, "<f8").tolist() == [4.5, 5.0]
+    assert codecs.decode_chunk(b"\x05" + np.packbits([1, 0, 1]).tobytes(), None, [{"id": "packbits"}]) == b"\x01\x00\x01"
+    # A whole array, written and read.
+    vol = rng.integers(0, 9, (10, 8, 8)).astype("<u2")
+    (tmp_path / ".zarray").write_text('{"shape": [10, 8, 8], "chunks": [5, 8, 8], "dtype": "<u2", "compressor": {"id": "blosc"}, "filters": [{"id": "quantize"}]}')
+    arrays.save_files(arrays.chunk_files(arrays.chunk_rows(spark, vol, (5, 8, 8)), codec="blosc"), f"file://{tmp_path}")
+    back = {r.cz: r.data for r in arrays.read_chunks(spark, f"file://{tmp_path}").collect()}
+    assert b"".join(bytes(back[k]) for k in (0, 1)) == vol.tobytes()
+
+
 def test_gather_from_voxels_and_chunks(spark):
     rng = np.random.default_rng(1)
     v = rng.integers(0, 255, (20, 24, 28)).astype(np.uint8)
