@@ -49,7 +49,7 @@ def sector_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = ms.with_axis(m.join(nxt, ["winding", "r", "c"]), axis(spark))
     gap = F.sqrt(sum(((F.col(a) - F.col(f"n.{a}")) * (F.col(a) - F.col(f"n.{a}")) for a in "xyz"), F.lit(0.0)))
     rows = d.withColumn("gap", gap).withColumn("sector", sector(F.col("y") - F.col("axis_y"), F.col("x") - F.col("axis_x")))
-    return _rounded(rows.groupBy("winding", "sector").agg(F.count(F.lit(1)).alias("n"), F.percentile("gap", F.lit(0.5)).alias("gap_p50")).where("n >= 50"))
+    return _rounded(st.exact_percentiles(rows, "gap", {"gap_p50": 0.5}, "winding", "sector").where("n >= 50"))
 
 
 def plane_polyline(spark: SparkSession, sf_dir: str) -> DataFrame:
