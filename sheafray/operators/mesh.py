@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clip, cross, norm, radius, wrap
+from .statistics import exact_percentiles
 
 #: What counts as a valid vertex differs between formats; pass the name.
 VALIDITY = {
@@ -112,7 +113,7 @@ def roughness(mesh: DataFrame, nominal: float = 20.0) -> DataFrame:
     rms = lambda c: F.sqrt(F.avg(c * c))
     bends = v.groupBy("winding").agg(F.count(F.lit(1)).alias("vertices"), rms(u).alias("rms_u"), rms(w).alias("rms_v"), rms(un).alias("rms_u_normalised"), rms(wn).alias("rms_v_normalised"))
     steps = mesh.withColumn("right", _neighbour("c", 1)).where(F.col("valid") & F.coalesce(F.col("right.valid"), F.lit(False))).withColumn("step", norm(_difference("right", "")))
-    return bends.join(steps.groupBy("winding").agg(F.percentile("step", F.lit(0.5)).alias("step_median"), F.percentile("step", F.lit(0.05)).alias("step_p5"), F.percentile("step", F.lit(0.95)).alias("step_p95")), "winding")
+    return bends.join(exact_percentiles(steps, "step", {"step_median": 0.5, "step_p5": 0.05, "step_p95": 0.95}, "winding").drop("n"), "winding")
 
 
 def distortion(mesh: DataFrame, step: float = 20.0) -> DataFrame:
@@ -161,7 +162,7 @@ def outward_fraction(mesh: DataFrame, axis: DataFrame) -> DataFrame:
 
 def radius_by_winding(mesh: DataFrame, axis: DataFrame, least: int = 10) -> DataFrame:
     v = with_axis(mesh.where("valid"), axis).withColumn("radius", radius(F.col("y"), F.col("x"), F.col("axis_y"), F.col("axis_x")))
-    return v.groupBy("winding").agg(F.count(F.lit(1)).alias("n"), F.percentile("radius", F.lit(0.5)).alias("radius")).where(F.col("n") >= least)
+    return exact_percentiles(v.select("winding", F.col("radius").alias("at")), "at", {"radius": 0.5}, "winding").where(F.col("n") >= least)
 
 
 def polyline(mesh: DataFrame, plane_z: float) -> DataFrame:
