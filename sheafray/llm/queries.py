@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, html, licenses, mixing, neardup, packing, quality, substring, suffixes, tokenfile
+from . import centroids, embeddings, html, licenses, mixing, neardup, packing, quality, substring, suffixes, tokenfile, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": html.html_query,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": licenses.license_query,
     "op9_mix_sources": mixing.mix_query,
     "op10_quality_rules": quality.quality_query,
+    "op11_centroid_clusters": centroids.centroid_query,
+    "op12_conversation_trie": trie.trie_query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -26,4 +28,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_embedding_dedup": embeddings.EMBEDDING_SQL,
     "op8_license_scan": licenses.license_sql(),
     "op9_mix_sources": mixing.MIX_SQL,
+    "op11_centroid_clusters": centroids.CENTROID_SQL,
+    "op12_conversation_trie": trie.TRIE_SQL,
 }
