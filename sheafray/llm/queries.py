@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, embeddings, html, licenses, mixing, neardup, packing, quality, substring, suffixes, tokenfile, trie
+from . import centroids, embeddings, html, licenses, mixing, neardup, packing, pii, quality, substring, suffixes, tokenfile, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": html.html_query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": quality.quality_query,
     "op11_centroid_clusters": centroids.centroid_query,
     "op12_conversation_trie": trie.trie_query,
+    "op13_personal_data": pii.pii_query,
 }
 
 ORACLE_SQL: dict[str, str] = {
