@@ -109,50 +109,111 @@ def by_locality(rays: DataFrame, cell: float, partitions: int) -> DataFrame:
     return rays.repartitionByRange(partitions, *cells).sortWithinPartitions(*cells, *[F.col(f"origin.{a}") for a in "zyx"])
 
 
+#: Distinct sites of a cell that points may meet; cells with more are split.
+CROWD = 1024
+#: A cell's side over that of the cells in it, and how often cells are split
+#: below the size asked for.
+_SPLIT, _BELOW = 4, 12
+
+
+def _parents(cells: list[str]) -> dict[str, Column]:
+    """The cell that holds each cell, as columns of the names with _ in front."""
+    return {f"_{c}": F.shiftright(c, _SPLIT.bit_length() - 1) for c in cells}
+
+
+def _apart(one: str, two: str) -> tuple[Column, Column]:
+    """The least and the largest squared distance of two boxes, whose bounds
+    are the columns <name>lo_x, <name>hi_x and so on."""
+    lo, hi = lambda n, a: F.col(f"{n}lo_{a}"), lambda n, a: F.col(f"{n}hi_{a}")
+    gap = [F.greatest(lo(one, a) - hi(two, a), lo(two, a) - hi(one, a), F.lit(0.0)) for a in "xyz"]
+    reach = [F.greatest(hi(one, a) - lo(two, a), hi(two, a) - lo(one, a)) for a in "xyz"]
+    return sum((g * g for g in gap), F.lit(0.0)), sum((r * r for r in reach), F.lit(0.0))
+
+
 def nearest_vertex(points: DataFrame, sites: DataFrame, cell: float, by: str = "winding") -> DataFrame:
     """Distance from each point (key, by, x, y, z) to the nearest site with
-    the same ``by``, exact; points of a ``by`` without sites are left out.
-
-    Points that find none within ``cell`` look again in cells of twice the
-    size, and so on; each round is computed once and cut off from the last.
-    From the third round on cells are looked at part by part: only parts whose box may hold a
-    site nearer than the farthest corner of another are looked into.
+    the same ``by``, exact, at any distance.
+
+    Occupied cells of eight times ``cell`` and their boxes are gathered into
+    wider and wider ones on both sides. From the widest down, pairs of boxes
+    are kept that may hold a nearest site: those no farther apart than the
+    farthest corners of another. At the end a cell's points meet the sites of
+    the cells, a quarter as wide, that are kept for them. The rounds are as
+    many as the logarithm of the extent over ``cell``; cells with over
+    ``CROWD`` sites are split on, points and sites alike.
+
+    Points and sites with a null or non-finite coordinate are left out, and
+    points of a ``by`` that is null or has no sites; equal sites count once.
     """
-    sites = sites.select(by, "x", "y", "z")
-    todo = points.join(sites.select(by).distinct(), by, "left_semi").select("key", by, "x", "y", "z")
-    d2 = sum(((F.col(a) - F.col(f"s{a}")) * (F.col(a) - F.col(f"s{a}")) for a in "xyz"), F.lit(0.0))
-    found, simple = [], 2 * cell
+    finite = functools.reduce(lambda p, q: p & q, [F.coalesce(F.abs(F.col(a)) < float("inf"), F.lit(False)) for a in "xyz"])
+    sites = cut(sites.where(finite).select(by, "x", "y", "z").distinct())
+    points = cut(points.where(finite).select("key", by, "x", "y", "z"))
+    # One row of each.
+    ends = points.select("x", "y", "z").unionByName(sites.select("x", "y", "z")).agg(*[f(a).cast("double").alias(f"{n}_{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    if ends["lo_x"] is None:
+        return points.select("key", by, F.lit(None).cast("double").alias("distance")).where("false")
+    extent = max(ends[f"hi_{a}"] - ends[f"lo_{a}"] for a in "xyz")
+    size = max(8.0 * cell, extent * 2.0**-32)
+    wide = 0
+    while size * _SPLIT**wide <= extent:
+        wide += 1
+    q, s = [f"q{a}" for a in "xyz"], [f"s{a}" for a in "xyz"]
+    bounds = lambda side: [f"{side}{e}_{a}" for e in ("lo", "hi") for a in "xyz"]
+
+    def placed(rows: DataFrame, side: str, level: int) -> DataFrame:
+        return rows.withColumns({f"{side}{a}": F.floor((F.col(a) - ends[f"lo_{a}"]) / (size * float(_SPLIT) ** level)).cast("long") for a in "xyz"})
+
+    def boxes(rows: DataFrame, side: str, level: int) -> DataFrame:
+        """(by, cell, bounds, n) of the occupied cells of a level."""
+        own = [f(a).alias(f"{side}{n}_{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in "xyz"]
+        return cut(placed(rows, side, level).groupBy(by, *[f"{side}{a}" for a in "xyz"]).agg(*own, F.count(F.lit(1)).alias(f"{side}n")))
+
+    def wider(inner: DataFrame, side: str) -> DataFrame:
+        cells = [f"{side}{a}" for a in "xyz"]
+        own = [f(f"{side}{n}_{a}").alias(f"{side}{n}_{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in "xyz"]
+        return inner.withColumns(_parents(cells)).groupBy(by, *[F.col(f"_{c}").alias(c) for c in cells]).agg(*own, F.sum(f"{side}n").alias(f"{side}n"))
+
+    def pruned(met: DataFrame) -> DataFrame:
+        near, far = _apart("q", "s")
+        most = F.min(far).over(Window.partitionBy(by, *q)) * (1 + 1e-9)
+        return met.withColumn("_near", near).withColumn("_most", most).where("_near <= _most").select(by, *q, *bounds("q"), *s, "sn")
+
+    def renamed(pairs: DataFrame, *cells: str) -> DataFrame:
+        return pairs.select(by, *[F.col(c).alias(f"_{c}") if c in cells else c for c in (*q, *s)], *bounds("q"))
+
+    q_level, s_level = {0: boxes(points, "q", 0)}, {-1: boxes(sites, "s", -1)}
+    for level in range(max(1, wide)):
+        s_level[level] = wider(s_level[level - 1], "s")
+        if level:
+            q_level[level] = wider(q_level[level - 1], "q")
+    # The widest but one are 64 a side at most.
+    level, found = max(0, wide - 1), []
+    pairs = pruned(q_level[level].join(s_level[level], by))
+    d2 = sum(((F.col(a) - F.col(f"at_{a}")) * (F.col(a) - F.col(f"at_{a}")) for a in "xyz"), F.lit(0.0))
     while True:
-        if cell <= simple:
-            s = _placed(sites, cell).select(by, "_cx", "_cy", "_cz", *[F.col(a).alias(f"s{a}") for a in "xyz"])
-            hit = _reached(todo, cell).join(s, [by, "_cx", "_cy", "_cz"]).groupBy("key", by).agg(F.sqrt(F.min(d2)).alias("distance"))
-        else:
-            hit = _by_parts(todo, sites, cell, by)
-        best = cut(todo.join(hit, ["key", by], "left"))
-        near = F.coalesce(F.col("distance") <= cell, F.lit(False))
-        found.append(best.where(near).select("key", by, "distance"))
-        todo = best.where(~near).drop("distance")
-        if not todo.head(1):
-            return functools.reduce(DataFrame.unionByName, found)
-        cell *= 2
-
-
-def _by_parts(points: DataFrame, sites: DataFrame, radius: float, by: str) -> DataFrame:
-    """(key, by, distance) of the nearest site in the cells that a point's ball
-    touches, by eighths of a cell's side."""
-    part = sites.withColumns({f"_p{a}": F.floor(F.col(a) / (radius / 4)).cast("long") for a in "xyz"})
-    inside = [*(f"_p{a}" for a in "xyz")]
-    box = part.groupBy(by, *inside).agg(*[f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
-    box = box.withColumns({f"_c{a}": F.floor(F.col(f"_p{a}") / 8).cast("long") for a in "xyz"})
-    square = lambda c: c * c
-    least = sum((square(F.greatest(F.col(f"lo_{a}") - F.col(a), F.col(a) - F.col(f"hi_{a}"), F.lit(0.0))) for a in "xyz"), F.lit(0.0))
-    most = sum((square(F.greatest(F.abs(F.col(f"lo_{a}") - F.col(a)), F.abs(F.col(f"hi_{a}") - F.col(a)))) for a in "xyz"), F.lit(0.0))
-    met = _reached(points, radius).join(box, [by, "_cx", "_cy", "_cz"]).select("key", by, "x", "y", "z", *inside, least.alias("least"), most.alias("most"))
-    bound = F.min("most").over(Window.partitionBy("key", by)) * (1 + 1e-9)
-    asked = met.withColumn("bound", bound).where(F.col("least") <= F.col("bound"))
-    s = part.select(by, *inside, *[F.col(a).alias(f"s{a}") for a in "xyz"])
-    d2 = sum((square(F.col(a) - F.col(f"s{a}")) for a in "xyz"), F.lit(0.0))
-    return asked.join(s, [by, *inside]).groupBy("key", by).agg(F.sqrt(F.min(d2)).alias("distance"))
+        if level <= 0:
+            # Where few sites are left, points meet them.
+            pairs = cut(pairs)
+            more = level > -_BELOW and bool(pairs.where(F.col("sn") > CROWD).head(1))
+            few = pairs.where(F.col("sn") <= CROWD) if more else pairs
+            parts = s_level[level - 1].withColumns(_parents(s))
+            kept = pruned(renamed(few, *s).join(parts, [by, *[f"_{c}" for c in s]])).select(by, *q, *s)
+            at = placed(sites, "s", level - 1).select(by, *s, *[F.col(a).alias(f"at_{a}") for a in "xyz"])
+            found.append(placed(points, "q", level).join(kept.join(at, [by, *s]).drop(*s), [by, *q]).groupBy("key", by).agg(F.min(d2).alias("d2")))
+            if not more:
+                break
+            pairs = pairs.where(F.col("sn") > CROWD)
+            left = placed(points, "q", level).join(pairs.select(by, *q).distinct(), [by, *q], "left_semi").select(*points.columns)
+            q_level[level - 1] = boxes(left, "q", level - 1)
+            s_level[level - 2] = boxes(sites, "s", level - 2)
+        level -= 1
+        inner = renamed(pairs, *q, *s).drop(*bounds("q"))
+        met = inner.join(q_level[level].withColumns(_parents(q)), [by, *[f"_{c}" for c in q]])
+        pairs = pruned(met.join(s_level[level].withColumns(_parents(s)), [by, *[f"_{c}" for c in s]]))
+    out = functools.reduce(DataFrame.unionByName, found)
+    if len(found) > 1:
+        out = out.groupBy("key", by).agg(F.min("d2").alias("d2"))
+    return cut(out.select("key", by, F.sqrt("d2").alias("distance")))
 
 
 def nearest_within(points: DataFrame, sites: DataFrame, radius: float, by: str = "winding", k: int = 1) -> DataFrame:
