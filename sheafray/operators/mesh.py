@@ -96,9 +96,9 @@ def normals_onesided(mesh: DataFrame, order: str = "xyz") -> DataFrame:
     return _as_normal(n, dr, dc, F.col("valid") & hr & hc, 1e-9, order)
 
 
-def roughness(mesh: DataFrame, nominal: float = 20.0) -> DataFrame:
+def bends(mesh: DataFrame, nominal: float = 20.0) -> DataFrame:
     """Root mean square of second differences along the normal, raw and scaled
-    to the nominal step, by winding; and percentiles of the column step."""
+    to the nominal step, by winding."""
     v = normals_interior(mesh)
     n = (F.col("nx"), F.col("ny"), F.col("nz"))
 
@@ -111,9 +111,13 @@ def roughness(mesh: DataFrame, nominal: float = 20.0) -> DataFrame:
     u, un = second("left", "right")
     w, wn = second("up", "down")
     rms = lambda c: F.sqrt(F.avg(c * c))
-    bends = v.groupBy("winding").agg(F.count(F.lit(1)).alias("vertices"), rms(u).alias("rms_u"), rms(w).alias("rms_v"), rms(un).alias("rms_u_normalised"), rms(wn).alias("rms_v_normalised"))
+    return v.groupBy("winding").agg(F.count(F.lit(1)).alias("vertices"), rms(u).alias("rms_u"), rms(w).alias("rms_v"), rms(un).alias("rms_u_normalised"), rms(wn).alias("rms_v_normalised"))
+
+
+def roughness(mesh: DataFrame, nominal: float = 20.0) -> DataFrame:
+    """``bends``, and percentiles of the column step."""
     steps = mesh.withColumn("right", _neighbour("c", 1)).where(F.col("valid") & F.coalesce(F.col("right.valid"), F.lit(False))).withColumn("step", norm(_difference("right", "")))
-    return bends.join(exact_percentiles(steps, "step", {"step_median": 0.5, "step_p5": 0.05, "step_p95": 0.95}, "winding").drop("n"), "winding")
+    return bends(mesh, nominal).join(exact_percentiles(steps, "step", {"step_median": 0.5, "step_p5": 0.05, "step_p95": 0.95}, "winding").drop("n"), "winding")
 
 
 def distortion(mesh: DataFrame, step: float = 20.0) -> DataFrame:
