@@ -134,6 +134,53 @@ def snap(points: DataFrame, crests: DataFrame, reach: float = 0.5, ray: str = "r
     )
 
 
+def crest_runs(rows: DataFrame, crests: DataFrame) -> DataFrame:
+    """The snapped ones of ``snap`` rows with a level, and their ``run``:
+    neighbours whose number of crests before and whose level differ alike."""
+    snapped = rows.where("status = 'snapped'").select("ray_id", F.col("t_new").alias("t"), F.col("t").alias("t_old"), "k", "level")
+    numbered = count_before(snapped, crests)
+    return runs(numbered.withColumn("diff", F.col("hits_before") - F.col("level")), "ray_id", "t_old", F.col("diff"))
+
+
+def drop_unsnapped(rows: DataFrame, crests: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Each run of at least ``least`` crossings becomes a ray of its own:
+    rays (ray, ray_id, run, offset, n, first_t, last_t), numbered from 0 with
+    the crossings before each, and crossings (ray, place, ray_id, t, level).
+
+    Numbers and offsets are prefix sums over parts of the table, so that no
+    task sees it whole.
+    """
+    from .numbering import dense
+
+    told = crest_runs(rows, crests)
+    kept = told.groupBy("ray_id", "run").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t")).where(F.col("n") >= least)
+    rays = dense(kept, "ray_id", "run", number="ray", total="n")
+    place = F.row_number().over(_by("ray", "t_old", "k")) - 1
+    crossings = told.join(rays.select("ray_id", "run", "ray"), ["ray_id", "run"]).withColumn("place", place)
+    return rays, crossings.select("ray", "place", "ray_id", "t", "level")
+
+
+def snap_summary(rows: DataFrame, crests: DataFrame, near: float = 3.0, least: int = 2) -> DataFrame:
+    """One row for a store's manifest: outcomes, moves and what runs keep.
+    Sums meet by ray; percentiles are by ranges of counted values."""
+    from .statistics import exact_percentiles
+
+    s = F.col("status")
+    part = lambda hit: F.count_if(hit)
+    sums = rows.groupBy("ray_id").agg(F.count(F.lit(1)).alias("n"), *[part(s == k).alias(k) for k in ("snapped", "no_crest", "conflict")], part(F.abs(F.col("crest") - F.col("t")) <= near).alias("near"))
+    total = sums.agg(F.count(F.lit(1)).alias("rays"), F.coalesce(F.sum("n"), F.lit(0)).alias("crossings"), *[F.sum(k).alias(k) for k in ("snapped", "no_crest", "conflict", "near")])
+    kept = crest_runs(rows, crests).groupBy("ray_id", "run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).agg(F.count(F.lit(1)).alias("rays_out"), F.coalesce(F.sum("n"), F.lit(0)).alias("kept"))
+    moves = rows.where(s == "snapped").select(F.abs(F.col("t_new") - F.col("t")).alias("move"))
+    shifts = exact_percentiles(moves, "move", {f"shift_p{q}": q / 100 for q in (25, 50, 75, 90)}).drop("n")
+    gap = F.col("t") - F.lag("t").over(_by("ray_id", "t"))
+    gaps = exact_percentiles(crests.select("ray_id", gap.alias("gap")), "gap", {"crest_gap_median": 0.5}).drop("n")
+    # Each side is one row at most.
+    one = total.crossJoin(F.broadcast(kept)).join(F.broadcast(shifts), F.lit(True), "left").join(F.broadcast(gaps), F.lit(True), "left")
+    share_ = lambda n: n / F.nullif(F.col("crossings"), F.lit(0))
+    fractions = {f"{k}_frac": share_(F.col(k)) for k in ("snapped", "no_crest", "conflict", "near", "kept")} | {"inconsistent_frac": share_(F.col("snapped") - F.col("kept"))}
+    return one.select("rays", "crossings", *[c.alias(k) for k, c in fractions.items()], "rays_out", *[f"shift_p{q}" for q in (25, 50, 75, 90)], "crest_gap_median")
+
+
 def smooth(profile: DataFrame, sigma: float, group: str = "prof_id", index: str = "i", value: str = "raw", name: str = "smooth") -> DataFrame:
     """Gaussian smoothing of a long profile table, ends mirrored. A profile is
     gathered into one array, smoothed and dealt out again: it is short, and its

@@ -177,16 +177,41 @@ def circular_concentration(phase: Column) -> Column:
 
 
 def auc(rows: DataFrame, score: str, label: str, *by: str) -> DataFrame:
-    """Area under the ROC curve by average ranks; null with a single class.
+    """Area under the ROC curve by average ranks, of groups of any size; null
+    with a single class. Rows without a score or a label do not count.
 
-    Equal scores are summed first, so the window runs over distinct scores.
+    Equal scores are counted first and dealt by ranges of group and score. A
+    partition's ranks begin after what its group has in earlier partitions, so
+    neither a group nor a window holds a class.
     """
-    counts = rows.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("int")).alias("p"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / F.lit(2.0))
+    key = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(1).alias("one"))
+    held = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    counts = held.groupBy(key.alias("key"), F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("int")).alias("p"))
+    placed = cut(counts.repartitionByRange("key", "score").withColumn("part", F.spark_partition_id()))
+    earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("key", "part").agg(F.sum("n").alias("size")).select("key", "part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    local = Window.partitionBy("key", "part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.col("before") + F.coalesce(F.sum("n").over(local), F.lit(0)) + (F.col("n") + 1) / F.lit(2.0)
     n1, n = F.sum("p").cast("double"), F.sum("n").cast("double")
     n0 = n - n1
-    return ranked.groupBy(*by).agg(((F.sum(F.col("rank") * F.col("p")) - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0.0))).alias("auc"), n1.cast("long").alias("positives"), n0.cast("long").alias("negatives"))
+    ranked = placed.join(parts, ["key", "part"]).withColumn("rank", rank).groupBy("key")
+    out = ranked.agg(((F.sum(F.col("rank") * F.col("p")) - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0.0))).alias("auc"), n1.cast("long").alias("positives"), n0.cast("long").alias("negatives"))
+    return out.select(*[F.col(f"key.{c}").alias(c) for c in by], "auc", "positives", "negatives")
+
+
+def auc_by_shift(stacks: DataFrame, labels: DataFrame, key: str, layers: int, shifts: list[int], centre: int, score, *by: str) -> DataFrame:
+    """How well ``score`` of a window of ``layers`` values ranks the labels
+    when the window moves by each shift (and ``by``): shift, auc, positives,
+    negatives and the mean score.
+
+    ``stacks`` (key, stack) is gathered once, wide enough for all shifts;
+    ``score`` maps an array column to a value; ``labels`` (key, label) has the
+    supervised places alone.
+    """
+    moved = stacks.join(labels, key).select(*by, "label", "stack", F.explode(F.array(*[F.lit(s) for s in shifts])).alias("shift"))
+    scored = cut(moved.select("shift", *by, "label", score(F.slice("stack", F.lit(centre + 1) + F.col("shift"), F.lit(layers))).alias("score")))
+    means = scored.groupBy("shift", *by).agg(F.avg("score").alias("mean_score"))
+    return auc(scored, "score", "label", "shift", *by).join(means, ["shift", *by])
 
 
 def null_report(copies: DataFrame, observed: DataFrame) -> DataFrame:

@@ -183,11 +183,21 @@ def auc_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(st.auc(lab, "score", "label", "lang"))
 
 
+def auc_by_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the mean of 28 layers of a 64-layer stack tells marked places
+    from others, for shifts of -8 to 8; places without a mark are left out."""
+    stacks = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda v: F.floor(128 + 200 * v.cast("double"))).alias("stack"))
+    marks = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("label"))
+    # Whole numbers, so that the order of summation never decides a tie.
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v)
+    return _rounded(st.auc_by_shift(stacks, marks, "doc_id", 28, list(range(-8, 9, 2)), 18, total))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         profile_smooth, profile_peaks_local, profile_peaks_prominence, profile_detrend, profile_phasor, peak_period, autocorr_period, vertex_crest_offset,
-        period_fit, plane_circular_R, layer_corr, best_layer, layer_contrast, stretch, auc_by_group,
+        period_fit, plane_circular_R, layer_corr, best_layer, layer_contrast, stretch, auc_by_group, auc_by_shift,
     )
 }
 
@@ -215,5 +225,6 @@ ORACLE_SQL = {
     "best_layer": with_(PROF, "c AS (SELECT p.winding, p.i - 21 AS shift, round(corr(p.raw, b.raw), 9) AS corr FROM prof p JOIN prof b ON p.prof_id = b.prof_id AND b.i = 20 WHERE p.i BETWEEN 21 AND 29 GROUP BY ALL)") + "SELECT winding, shift, round(corr, 6) AS corr FROM (SELECT *, row_number() OVER (PARTITION BY winding ORDER BY corr DESC, shift) AS rn FROM c) WHERE rn = 1",
     "layer_contrast": with_(PROF, "m AS (SELECT winding, i, avg(raw) AS m FROM prof GROUP BY ALL)") + "SELECT winding, round((max(m) - min(m)) / (max(m) + min(m) + 1e-6), 6) AS contrast FROM m GROUP BY winding",
     "stretch": with_(PROF, "s AS (SELECT winding, least(greatest((raw - quantile_cont(raw, 0.01) OVER w) / greatest(quantile_cont(raw, 0.99) OVER w - quantile_cont(raw, 0.01) OVER w, 1e-6), 0), 1) AS v FROM prof WINDOW w AS (PARTITION BY winding))") + "SELECT winding, round(avg(v * 255), 6) AS mean_byte, round(avg((v >= 1)::INT), 6) AS white, round(avg((v <= 0)::INT), 6) AS black FROM s GROUP BY winding",
+    "auc_by_shift": "WITH l AS (SELECT d AS shift, quality = 1 AS label, list_sum(list_transform(embedding[19 + d : 46 + d], lambda v: floor(128 + 200 * v::DOUBLE)::BIGINT))::BIGINT AS score FROM embeddings JOIN labels ON vec_id = doc_id, (SELECT unnest(range(-8, 9, 2)) AS d) WHERE quality IS NOT NULL), r AS (SELECT *, rank() OVER (PARTITION BY shift ORDER BY score) + (count(*) OVER (PARTITION BY shift, score) - 1) / 2.0::DOUBLE AS rank FROM l), s AS (SELECT shift, count(*) FILTER (label) AS positives, count(*) FILTER (NOT label) AS negatives, sum(rank) FILTER (label) AS ranks, avg(score) AS mean_score FROM r GROUP BY shift) SELECT shift::INT AS shift, round((ranks - positives * (positives + 1) / 2) / nullif((positives * negatives)::DOUBLE, 0), 6) AS auc, positives, negatives, round(mean_score, 6) AS mean_score FROM s",
     "auc_by_group": "WITH l AS (SELECT lang, n_chars AS score, toxic = 1 AS label FROM documents JOIN labels USING (doc_id)), r AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0::DOUBLE AS rank FROM l), s AS (SELECT lang, count(*) FILTER (label) AS positives, count(*) FILTER (NOT label) AS negatives, sum(rank) FILTER (label) AS rs FROM r GROUP BY lang) SELECT lang, positives, negatives, round((rs - positives * (positives + 1) / 2.0::DOUBLE) / nullif(positives * negatives, 0), 6) AS auc FROM s",
 }
