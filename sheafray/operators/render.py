@@ -3,7 +3,7 @@
 A mesh is dealt into square blocks, each with a margin as wide as the kernel,
 so that one shuffle serves a whole two-dimensional convolution; a block's
 arrays are of a fixed size whatever the mesh. Beyond the mesh's own ends values
-are mirrored. Layers meet a volume by planes, a join a sample.
+are mirrored. Layers are sampled where a block meets the chunks it needs.
 """
 
 from __future__ import annotations
@@ -82,13 +82,9 @@ def smooth_grid(mesh: DataFrame, sigma: float, block: int = BLOCK) -> DataFrame:
     return dealt.groupBy("winding", "br", "bc").applyInPandas(run, f"winding {kind}, r int, c int, x double, y double, z double, valid boolean")
 
 
-def dense_surface(mesh: DataFrame, step: float, sigma: float = 3.0, block: int = BLOCK) -> DataFrame:
-    """The mesh at ``step`` points a grid cell: (winding, i, j, z, y, x, nz,
-    ny, nx, ok). Positions are bilinear in the vertices, ``ok`` is the nearest
-    vertex's validity, and normals are the cross product of the gradients of
-    the points smoothed by ``sigma``."""
-    kernel = gaussian_kernel(sigma)
-    margin = len(kernel) // 2 + 1
+def _fine_blocks(mesh: DataFrame, step: float, margin: int, block: int) -> DataFrame:
+    """The vertices that each block (bi, bj) of refined points needs, with the
+    mesh's numbers of rows, cols and refined points, high and wide."""
     shaped = _shaped(mesh)
     fine = lambda n: F.floor((F.col(n) - 1) * F.lit(float(step))).cast("int") + 1
     shaped = shaped.withColumn("high", fine("rows")).withColumn("wide", fine("cols"))
@@ -99,80 +95,140 @@ def dense_surface(mesh: DataFrame, step: float, sigma: float = 3.0, block: int =
         lo, hi = F.floor((F.ceil((F.col(a) - 1) / ratio) - margin) / block), F.floor((F.floor((F.col(a) + 1) / ratio) + margin) / block)
         return F.explode(F.sequence(F.greatest(F.lit(0), lo), F.least(F.floor((F.col(m) - 1) / block), hi)))
 
-    dealt = shaped.withColumn("bi", reach("r", "rows", "high")).withColumn("bj", reach("c", "cols", "wide"))
+    return shaped.withColumn("bi", reach("r", "rows", "high")).withColumn("bj", reach("c", "cols", "wide"))
+
+
+def _refined(part, kernel: list[float], block: int):
+    """Of a block's vertices: the rows and columns of its points, their
+    positions and normals (z, y, x), and whether they are on the mesh."""
+    margin = len(kernel) // 2 + 1
+    n, m = [int(part[k].iloc[0]) for k in ("rows", "cols")], [int(part[k].iloc[0]) for k in ("high", "wide")]
+    sides = []
+    for k, name in enumerate(("bi", "bj")):
+        own = int(part[name].iloc[0])
+        core = (own * block, min((own + 1) * block, m[k]))
+        lo, hi = max(0, core[0] - margin), min(m[k], core[1] + margin)
+        at = np.arange(lo, hi) * ((n[k] - 1) / (m[k] - 1) if m[k] > 1 else 0.0)
+        low = np.clip(np.floor(at).astype(int), 0, max(0, n[k] - 2))
+        sides.append((core, lo, hi, low, at - low, np.clip(np.floor(at + 0.5).astype(int), 0, n[k] - 1)))
+    first = tuple(int(s[3].min()) for s in sides)
+    shape = tuple(int(min(n[k] - 1, s[3].max() + 1)) - first[k] + 1 for k, s in enumerate(sides))
+    p, valid = _grid(part, first, shape)
+    a, b = (s[3] - o for s, o in zip(sides, first, strict=True))
+    up, right = np.minimum(a + 1, shape[0] - 1), np.minimum(b + 1, shape[1] - 1)
+    f, g = sides[0][4][:, None, None], sides[1][4][None, :, None]
+    d = (p[np.ix_(a, b)] * (1 - f) + p[np.ix_(up, b)] * f) * (1 - g) + (p[np.ix_(a, right)] * (1 - f) + p[np.ix_(up, right)] * f) * g
+    ok = valid[np.ix_(sides[0][5] - first[0], sides[1][5] - first[1])]
+    pads = tuple((margin - 1 if s[1] == 0 else 0, margin - 1 if s[2] == m[k] else 0) for k, s in enumerate(sides))
+    soft = _blurred(d, kernel, pads)
+    # Where the block's margin was not cut off, its outer points are gone.
+    begin = [s[1] if s[1] == 0 else s[1] + margin - 1 for s in sides]
+    normal = np.zeros_like(soft)
+    if min(soft.shape[:2]) > 1:
+        normal = np.cross(np.gradient(soft, axis=0), np.gradient(soft, axis=1))
+        normal /= np.maximum(np.linalg.norm(normal, axis=-1, keepdims=True), 1e-9)
+    (i0, i1), (j0, j1) = sides[0][0], sides[1][0]
+    inside = np.s_[i0 - sides[0][1] : i1 - sides[0][1], j0 - sides[1][1] : j1 - sides[1][1]]
+    i, j = np.meshgrid(np.arange(i0, i1), np.arange(j0, j1), indexing="ij")
+    return i.ravel(), j.ravel(), d[inside].reshape(-1, 3), normal[i0 - begin[0] : i1 - begin[0], j0 - begin[1] : j1 - begin[1]].reshape(-1, 3), ok[inside].ravel()
 
-    def axis(k: int, n: int, m: int):
-        """Of one axis: the block's points, those with its margin, and their
-        lower vertices, fractions and nearest vertices."""
-        core = (k * block, min((k + 1) * block, m))
-        lo, hi = max(0, core[0] - margin), min(m, core[1] + margin)
-        at = np.arange(lo, hi) * ((n - 1) / (m - 1) if m > 1 else 0.0)
-        low = np.clip(np.floor(at).astype(int), 0, max(0, n - 2))
-        return core, lo, hi, low, at - low, np.clip(np.floor(at + 0.5).astype(int), 0, n - 1)
+
+def dense_surface(mesh: DataFrame, step: float, sigma: float = 3.0, block: int = BLOCK) -> DataFrame:
+    """The mesh at ``step`` points a grid cell: (winding, i, j, z, y, x, nz,
+    ny, nx, ok). Positions are bilinear in the vertices, ``ok`` is the nearest
+    vertex's validity, and normals are the cross product of the gradients of
+    the points smoothed by ``sigma``."""
+    kernel = gaussian_kernel(sigma)
 
     def run(part):
         import pandas as pd
 
-        n, m = [int(part[k].iloc[0]) for k in ("rows", "cols")], [int(part[k].iloc[0]) for k in ("high", "wide")]
-        sides = [axis(int(part[b].iloc[0]), n[k], m[k]) for k, b in enumerate(("bi", "bj"))]
-        first = tuple(int(s[3].min()) for s in sides)
-        shape = tuple(int(min(n[k] - 1, s[3].max() + 1)) - first[k] + 1 for k, s in enumerate(sides))
-        p, valid = _grid(part, first, shape)
-        a, b = (s[3] - o for s, o in zip(sides, first, strict=True))
-        up, right = np.minimum(a + 1, shape[0] - 1), np.minimum(b + 1, shape[1] - 1)
-        f, g = sides[0][4][:, None, None], sides[1][4][None, :, None]
-        d = (p[np.ix_(a, b)] * (1 - f) + p[np.ix_(up, b)] * f) * (1 - g) + (p[np.ix_(a, right)] * (1 - f) + p[np.ix_(up, right)] * f) * g
-        ok = valid[np.ix_(sides[0][5] - first[0], sides[1][5] - first[1])]
-        pads = tuple((margin - 1 if s[1] == 0 else 0, margin - 1 if s[2] == m[k] else 0) for k, s in enumerate(sides))
-        soft = _blurred(d, kernel, pads)
-        # Where the block's margin was not cut off, its outer points are gone.
-        begin = [s[1] if s[1] == 0 else s[1] + margin - 1 for s in sides]
-        normal = np.zeros_like(soft)
-        if min(soft.shape[:2]) > 1:
-            normal = np.cross(np.gradient(soft, axis=0), np.gradient(soft, axis=1))
-            normal /= np.maximum(np.linalg.norm(normal, axis=-1, keepdims=True), 1e-9)
-        (i0, i1), (j0, j1) = sides[0][0], sides[1][0]
-        own = d[i0 - sides[0][1] : i1 - sides[0][1], j0 - sides[1][1] : j1 - sides[1][1]].reshape(-1, 3)
-        out = normal[i0 - begin[0] : i1 - begin[0], j0 - begin[1] : j1 - begin[1]].reshape(-1, 3)
-        i, j = np.meshgrid(np.arange(i0, i1), np.arange(j0, j1), indexing="ij")
-        fit = ok[i0 - sides[0][1] : i1 - sides[0][1], j0 - sides[1][1] : j1 - sides[1][1]]
-        return pd.DataFrame({"winding": part["winding"].iloc[0], "i": i.ravel(), "j": j.ravel()} | {name: v[:, k] for v, names in ((own, "zyx"), (out, ("nz", "ny", "nx"))) for k, name in enumerate(names)} | {"ok": fit.ravel()})
+        i, j, own, normal, ok = _refined(part, kernel, block)
+        return pd.DataFrame({"winding": part["winding"].iloc[0], "i": i, "j": j} | {name: v[:, k] for v, names in ((own, "zyx"), (normal, ("nz", "ny", "nx"))) for k, name in enumerate(names)} | {"ok": ok})
 
     kind = dict(mesh.dtypes)["winding"]
-    return dealt.groupBy("winding", "bi", "bj").applyInPandas(run, f"winding {kind}, i int, j int, z double, y double, x double, nz double, ny double, nx double, ok boolean")
+    return _fine_blocks(mesh, step, len(kernel) // 2 + 1, block).groupBy("winding", "bi", "bj").applyInPandas(run, f"winding {kind}, i int, j int, z double, y double, x double, nz double, ny double, nx double, ok boolean")
+
+
+class Chunks:
+    """Some chunks of a volume, to be sampled; missing ones are 0."""
+
+    def __init__(self, keys: np.ndarray, data: list, shape: tuple, chunk: tuple, dtype: str) -> None:
+        self.shape, self.chunk, self.first = shape, np.array(chunk), keys.min(axis=0) if len(keys) else np.zeros(3, int)
+        size = keys.max(axis=0) - self.first + 1 if len(keys) else np.ones(3, int)
+        # The last row stands for chunks that are not there.
+        self.row = np.full(tuple(size), len(keys))
+        self.values = np.zeros((len(keys) + 1, int(np.prod(chunk))))
+        if len(keys):
+            self.row[tuple((keys - self.first).T)] = np.arange(len(keys))
+        for k, raw in enumerate(data):
+            self.values[k] = np.frombuffer(raw, dtype) if isinstance(raw, bytes | bytearray) else np.asarray(raw, float)
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        key = places // self.chunk - self.first
+        inside = ((key >= 0) & (key < self.row.shape)).all(axis=1)
+        row = np.full(len(places), len(self.values) - 1)
+        row[inside] = self.row[tuple(key[inside].T)]
+        z, y, x = (places % self.chunk).T
+        return self.values[row, (z * self.chunk[1] + y) * self.chunk[2] + x]
+
+    def sample(self, points: np.ndarray) -> np.ndarray:
+        """Trilinear; lower corners are held within the volume, fractions are
+        the points' own."""
+        low = np.floor(points)
+        f = points - low
+        low = np.clip(low, 0, np.array(self.shape) - 2).astype(np.int64)
+        out = np.zeros(len(points))
+        for corner in np.ndindex(2, 2, 2):
+            w = np.prod([f[:, k] if d else 1 - f[:, k] for k, d in enumerate(corner)], axis=0)
+            out += w * self.at(low + corner)
+        return out
 
 
-def sample_planes(points: DataFrame, planes: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """``points`` (z, y, x, ...) with ``value``, trilinear in a volume of
-    planes (z, data: the plane's values in order of y, x).
+def tile_profiles(mesh: DataFrame, chunks: DataFrame, shape: tuple[int, int, int], chunk: tuple[int, int, int], step: float, layers: tuple[int, ...] = LAYERS, tile: int = 128, sigma: float = 3.0, least_ok: float = 0.9, most_zero: float = 0.05, dtype: str = "uint8", block: int = BLOCK) -> DataFrame:
+    """Mean value by layer of the tiles (winding, ti, tj, t, value) of the
+    refined mesh that are whole, on the mesh and inside the volume.
 
-    Lower corners are held within the volume, fractions are the points' own. A
-    plane is joined with the next one once, and a point then meets one row.
+    ``chunks`` has cz, cy, cx and data, bytes or an array. A block of the mesh
+    asks for the chunks that its valid vertices come near; both meet by block,
+    points and samples stay there, and what leaves it is sums by tile and layer.
     """
-    low = {a: F.least(F.greatest(F.floor(a), F.lit(0)), F.lit(n - 2)).cast("int") for a, n in zip("zyx", shape, strict=True)}
-    part = {a: F.col(a) - F.floor(a) for a in "zyx"}
-    upper = planes.select((F.col("z") - 1).alias("_iz"), F.col("data").alias("_upper"))
-    both = planes.select(F.col("z").alias("_iz"), F.col("data").alias("_lower")).join(upper, "_iz")
-    at = points.withColumns({f"_i{a}": low[a] for a in "zyx"} | {f"_f{a}": part[a] for a in "zyx"}).join(both, "_iz", "left")
-
-    def value(data: str, dy: int, dx: int) -> Column:
-        w = (F.col("_fy") if dy else 1 - F.col("_fy")) * (F.col("_fx") if dx else 1 - F.col("_fx"))
-        return w * F.coalesce(F.get(data, (F.col("_iy") + dy) * shape[2] + F.col("_ix") + dx).cast("double"), F.lit(0.0))
-
-    plane = lambda data: sum((value(data, dy, dx) for dy in (0, 1) for dx in (0, 1)), F.lit(0.0))
-    return at.withColumn("value", (1 - F.col("_fz")) * plane("_lower") + F.col("_fz") * plane("_upper")).select(*points.columns, "value")
+    kernel = gaussian_kernel(sigma)
+    dealt = _fine_blocks(mesh, step, len(kernel) // 2 + 1, block)
+    by, keys = ["winding", "bi", "bj"], ["cz", "cy", "cx"]
+    reach = max(map(abs, layers)) + 2
+    asked = dealt.where("valid").groupBy(*by).agg(*[f(a).alias(f"{n}_{a}") for a in "zyx" for n, f in (("lo", F.min), ("hi", F.max))])
+    for a, n, c in zip("zyx", shape, chunk, strict=True):
+        held = lambda at, n=n, c=c: F.floor(F.least(F.greatest(at, F.lit(0)), F.lit(n - 1)) / c).cast("int")
+        asked = asked.withColumn(f"c{a}", F.explode(F.sequence(held(F.col(f"lo_{a}") - reach), held(F.col(f"hi_{a}") + reach))))
+    near = asked.select(*[F.col(c).alias(f"_{c}") for c in by], *keys).join(chunks.select(*keys, "data"), keys)
+
+    def run(part, held):
+        import pandas as pd
 
+        names = ["winding", "ti", "tj", "t", "total", "zeros", "n", "whole"]
+        if not len(part):
+            return pd.DataFrame({n: [] for n in names})
+        i, j, own, normal, ok = _refined(part, kernel, block)
+        volume = Chunks(held[keys].to_numpy(int).reshape(-1, 3), list(held["data"]), shape, chunk, dtype)
+        i, j, own, normal = i[ok] // tile, j[ok] // tile, own[ok], normal[ok]
+        across = int(part["wide"].iloc[0]) // tile + 1
+        which, inverse = np.unique(i * across + j, return_inverse=True)
+        out = []
+        for t in layers:
+            v = volume.sample(own + t * normal)
+            sums = [np.bincount(inverse, w, len(which)) for w in (v, (v == 0).astype(float), np.ones(len(v)))]
+            out.append(pd.DataFrame({"ti": which // across, "tj": which % across, "t": t, "total": sums[0], "zeros": sums[1].astype(int), "n": sums[2].astype(int)}))
+        out = pd.concat(out)
+        whole = ((out["ti"] + 1) * tile <= int(part["high"].iloc[0])) & ((out["tj"] + 1) * tile <= int(part["wide"].iloc[0]))
+        return out.assign(winding=part["winding"].iloc[0], whole=whole)[names]
 
-def tile_profiles(dense: DataFrame, planes: DataFrame, shape: tuple[int, int, int], layers: tuple[int, ...] = LAYERS, tile: int = 128, least_ok: float = 0.9, most_zero: float = 0.05) -> DataFrame:
-    """Mean value by layer of the tiles (winding, ti, tj, t, value) that are
-    whole, on the mesh and inside the volume."""
-    ti, tj = F.floor(F.col("i") / tile).cast("int").alias("ti"), F.floor(F.col("j") / tile).cast("int").alias("tj")
-    whole = dense.groupBy("winding", ti, tj).agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_ok")).where((F.col("n") == tile * tile) & (F.col("n_ok") >= least_ok * tile * tile))
-    at = {a: F.col(a) + F.col("t") * F.col(f"n{a}") for a in "zyx"}
-    points = dense.where("ok").withColumn("t", F.explode(F.array(*[F.lit(t) for t in layers]))).select("winding", ti, tj, "t", *[at[a].alias(a) for a in "zyx"])
-    means = sample_planes(points, planes, shape).groupBy("winding", "ti", "tj", "t").agg(F.avg("value").alias("value"), F.count_if(F.col("value") == 0).alias("zeros"), F.count(F.lit(1)).alias("of"))
-    inside = F.sum("zeros").over(Window.partitionBy("winding", "ti", "tj")) <= most_zero * F.sum("of").over(Window.partitionBy("winding", "ti", "tj"))
-    return means.withColumn("inside", inside).where("inside").join(whole.select("winding", "ti", "tj"), ["winding", "ti", "tj"], "left_semi").select("winding", "ti", "tj", "t", "value")
+    kind = dict(mesh.dtypes)["winding"]
+    sums = dealt.groupBy(*by).cogroup(near.groupBy(*[f"_{c}" for c in by])).applyInPandas(run, f"winding {kind}, ti int, tj int, t int, total double, zeros long, n long, whole boolean").where("whole")
+    tiles = sums.groupBy("winding", "ti", "tj", "t").agg(F.sum("total").alias("total"), F.sum("zeros").alias("zeros"), F.sum("n").alias("n")).where(F.col("n") >= least_ok * tile * tile)
+    w = Window.partitionBy("winding", "ti", "tj")
+    inside = F.sum("zeros").over(w) <= most_zero * F.sum("n").over(w)
+    return tiles.withColumn("inside", inside).where("inside").select("winding", "ti", "tj", "t", (F.col("total") / F.col("n")).alias("value"))
 
 
 def tile_figures(profiles: DataFrame, layers: tuple[int, ...], periods: tuple[float, ...]) -> DataFrame:
@@ -196,7 +252,7 @@ def tile_figures(profiles: DataFrame, layers: tuple[int, ...], periods: tuple[fl
     return figures.join(best.select(*by, "f.period", (F.col("f.period") * F.atan2("f.a", "f.b") / (2 * math.pi)).alias("offset")), by)
 
 
-def render_contrast(mesh: DataFrame, planes: DataFrame, shape: tuple[int, int, int], step: float, sigmas: tuple[float, ...] = (0.0,), layers: tuple[int, ...] = LAYERS, tile: int = 128, periods: tuple[float, ...] = tuple(8 + k / 4 for k in range(89)), normal_sigma: float = 3.0) -> DataFrame:
+def render_contrast(mesh: DataFrame, chunks: DataFrame, shape: tuple[int, int, int], chunk: tuple[int, int, int], step: float, sigmas: tuple[float, ...] = (0.0,), layers: tuple[int, ...] = LAYERS, tile: int = 128, periods: tuple[float, ...] = tuple(8 + k / 4 for k in range(89)), normal_sigma: float = 3.0) -> DataFrame:
     """By winding and ``sigma`` of smoothing: the roughness that is left, how
     many tiles the render has, their median contrast and the share above 0.2,
     and the sheets' offset with its concentration. Windings without tiles have
@@ -205,10 +261,10 @@ def render_contrast(mesh: DataFrame, planes: DataFrame, shape: tuple[int, int, i
 
     rough, tiles = None, None
     for sigma in sigmas:
-        surface = cut(smooth_grid(mesh, sigma))
+        surface = cut(smooth_grid(mesh, sigma)) if sigma > 0 else mesh
         mark = F.lit(float(sigma)).alias("sigma")
         own = bends(surface, float(step)).select("winding", mark, F.col("rms_u_normalised").alias("roughness_u"), F.col("rms_v_normalised").alias("roughness_v"))
-        found = tile_figures(tile_profiles(cut(dense_surface(surface, step, normal_sigma)), planes, shape, layers, tile), layers, periods).withColumn("sigma", mark)
+        found = tile_figures(tile_profiles(surface, chunks, shape, chunk, step, layers, tile, normal_sigma), layers, periods).withColumn("sigma", mark)
         rough, tiles = (own, found) if rough is None else (rough.unionByName(own), tiles.unionByName(found))
     tiles = cut(tiles)
     by = ["winding", "sigma"]

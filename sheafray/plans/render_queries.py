@@ -18,21 +18,21 @@ FIGURES = ("roughness_u", "roughness_v", "tiles_above_0_2", "phase_R", "contrast
 def within_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windings of MESH laid through the volume of VOX."""
     e = (F.col("z") - 1000) / 40
-    return mesh(spark, sf_dir).select("winding", "r", "c", (3.5 + 2 * e).alias("x"), (F.col("c") / F.lit(9.0)).alias("y"), (10.0 * F.col("r") + 5).alias("z"), "valid")
+    return mesh(spark, sf_dir).select("winding", "r", "c", (3.5 + 2 * e).alias("x"), (F.col("c") / F.lit(9.0)).alias("y"), (9.0 * F.col("r") + 5.37).alias("z"), "valid")
 
 
 def planes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int, int]]:
-    """VOX as rows of whole planes, and its shape."""
+    """VOX as chunks of a plane each, and its shape."""
     e = table(spark, sf_dir, "embeddings")
     value = lambda v: F.floor(F.least(F.greatest(128 + 200 * v.cast("double"), F.lit(0.0)), F.lit(255.0))).cast("int")
     last = e.agg(F.max("vec_id").alias("z")).first()["z"]
-    return e.select(F.col("vec_id").cast("int").alias("z"), F.transform("embedding", value).alias("data")), ((last or 0) + 1, 8, 8)
+    return e.select(F.col("vec_id").cast("int").alias("cz"), F.lit(0).alias("cy"), F.lit(0).alias("cx"), F.transform("embedding", value).alias("data")), ((last or 0) + 1, 8, 8)
 
 
 def render_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contrast and phase of the windings' tiles, as given and smoothed."""
     volume, shape = planes(spark, sf_dir)
-    return _rounded(rn.render_contrast(within_volume(spark, sf_dir), volume, shape, STEP, SIGMAS, LAYERS, TILE, PERIODS))
+    return _rounded(rn.render_contrast(within_volume(spark, sf_dir), volume, shape, (1, 8, 8), STEP, SIGMAS, LAYERS, TILE, PERIODS))
 
 
 QUERIES = {"render_contrast": render_contrast}
@@ -62,7 +62,7 @@ _ONES = ", ".join(f"({t})" for t in LAYERS)
 _WAVES = ", ".join(f"({p!r}::DOUBLE)" for p in PERIODS)
 #: Smoothing, refinement, normals, sampling and tiles, each from its definition.
 RENDER = [
-    "me AS MATERIALIZED (SELECT label AS winding, r, i AS c, e, 3.5 + 2 * e AS x, i / 9.0::DOUBLE AS y, 10.0::DOUBLE * r + 5 AS z, e > -0.2 AS valid FROM (SELECT label, r, i, embedding[i + 1]::DOUBLE AS e FROM (SELECT label, embedding, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS r, unnest(range(len(embedding)))::INT AS i FROM embeddings)))",
+    "me AS MATERIALIZED (SELECT label AS winding, r, i AS c, e, 3.5 + 2 * e AS x, i / 9.0::DOUBLE AS y, 9.0::DOUBLE * r + 5.37::DOUBLE AS z, e > -0.2 AS valid FROM (SELECT label, r, i, embedding[i + 1]::DOUBLE AS e FROM (SELECT label, embedding, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS r, unnest(range(len(embedding)))::INT AS i FROM embeddings)))",
     "sh AS MATERIALIZED (SELECT winding, max(r) + 1 AS rows, max(c) + 1 AS cols FROM me GROUP BY winding)",
     _kernel("k1", 1.0),
     _kernel("k3", 3.0),

@@ -71,17 +71,17 @@ def test_contrast_of_a_flat_surface_between_sheets(spark):
     """Sheets 8 apart in x; a plane three off a crest, and one with noise that
     smoothing takes away again."""
     shape = (24, 24, 64)
-    planes = spark.range(shape[0]).select(F.col("id").cast("int").alias("z"), F.lit([100 + 80 * math.cos(2 * math.pi * x / 8) for _ in range(shape[1]) for x in range(shape[2])]).alias("data"))
+    planes = spark.range(shape[0]).select(F.col("id").cast("int").alias("cz"), F.lit(0).alias("cy"), F.lit(0).alias("cx"), F.lit([100 + 80 * math.cos(2 * math.pi * x / 8) for _ in range(shape[1]) for x in range(shape[2])]).alias("data"))
     rng = np.random.default_rng(5)
     p = np.stack([*np.meshgrid(np.arange(0, 24, 2.0), np.arange(0, 24, 2.0), indexing="ij"), np.full((12, 12), 29.0)], axis=-1)
     noisy = p + rng.normal(size=p.shape) * [0, 0, 1.2]
     mesh = _rows(spark, p, np.ones((12, 12), bool)).unionByName(_rows(spark, noisy, np.ones((12, 12), bool), 2))
     periods = tuple(6 + k / 4 for k in range(20))
-    got = {(r.winding, r.sigma): r for r in render.render_contrast(mesh, planes, shape, 2.0, (0.0, 2.0), tile=10, periods=periods).collect()}
+    got = {(r.winding, r.sigma): r for r in render.render_contrast(mesh, planes, shape, (1, 24, 64), 2.0, (0.0, 2.0), tile=10, periods=periods).collect()}
     flat = got[1, 0.0]
     # The nearest crest is at x = 32, three along the normal or against it.
     assert flat.tiles == 4 and flat.offset_median == pytest.approx(3.0, abs=0.05) and flat.phase_R > 0.999
     assert flat.contrast_median == pytest.approx((180 - 20) / 200, abs=0.02) and flat.roughness_u == pytest.approx(0, abs=1e-9)
     assert got[2, 2.0].roughness_u < 0.3 * got[2, 0.0].roughness_u and got[2, 2.0].contrast_median > got[2, 0.0].contrast_median
-    none = render.render_contrast(_rows(spark, p[:3, :3], np.ones((3, 3), bool)), planes, shape, 2.0, tile=10, periods=periods).collect()
+    none = render.render_contrast(_rows(spark, p[:3, :3], np.ones((3, 3), bool)), planes, shape, (1, 24, 64), 2.0, tile=10, periods=periods).collect()
     assert [r.tiles for r in none] == [0] and none[0].contrast_median is None
