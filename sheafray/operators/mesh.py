@@ -127,9 +127,11 @@ def distortion(mesh: DataFrame, step: float = 20.0) -> DataFrame:
     dc, dr = _difference("right", ""), _difference("down", "")
     ok_c, ok_r = F.coalesce(F.col("right.valid"), F.lit(False)), F.coalesce(F.col("down.valid"), F.lit(False))
     cosine = F.abs(sum((a * b for a, b in zip(dc, dr, strict=True)), F.lit(0.0))) / (norm(dc) * norm(dr) + 1e-9)
-    rows = n.select("winding", F.when(ok_c, norm(dc) / step).alias("col"), F.when(ok_r, norm(dr) / step).alias("row"), F.when(ok_c & ok_r, F.degrees(F.acos(clip(cosine, 0, 1)))).alias("angle"))
-    p = lambda c, q: F.percentile(c, F.lit(q)).alias(f"{c}_p{int(100 * q)}")
-    return rows.groupBy("winding").agg(*[p(c, q) for c in ("col", "row") for q in (0.05, 0.5, 0.95)], p("angle", 0.05))
+    figures = {"col": F.when(ok_c, norm(dc) / step), "row": F.when(ok_r, norm(dr) / step), "angle": F.when(ok_c & ok_r, F.degrees(F.acos(clip(cosine, 0, 1))))}
+    rows = n.select("winding", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("at")) for k, v in figures.items()])).alias("f")).select("winding", "f.*")
+    found = exact_percentiles(rows, "at", {"p5": 0.05, "p50": 0.5, "p95": 0.95}, "winding", "name")
+    p = lambda k, q: F.max(F.when(F.col("name") == k, F.col(q))).alias(f"{k}_{q}")
+    return found.groupBy("winding").agg(*[p(k, q) for k in ("col", "row") for q in ("p5", "p50", "p95")], p("angle", "p5"))
 
 
 def axis_intervals(axis: DataFrame) -> DataFrame:

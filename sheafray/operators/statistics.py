@@ -176,6 +176,24 @@ def circular_concentration(phase: Column) -> Column:
     return F.sqrt(F.avg(F.cos(angle)) * F.avg(F.cos(angle)) + F.avg(F.sin(angle)) * F.avg(F.sin(angle)))
 
 
+def tile_concentration(rows: DataFrame, tile: int = 5, least: int = 15, phase: str = "phase") -> DataFrame:
+    """By winding the concentration of all phases (winding, r, c, phase), the
+    median of that of tile x tile cells, and how many tiles count: those
+    wholly within the grid with at least ``least`` phases. A surface that
+    follows its sheets at a slowly varying offset has a high median alone.
+
+    Null and NaN phases are left out, but their rows count for the grid's size.
+    """
+    shape = rows.groupBy("winding").agg((F.max("r") + 1).alias("_rows"), (F.max("c") + 1).alias("_cols"))
+    held = rows.where(F.col(phase).isNotNull() & ~F.isnan(F.col(phase)))
+    whole = held.groupBy("winding").agg(circular_concentration(F.col(phase)).alias("phase_R"))
+    tr, tc = F.floor(F.col("r") / tile).alias("_tr"), F.floor(F.col("c") / tile).alias("_tc")
+    tiles = held.groupBy("winding", tr, tc).agg(F.count(F.lit(1)).alias("_n"), circular_concentration(F.col(phase)).alias("_R")).where(F.col("_n") >= least)
+    inside = tiles.join(shape, "winding").where(((F.col("_tr") + 1) * tile <= F.col("_rows")) & ((F.col("_tc") + 1) * tile <= F.col("_cols")))
+    medians = exact_percentiles(inside.select("winding", "_R"), "_R", {"phase_R_tile_median": 0.5}, "winding").withColumnRenamed("n", "tiles")
+    return whole.join(medians, "winding", "left").withColumn("tiles", F.coalesce("tiles", F.lit(0)))
+
+
 def auc(rows: DataFrame, score: str, label: str, *by: str) -> DataFrame:
     """Area under the ROC curve by average ranks, of groups of any size; null
     with a single class. Rows without a score or a label do not count.

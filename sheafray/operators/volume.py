@@ -35,6 +35,37 @@ def gather(points: DataFrame, voxels: DataFrame, key: str, shape: tuple[int, int
     return c.join(v, ["iz", "iy", "ix"], "left").groupBy(key).agg(F.sum(F.col("w") * F.coalesce("v", F.lit(0.0))).alias("value"))
 
 
+def sample_coords(points: DataFrame, voxels: DataFrame, key: str, shape: tuple[int, int, int], sampling: str = "trilinear", z_range: tuple[float, float] | None = None) -> DataFrame:
+    """``points`` (key, z, y, x, and ``ok`` if there is a mask) with ``value``,
+    a whole number from 0 to 255, and ``inside``: whether the point lies in the
+    volume (in the slices of ``z_range``, half-open, if given) and is not masked.
+
+    "trilinear" values are rounded half up, "nearest" takes the voxel whose
+    place is nearest, halves to the even one. Outside points have the value 0,
+    as have missing voxels.
+    """
+    fit = [F.col(a).between(0, n - 1) for a, n in zip("zyx", shape, strict=True)]
+    if z_range:
+        fit.append(F.col("z").between(z_range[0], z_range[1] - 1))
+    if "ok" in points.columns:
+        fit.append(F.col("ok"))
+    inside = F.lit(True)
+    for f in fit:
+        inside = inside & F.coalesce(f, F.lit(False))
+    told = points.withColumn("inside", inside)
+    if sampling == "nearest":
+        v = voxels.select(*[F.col(a).cast("int").alias(f"_i{a}") for a in "zyx"], F.col("v").cast("double").alias("_v"))
+        placed = told.withColumns({f"_i{a}": F.when(F.col("inside"), F.rint(a)).cast("int") for a in "zyx"})
+        found = placed.join(v, ["_iz", "_iy", "_ix"], "left").drop("_iz", "_iy", "_ix")
+    elif sampling == "trilinear":
+        values = gather(told.where("inside").select(key, "z", "y", "x"), voxels, key)
+        found = told.join(values.withColumnRenamed("value", "_v"), key, "left")
+    else:
+        raise ValueError(f"sampling {sampling} is not known")
+    value = F.floor(F.least(F.greatest(F.coalesce("_v", F.lit(0.0)), F.lit(0.0)), F.lit(255.0)) + 0.5)
+    return found.withColumn("value", F.least(value, F.lit(255)).cast("int")).drop("_v")
+
+
 def gather_chunks(points: DataFrame, chunks: DataFrame, chunk: tuple[int, int, int], key: str, dtype: str = "uint8") -> DataFrame:
     """The same from chunk rows (cz, cy, cx, data): each corner goes to its
     chunk and is looked up there, so a chunk moves once whatever number of

@@ -182,12 +182,19 @@ def level_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(part(coarse, "level2").join(part(metric, "micron"), "winding"))
 
 
+def tile_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phase concentration of the windings and of their tiles, a phase being
+    what z is above 1000 in sheets of 14."""
+    phase = F.when(F.col("valid"), (F.col("z") - 1000) / 14)
+    return _rounded(st.tile_concentration(mesh(spark, sf_dir).withColumn("phase", phase)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         mesh_normals_interior, mesh_normals_onesided, mesh_roughness, grid_distortion, outward_fraction, radius_by_winding, sector_gaps, plane_polyline,
         full_blocks, triangulate, ray_triangle_hits, winding_pitch, own_other_none, grid_upsample, tile_profile, tile_contrast, tile_median3x3, tile_smooth,
-        drift_unwrap, axis_distance_hist, spaced_blocks, band_rows, valid_tiles, quantile_windings, level_units,
+        drift_unwrap, axis_distance_hist, spaced_blocks, band_rows, valid_tiles, quantile_windings, level_units, tile_phase,
     )
 } | {"shell_exit": sight_lines}
 
@@ -245,6 +252,15 @@ ORACLE_SQL = {
         "n AS (SELECT *, row_number() OVER (PARTITION BY winding ORDER BY r, c) - 1 AS k, count(*) OVER (PARTITION BY winding) AS n FROM b)",
     )
     + "SELECT winding, r, c FROM n WHERE k IN (0, (n - 1) // 2, n - 1)",
+    "tile_phase": with_(
+        MESH,
+        "ph AS (SELECT winding, r, c, 2 * pi() * (z - 1000) / 14 AS a FROM mesh WHERE valid)",
+        "sh AS (SELECT winding, max(r) + 1 AS rows, max(c) + 1 AS cols FROM mesh GROUP BY winding)",
+        "al AS (SELECT winding, sqrt(avg(cos(a)) ** 2 + avg(sin(a)) ** 2) AS phase_R FROM ph GROUP BY winding)",
+        "tl AS (SELECT winding, r // 5 AS tr, c // 5 AS tc, sqrt(avg(cos(a)) ** 2 + avg(sin(a)) ** 2) AS v FROM ph GROUP BY ALL HAVING count(*) >= 15)",
+        "md AS (SELECT winding, count(*) AS tiles, median(v) AS m FROM tl JOIN sh USING (winding) WHERE (tr + 1) * 5 <= rows AND (tc + 1) * 5 <= cols GROUP BY winding)",
+    )
+    + "SELECT winding, round(phase_R, 6) AS phase_R, coalesce(tiles, 0) AS tiles, round(m, 6) AS phase_R_tile_median FROM al LEFT JOIN md USING (winding)",
     "band_rows": with_(MESH, "e AS (SELECT winding, min(r) - 1 AS lo, max(r) + 1 AS hi FROM mesh WHERE valid AND z BETWEEN 1012 AND 1100 GROUP BY winding)")
     + "SELECT m.winding, min(r) AS first_row, max(r) AS last_row, count(*) AS vertices, count(*) FILTER (valid) AS valid FROM mesh m JOIN e ON m.winding = e.winding WHERE r BETWEEN lo AND hi GROUP BY m.winding",
     "valid_tiles": with_(MESH, "t AS (SELECT winding, (r // 8)::INT AS tr, (c // 8)::INT AS tc, avg(valid::INT) AS v, avg(CASE WHEN valid THEN (z < 993)::INT END) AS d FROM mesh GROUP BY ALL)")

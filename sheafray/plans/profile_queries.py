@@ -172,7 +172,7 @@ def layer_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values stretched between their 1st and 99th percentile to 0..255."""
     p = profiles(spark, sf_dir)
-    cut = p.groupBy("winding").agg(F.percentile("raw", F.lit(0.01)).alias("lo"), F.percentile("raw", F.lit(0.99)).alias("hi"))
+    cut = st.exact_percentiles(p, "raw", {"lo": 0.01, "hi": 0.99}, "winding").drop("n")
     v = clip((F.col("raw") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-6)), 0, 1)
     return _rounded(p.join(cut, "winding").groupBy("winding").agg(F.avg(v * 255).alias("mean_byte"), share(v >= 1).alias("white"), share(v <= 0).alias("black")))
 

@@ -187,12 +187,28 @@ def roll_up_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(st.exact_percentiles(o, "ratio", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, "o_orderstatus"), 5)
 
 
+def coords_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oblique planes of 8 x 8 points, one a supplier, sampled both ways within
+    all but the last slices of the volume."""
+    voxels_ = voxels(spark, sf_dir)
+    last = voxels_.agg(F.max("z").alias("z")).first()["z"] or 0
+    k, i, j = F.col("s_suppkey"), F.col("i"), F.col("j")
+    grid = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("n")).withColumn("i", F.floor(F.col("n") / 8)).withColumn("j", F.col("n") % 8)
+    points = grid.select("s_suppkey", (k * 64 + F.col("n")).alias("key"), (k * 13 % (last + 20) - 10 + i * 0.7531).alias("z"), (j * 0.9137 - 0.4).alias("y"), (k % 5 * 1.1313 + i * 0.2571).alias("x"), ((k + j) % 7 != 0).alias("ok"))
+    out = None
+    for sampling in ("nearest", "trilinear"):
+        one = vo.sample_coords(points, voxels_, "key", (last + 1, 8, 8), sampling, (0, last - 2))
+        one = one.groupBy("s_suppkey").agg(F.count_if("inside").alias("inside"), F.sum("value").alias(sampling))
+        out = one if out is None else out.join(one.drop("inside"), "s_suppkey")
+    return out
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         chunk_keys, chunk_missing, trilinear_gather, box_read, otsu_threshold, void_fraction, density_rewrite, zero_tiles, percentile_panel, histogram_fixed,
         label_dim_join, jobs_cross_fallback, shard_digests, json_props, log_extract, last_line, majority_class, round_robin, first_fit, binomial_error,
-        paired_runs, variant_view, roll_up_result,
+        paired_runs, variant_view, roll_up_result, coords_sample,
     )
 }
 
@@ -202,6 +218,16 @@ _P = "quantile_cont({c}, {q})"
 ORACLE_SQL = {
     "chunk_keys": with_(PT, _PLACES, _CORNERS, _CHUNKS) + "SELECT * FROM ch",
     "chunk_missing": with_(PT, VOX, _PLACES, _CORNERS, _CHUNKS) + "SELECT * FROM ch EXCEPT SELECT DISTINCT z // 16, y // 4, x // 4 FROM vox WHERE z // 16 % 5 <> 2",
+    "coords_sample": with_(
+        VOX,
+        "l AS (SELECT max(z) AS last FROM vox)",
+        "p AS (SELECT s_suppkey, s_suppkey * 13 % (last + 20) - 10 + i * 0.7531::DOUBLE AS z, j * 0.9137::DOUBLE - 0.4 AS y, s_suppkey % 5 * 1.1313::DOUBLE + i * 0.2571::DOUBLE AS x, (s_suppkey + j) % 7 <> 0 AS ok, last FROM (SELECT s_suppkey, n // 8 AS i, n % 8 AS j FROM (SELECT s_suppkey, unnest(range(64)) AS n FROM supplier)), l)",
+        "q AS (SELECT *, row_number() OVER () AS k, ok AND z BETWEEN 0 AND least(last, last - 3) AND y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7 AS inside FROM p)",
+        "n AS (SELECT k, v FROM q JOIN vox w ON w.z = round_even(q.z, 0)::INT AND w.y = round_even(q.y, 0)::INT AND w.x = round_even(q.x, 0)::INT WHERE inside)",
+        "c AS (SELECT k, floor(z)::INT + a AS iz, floor(y)::INT + b AS iy, floor(x)::INT + c AS ix, (CASE WHEN a = 1 THEN z - floor(z) ELSE 1 - (z - floor(z)) END) * (CASE WHEN b = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN c = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM q, (VALUES (0), (1)) AS d(a), (VALUES (0), (1)) AS e(b), (VALUES (0), (1)) AS f(c) WHERE inside)",
+        "t AS (SELECT k, floor(sum(w * v) + 0.5) AS v FROM c JOIN vox ON vox.z = iz AND vox.y = iy AND vox.x = ix GROUP BY k)",
+    )
+    + "SELECT s_suppkey, count(*) FILTER (inside) AS inside, sum(coalesce(n.v, 0))::BIGINT AS nearest, sum(coalesce(t.v, 0))::BIGINT AS trilinear FROM q LEFT JOIN n USING (k) LEFT JOIN t USING (k) GROUP BY s_suppkey",
     "trilinear_gather": with_(PT, VOX, _PLACES, _CORNERS) + "SELECT key, round(sum(w * coalesce(v, 0)), 6) AS value FROM co LEFT JOIN vox ON z = iz AND y = iy AND x = ix GROUP BY key",
     "box_read": with_(VOX) + "SELECT z, count(*) AS n, sum(v)::BIGINT AS sum_v, max(v) AS max_v FROM vox WHERE z >= 10 AND z < 60 AND y >= 2 AND y < 6 AND x >= 1 AND x < 7 GROUP BY z",
     "otsu_threshold": with_(VOX, "h AS (SELECT b, count(v)::DOUBLE AS h FROM (SELECT unnest(range(256)) AS b) LEFT JOIN vox ON v = b AND v > 0 GROUP BY b)", "s AS (SELECT b, sum(h) OVER o AS w0, sum(h * (b + 0.5)) OVER o AS s0, sum(h) OVER () - sum(h) OVER o AS w1, sum(h * (b + 0.5)) OVER () - sum(h * (b + 0.5)) OVER o AS s1 FROM h WINDOW o AS (ORDER BY b))") + "SELECT (b + 0.5)::DOUBLE AS threshold FROM s WHERE b < 255 ORDER BY round(w0 * w1 * (s0 / greatest(w0, 1e-9) - s1 / greatest(w1, 1e-9)) ** 2, 3) DESC, b LIMIT 1",
