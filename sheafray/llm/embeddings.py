@@ -9,7 +9,9 @@ are used, of a size at which vectors with cosine ``threshold`` pass some filter
 together almost surely; pairs are found by a join on (label, filter) and
 verified by their cosine in double precision. The number of vectors of the
 largest label sets the codes' size, by the scores' own distribution at the
-vectors' dimension (tails on the sphere are lighter than normal ones); recall
+vectors' dimension (tails on the sphere are lighter than normal ones), or, in
+few dimensions with very many rows, where caps that hold few vectors no longer
+hold a pair, all vectors of a label are compared block by block; recall
 is tested against brute force, and of pairs at the threshold for labels of up
 to 1e8 vectors. Vectors are turned at random before each code, so that no
 vector's halves are uneven in all of them.
@@ -93,9 +95,12 @@ def code_size(dim: int, rows: int, threshold: float = THRESHOLD, crowd: int = CR
     cut = float(score[order[min(int(np.searchsorted(reached, part)), len(order) - 1)]])
     a, b, weight = np.concatenate(joint, axis=1)
     both = float((weight * (np.minimum(a, b) >= cut)).mean())
-    # Numbers of filters are 32-bit.
-    most = int(sqrt((2**31 - 1) / CODES))
-    return cut, max(4, min(most, ceil(sqrt(shared / max(both, 1e-300)))))
+    words = max(4, ceil(sqrt(shared / max(both, 1e-300))))
+    # Where no direction is near enough to both vectors of a pair, or filters
+    # would outnumber 32 bits, no code finds all pairs, and all are compared.
+    if cut >= sqrt((1 + threshold) / 2) or CODES * words * words >= 2**31:
+        return float("-inf"), 1
+    return cut, words
 
 
 class ProductCode:

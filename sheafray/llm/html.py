@@ -12,9 +12,11 @@ that stands in the container, the lowest element around the slots that hold
 the most text over the host's pages and around first headings. A page whose
 container holds less than half of its text, or that has none, is extracted
 whole. Paths have no digits of ids and class names, as pages number them.
-Menus, page headers, footers, sidebars, adverts and forms are told by their
-tags and roles. Words of class names and ids only make an element doubtful: it
-is left out if it holds at most a quarter of its page's text, or at most half
+Menus, page headers, footers, sidebars and adverts are told by their tags and
+roles. Forms, and words of class names and ids, only make an element doubtful;
+headings never are. Beside an article or main element, forms and elements whose
+class name begins with a word for comments are left out whatever they hold. Any
+other doubtful element is left out if it holds at most a quarter of its page's text, or at most half
 and its path is on half of the host's pages, or the host has no template. An
 element with most of the text, or with an article, and body, main and article
 themselves are never left out for a word; elements within are judged anew.
@@ -61,7 +63,7 @@ _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video select".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object canvas audio video select".split())
 #: Tags that end a block.
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
@@ -70,7 +72,12 @@ CLOSES_P = BLOCK - {"br", "body", "html", "head", "caption", "legend", "summary"
 #: Tags that may be the container of an article.
 HOLDERS = frozenset("body center div section td".split())
 #: Tags and roles whose content is not the article.
-ASIDE = frozenset("nav footer aside form button dialog menu head fieldset".split())
+ASIDE = frozenset("nav footer aside button dialog menu head".split())
+#: Tags, and first words of class names and ids, of what is left out whatever it
+#: holds beside an article; a form without one may be the whole page's wrapper.
+BESIDE = frozenset("form fieldset".split())
+BESIDE_WORDS = frozenset("comment comments disqus replies".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class names and ids that mark what is not the article.
 ASIDE_WORDS = frozenset(
@@ -99,13 +106,23 @@ def _aside(name: str, attributes: str, in_article: bool) -> bool:
 
 @lru_cache(maxsize=50_000)
 def _doubtful(name: str, attributes: str) -> bool:
-    """Whether a class name or id has a word of asides."""
-    if name in ("html", "body", "main", "article"):
+    """Whether it is a form, or a class name or id has a word of asides; a
+    heading is what it heads."""
+    if name in ("html", "body", "main", "article") or name in HEADINGS:
         return False
+    if name in BESIDE:
+        return True
     values = [v for k, v in _ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id")]
     return any(w.lower() in ASIDE_WORDS for v in values for w in _WORD.findall(v))
 
 
+@lru_cache(maxsize=50_000)
+def _beside(name: str, attributes: str) -> bool:
+    """Whether an element is left out beside an article even if it is longer."""
+    firsts = [_WORD.findall(token)[:1] for k, v in _ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id") for token in v.strip("\"'").split()]
+    return name in BESIDE or any(w and w[0].lower() in BESIDE_WORDS for w in firsts)
+
+
 @lru_cache(maxsize=50_000)
 def _label(name: str, attributes: str) -> str:
     """An element in a path: its tag, class and id, without digits."""
@@ -134,8 +151,9 @@ def parse(html: str) -> tuple[list[int], list[Block], set[int]]:
     paths of its doubtful elements."""
     tags: list[int] = []
     kept: list[tuple[Block, tuple[int, ...]]] = []
-    # Elements with a word of asides: path, chars, whether with an article.
+    # Doubtful elements: path, chars, whether with an article, whether beside one.
     worded: list[list] = []
+    marked = False
     # Open elements: name, hash of the path, aside, within the article, holders around it, worded ones around its content.
     stack: list[tuple[str, int, bool, bool, tuple[int, ...], tuple[int, ...]]] = [("", 0, False, False, (), ())]
     buffer: list[str] = []
@@ -204,17 +222,19 @@ def parse(html: str) -> tuple[list[int], list[Block], set[int]]:
         names[name] = names.get(name, 0) + 1
         above = top[4] + (top[1],) if top[0] in HOLDERS else top[4]
         marks = top[5]
+        marked = marked or content
         if content and not top[3]:
             for k in marks:
                 worded[k][2] = True
         elif _doubtful(name, attributes):
             marks = (*marks, len(worded))
-            worded.append([path, 0, False])
+            worded.append([path, 0, False, _beside(name, attributes)])
         stack.append((name, path, aside, top[3] or content, above, marks))
     flush()
     total = sum(len(b.text) for b, _ in kept)
-    doubtful = {k for k, (_, chars, whole) in enumerate(worded) if not whole and 2 * chars <= total}
-    short = {k for k in doubtful if 4 * worded[k][1] <= total}
+    beside = {k for k, (_, chars, whole, beside) in enumerate(worded) if beside and marked and not whole and chars < total}
+    doubtful = beside | {k for k, (_, chars, whole, _) in enumerate(worded) if not whole and 2 * chars <= total}
+    short = beside | {k for k in doubtful if 4 * worded[k][1] <= total}
     blocks = [b._replace(doubts=tuple(worded[k][0] for k in marks if k in doubtful)) if marks else b for b, marks in kept if short.isdisjoint(marks)]
     return tags, blocks, {worded[k][0] for k in doubtful}
 
