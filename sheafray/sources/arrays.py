@@ -12,6 +12,7 @@ import io
 import json
 import re
 import struct
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -128,8 +129,73 @@ def save_files(files: DataFrame, root: str) -> int:
     return files.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def _lzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, the first bit first, that widen one
+    code early; 256 clears the table and 257 ends."""
+    out, table, width, last = bytearray(), [], 9, b""
+    held = bits = 0
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        code = held >> bits - width
+        bits -= width
+        held &= (1 << bits) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, b""
+            continue
+        if code < len(table):
+            word = table[code]
+        elif last and code == len(table):
+            word = last + last[:1]
+        else:
+            raise ValueError("a TIFF strip with a code that is not in its table")
+        if last:
+            table.append(last + word[:1])
+        out += word
+        last = word
+        width = max(9, min(12, (len(table) + 1).bit_length()))
+    return bytes(out)
+
+
+def _packbits(data: bytes) -> bytes:
+    """Runs of bytes, each after its length."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            if n > 128:
+                out += data[at + 1 : at + 2] * (257 - n)
+            at += 2
+    return bytes(out)
+
+
+#: By TIFF's compression tag.
+_TIFF_CODECS = {1: bytes, 5: _lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _packbits}
+
+
+def _unpredicted(raw: bytes, width: int, dtype: np.dtype, predictor: int) -> np.ndarray:
+    """Rows of values from rows of differences: of values (2), or of the bytes
+    of floats laid out by significance (3)."""
+    if predictor == 1:
+        return np.frombuffer(raw, dtype).reshape(-1, width)
+    if predictor == 2 and dtype.kind in "ui":
+        return np.cumsum(np.frombuffer(raw, dtype).reshape(-1, width), axis=1, dtype=dtype.newbyteorder("="))
+    if predictor == 3 and dtype.kind == "f":
+        planes = np.cumsum(np.frombuffer(raw, np.uint8).reshape(-1, width * dtype.itemsize), axis=1, dtype=np.uint8)
+        values = np.ascontiguousarray(planes.reshape(-1, dtype.itemsize, width).transpose(0, 2, 1))
+        return values.view(dtype.newbyteorder(">"))[..., 0]
+    raise ValueError(f"a TIFF with the predictor {predictor} for {dtype}")
+
+
 def decode_tiff(data: bytes) -> np.ndarray:
-    """The image of an uncompressed single-band TIFF, in strips or tiles."""
+    """The image of a single-band TIFF, in strips or tiles: plain, or packed by
+    deflate, LZW or PackBits, with or without a predictor."""
     end = {b"II": "<", b"MM": ">"}[data[:2]]
     (at,) = struct.unpack(end + "I", data[4:8])
     (n,) = struct.unpack(end + "H", data[at : at + 2])
@@ -141,20 +207,22 @@ def decode_tiff(data: bytes) -> np.ndarray:
             size = struct.calcsize(form)
             where = struct.unpack(end + "I", value)[0] if size > 4 else None
             tags[tag] = struct.unpack(form, data[where : where + size] if where is not None else value[:size])
-    if tags.get(259, (1,))[0] != 1:
-        raise ValueError("compressed TIFF")
+    packing, predictor = tags.get(259, (1,))[0], tags.get(317, (1,))[0]
+    if packing not in _TIFF_CODECS:
+        raise ValueError(f"a TIFF with the compression {packing}")
+    unpack = _TIFF_CODECS[packing]
     width, height, bits = tags[256][0], tags[257][0], tags.get(258, (1,))[0]
     dtype = np.dtype(f"{end}{ {1: 'u', 2: 'i', 3: 'f'}[tags.get(339, (1,))[0]] }{bits // 8}")
     if 322 in tags:
         tw, th = tags[322][0], tags[323][0]
         out, across = np.zeros((height, width), dtype), -(-width // tw)
         for k, (o, c) in enumerate(zip(tags[324], tags[325], strict=True)):
-            tile = np.frombuffer(data[o : o + c], dtype).reshape(th, tw)
+            tile = _unpredicted(unpack(data[o : o + c]), tw, dtype, predictor)
             r, q = k // across * th, k % across * tw
             out[r : r + th, q : q + tw] = tile[: height - r, : width - q]
         return out
-    raw = b"".join(data[o : o + c] for o, c in zip(tags[273], tags[279], strict=True))
-    return np.frombuffer(raw, dtype).reshape(height, width)
+    strips = [_unpredicted(unpack(data[o : o + c]), width, dtype, predictor) for o, c in zip(tags[273], tags[279], strict=True)]
+    return np.concatenate(strips).astype(dtype, copy=False)[:height]
 
 
 def encode_tiff(image: np.ndarray) -> bytes:
