@@ -164,24 +164,26 @@ class Chunks:
         for k, raw in enumerate(data):
             self.values[k] = np.frombuffer(raw, dtype) if isinstance(raw, bytes | bytearray) else np.asarray(raw, float)
 
-    def at(self, places: np.ndarray) -> np.ndarray:
-        key = places // self.chunk - self.first
-        inside = ((key >= 0) & (key < self.row.shape)).all(axis=1)
-        row = np.full(len(places), len(self.values) - 1)
-        row[inside] = self.row[tuple(key[inside].T)]
-        z, y, x = (places % self.chunk).T
-        return self.values[row, (z * self.chunk[1] + y) * self.chunk[2] + x]
-
     def sample(self, points: np.ndarray) -> np.ndarray:
         """Trilinear; lower corners are held within the volume, fractions are
         the points' own."""
-        low = np.floor(points)
-        f = points - low
-        low = np.clip(low, 0, np.array(self.shape) - 2).astype(np.int64)
-        out = np.zeros(len(points))
-        for corner in np.ndindex(2, 2, 2):
-            w = np.prod([f[:, k] if d else 1 - f[:, k] for k, d in enumerate(corner)], axis=0)
-            out += w * self.at(low + corner)
+        sides = []
+        for k, n in enumerate(self.shape):
+            low = np.floor(points[:, k])
+            f = points[:, k] - low
+            low = np.clip(low, 0, n - 2).astype(np.int64)
+            ends = []
+            for at, w in ((low, 1 - f), (low + 1, f)):
+                key = at // self.chunk[k] - self.first[k]
+                there = (key >= 0) & (key < self.row.shape[k])
+                ends.append((np.where(there, key, 0), there, at % self.chunk[k], w))
+            sides.append(ends)
+        out, missing = np.zeros(len(points)), len(self.values) - 1
+        for kz, tz, z, wz in sides[0]:
+            for ky, ty, y, wy in sides[1]:
+                w, there, base = wz * wy, tz & ty, (z * self.chunk[1] + y) * self.chunk[2]
+                for kx, tx, x, wx in sides[2]:
+                    out += w * wx * self.values[np.where(there & tx, self.row[kz, ky, kx], missing), base + x]
         return out
 
 
