@@ -107,6 +107,28 @@ def contrast(knots: DataFrame, hits: DataFrame, least_samples: int = 20) -> Data
     return wide.join(spread.select("ray_id", "spread"), "ray_id").select("ray_id", "t", *carried, ((F.col("at") - (F.col("left_v") + F.col("right_v")) / 2) / F.col("spread")).alias("c"))
 
 
+def anchor_contrast(profiles: DataFrame, crossings, centre: float, reach: float, near: float = 1.0) -> DataFrame:
+    """Whether crossings sit on bright sheets by what their reading is anchored
+    to: the profile's ``centre``, or the brightest or darkest sample at most
+    ``reach`` from it (ties: the first). One row an anchor: n, frac_c_pos, se.
+
+    ``profiles`` has ray_id, t and v; ``crossings`` maps a DataFrame with
+    ray_id and anchor_t to the rows (ray_id, anchor_t, t) of the crossings read
+    from there. A crossing within ``near`` of its anchor takes part as a
+    neighbour but is left out of the sums, as it is where it is by choice.
+    """
+    window = profiles.where(F.col("v").isNotNull() & F.col("t").between(centre - reach, centre + reach))
+    found = window.groupBy("ray_id").agg(F.max_by("t", F.struct(F.col("v"), -F.col("t"))).alias("bright"), F.min_by("t", F.struct("v", "t")).alias("dark"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(name).alias("anchor"), at.alias("anchor_t")) for k, (name, at) in enumerate((("centre", F.lit(float(centre))), ("bright", F.col("bright")), ("dark", F.col("dark"))))])
+    anchors = found.select(F.col("ray_id").alias("ray"), F.explode(kinds).alias("a")).select("ray", "a.*").withColumn("ray_id", F.struct("ray", "k"))
+    hits = crossings(anchors.select("ray_id", "anchor_t"))
+    knots = profiles.withColumnRenamed("ray_id", "ray").join(anchors.select("ray", "ray_id"), "ray").select("ray_id", "t", "v")
+    c = contrast(knots, hits.select("ray_id", "t", "anchor_t")).where(F.abs(F.col("t") - F.col("anchor_t")) > near)
+    name = F.element_at(F.array(*[F.lit(n) for n in ("centre", "bright", "dark")]), F.col("ray_id.k") + 1)
+    p = share(F.col("c") > 0)
+    return c.groupBy(name.alias("anchor")).agg(F.count(F.lit(1)).alias("n"), p.alias("frac_c_pos")).withColumn("se", F.sqrt(F.col("frac_c_pos") * (1 - F.col("frac_c_pos")) / F.greatest("n", F.lit(1))))
+
+
 def gap_statistics(gapped: DataFrame, *by: str, small: float = 3.0) -> DataFrame:
     """n, median and shares of short and long gaps; the median is the group's.
     Two passes: the median joins back to the gaps on the group's columns. Of

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import clip, gaussian_kernel, parabola, share
 from ..operators import sequence as seq
 from ..operators import statistics as st
-from .ray_queries import _rounded
+from .ray_queries import _rounded, contrast_ctes
 from .views import PROF, profiles, table, with_
 
 SIGMA = 2.0
@@ -193,11 +193,20 @@ def auc_by_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(st.auc_by_shift(stacks, marks, "doc_id", 28, list(range(-8, 9, 2)), 18, total))
 
 
+def anchor_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contrast of crossings six apart, read from a profile's centre, its
+    brightest or its darkest sample within 8."""
+    p = profiles(spark, sf_dir).select(F.col("prof_id").alias("ray_id"), "t", F.col("raw").alias("v"))
+    steps = F.explode(F.sequence(F.lit(-5), F.lit(5)))
+    read = lambda a: a.withColumn("s", steps).select("ray_id", "anchor_t", (F.col("anchor_t") + 6.0 * F.col("s")).alias("t")).where("t between 0 and 31.5")
+    return _rounded(st.anchor_contrast(p, read, 15.5, 8.0))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         profile_smooth, profile_peaks_local, profile_peaks_prominence, profile_detrend, profile_phasor, peak_period, autocorr_period, vertex_crest_offset,
-        period_fit, plane_circular_R, layer_corr, best_layer, layer_contrast, stretch, auc_by_group, auc_by_shift,
+        period_fit, plane_circular_R, layer_corr, best_layer, layer_contrast, stretch, auc_by_group, auc_by_shift, anchor_contrast,
     )
 }
 
@@ -225,6 +234,15 @@ ORACLE_SQL = {
     "best_layer": with_(PROF, "c AS (SELECT p.winding, p.i - 21 AS shift, round(corr(p.raw, b.raw), 9) AS corr FROM prof p JOIN prof b ON p.prof_id = b.prof_id AND b.i = 20 WHERE p.i BETWEEN 21 AND 29 GROUP BY ALL)") + "SELECT winding, shift, round(corr, 6) AS corr FROM (SELECT *, row_number() OVER (PARTITION BY winding ORDER BY corr DESC, shift) AS rn FROM c) WHERE rn = 1",
     "layer_contrast": with_(PROF, "m AS (SELECT winding, i, avg(raw) AS m FROM prof GROUP BY ALL)") + "SELECT winding, round((max(m) - min(m)) / (max(m) + min(m) + 1e-6), 6) AS contrast FROM m GROUP BY winding",
     "stretch": with_(PROF, "s AS (SELECT winding, least(greatest((raw - quantile_cont(raw, 0.01) OVER w) / greatest(quantile_cont(raw, 0.99) OVER w - quantile_cont(raw, 0.01) OVER w, 1e-6), 0), 1) AS v FROM prof WINDOW w AS (PARTITION BY winding))") + "SELECT winding, round(avg(v * 255), 6) AS mean_byte, round(avg((v >= 1)::INT), 6) AS white, round(avg((v <= 0)::INT), 6) AS black FROM s GROUP BY winding",
+    "anchor_contrast": with_(
+        PROF,
+        "an AS (SELECT prof_id, unnest([0, 1, 2]) AS k, unnest([15.5::DOUBLE, arg_max(t, [raw, -t]), arg_min(t, [raw, t])]) AS a FROM prof WHERE t BETWEEN 7.5 AND 23.5 GROUP BY prof_id)",
+        "pt AS (SELECT prof_id * 3 + k AS ray_id, t, raw FROM prof JOIN an USING (prof_id))",
+        "hits AS (SELECT prof_id * 3 + k AS ray_id, a + 6.0 * s AS t, a, k FROM an, (SELECT unnest(range(-5, 6)) AS s) WHERE a + 6.0 * s BETWEEN 0 AND 31.5)",
+        *contrast_ctes(),
+        "su AS (SELECT k, count(*) AS n, avg((c > 0)::INT) AS p FROM c WHERE abs(t - a) > 1 GROUP BY k)",
+    )
+    + "SELECT (['centre', 'bright', 'dark'])[k + 1] AS anchor, n, round(p, 6) AS frac_c_pos, round(sqrt(p * (1 - p) / greatest(n, 1)), 6) AS se FROM su",
     "auc_by_shift": "WITH l AS (SELECT d AS shift, quality = 1 AS label, list_sum(list_transform(embedding[19 + d : 46 + d], lambda v: floor(128 + 200 * v::DOUBLE)::BIGINT))::BIGINT AS score FROM embeddings JOIN labels ON vec_id = doc_id, (SELECT unnest(range(-8, 9, 2)) AS d) WHERE quality IS NOT NULL), r AS (SELECT *, rank() OVER (PARTITION BY shift ORDER BY score) + (count(*) OVER (PARTITION BY shift, score) - 1) / 2.0::DOUBLE AS rank FROM l), s AS (SELECT shift, count(*) FILTER (label) AS positives, count(*) FILTER (NOT label) AS negatives, sum(rank) FILTER (label) AS ranks, avg(score) AS mean_score FROM r GROUP BY shift) SELECT shift::INT AS shift, round((ranks - positives * (positives + 1) / 2) / nullif((positives * negatives)::DOUBLE, 0), 6) AS auc, positives, negatives, round(mean_score, 6) AS mean_score FROM s",
     "auc_by_group": "WITH l AS (SELECT lang, n_chars AS score, toxic = 1 AS label FROM documents JOIN labels USING (doc_id)), r AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0::DOUBLE AS rank FROM l), s AS (SELECT lang, count(*) FILTER (label) AS positives, count(*) FILTER (NOT label) AS negatives, sum(rank) FILTER (label) AS rs FROM r GROUP BY lang) SELECT lang, positives, negatives, round((rs - positives * (positives + 1) / 2.0::DOUBLE) / nullif(positives * negatives, 0), 6) AS auc FROM s",
 }
