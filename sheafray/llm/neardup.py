@@ -14,10 +14,10 @@ registers are expected to be full; a document with an empty one draws on.
 Bands of registers make buckets. Exact copies are one node. Each bucket links
 its members to its least one, each link is verified by exact multiset overlap
 of the two whole texts, and components are built. Members of a bucket that are
-then still apart are compared with each other by exact overlap too, a block of
-members at a time as one matrix product, so no link between different texts
-that share a bucket is lost, and no group, however large, is expanded into rows
-of pairs.
+then still apart are compared by exact overlap too, a block of members of
+different components at a time as one matrix product, so no link between
+different texts that share a bucket is lost, and no group, however large, is
+expanded into rows of pairs.
 
 Defined cases: null, empty and blank texts link with nothing; a text of one to
 four words has one shingle, all of it; repeated rows are copies; rows that
@@ -262,24 +262,39 @@ def _across(threshold: float):
     return run
 
 
+def _lots(apart: DataFrame) -> DataFrame:
+    """(bucket, node, component, block, one, two): the blocks of members that
+    are to be compared, each as two lots, and who is in them.
+
+    A component of over ``BLOCK`` members of a bucket has lots of its own, and
+    all others share lots. Lots of one component never meet, so a bucket that
+    is one component but for a few members sends each text about once. Lots go
+    by a hash; two with the same one are compared as one, which loses nothing.
+    """
+    large = F.col("n") > BLOCK
+    count = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = apart.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    held = sizes.groupBy("bucket").agg(count(F.sum(F.when(large, 0).otherwise(F.col("n")))).alias("mixed"), F.collect_list(F.when(large, F.struct("component", count(F.col("n")).alias("lots")))).alias("large"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda k: k < n)
+    none = F.lit(None).cast("long")
+    own = F.get(F.filter("large", lambda x: x["component"] == F.col("component")), F.lit(0))
+    place = F.when(own.isNull(), F.xxhash64(none, F.pmod(F.xxhash64("node"), F.col("mixed")).cast("int"))).otherwise(F.xxhash64("component", F.pmod(F.xxhash64("node"), own["lots"]).cast("int")))
+    mixed = F.transform(upto(F.col("mixed")), lambda k: F.xxhash64(none, k))
+    others = F.flatten(F.transform(F.filter("large", lambda x: x["component"] != F.col("component")), lambda x: F.transform(upto(x["lots"]), lambda k: F.xxhash64(x["component"], k))))
+    met = apart.join(held, "bucket").withColumn("block", place).withColumn("other", F.explode(F.concat(mixed, others)))
+    return met.select("bucket", "node", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+
+
 def _links_across(shared: DataFrame, stars: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Verified links between members of a bucket that are in different
     components so far.
 
-    A bucket's members are compared by a matrix product, in blocks of at most
+    A bucket's members are compared by a matrix product, in lots of about
     ``BLOCK`` members, and no pair becomes a row.
     """
     label = shared.join(stars, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    sizes = label.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    apart = materialize(sizes.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-apart")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    members = materialize(
-        label.join(apart, "bucket")
-        .withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", "node", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")),
-        "near-members",
-    )
+    several = label.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    members = materialize(_lots(materialize(label.join(several, "bucket"), "near-apart")), "near-members")
     slots = max(1, members.count() // SLOT)
     slot = F.pmod(F.xxhash64("bucket", "one", "two"), F.lit(slots))
     return materialize(members.join(texts.withColumnRenamed("id", "node"), "node").withColumn("slot", slot).groupBy("slot").applyInArrow(_across(threshold), "a long, b long"), "near-across")

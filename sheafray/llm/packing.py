@@ -13,7 +13,9 @@ their proportions.
 Tokens stand in that order without gaps; a window is each next ``window`` of
 them. A slice is as many rounds as hold about ``slice_tokens`` while all queues
 last; sums of tokens by slice give each slice's first place, and every slice
-cuts its packets at window ends on its own.
+cuts its packets at window ends on its own. Where given targets let queues run
+out, the rounds that are left hold fewer tokens, and neighbouring slices are
+cut together, up to twice ``slice_tokens``.
 
 Targets are by default what the input holds, so that all queues last to the
 end. All documents are packed whatever the targets; to drop or repeat some
@@ -102,8 +104,8 @@ def _packets(packet: int, width: int):
 
 
 def _cut(window: int, width: int):
-    """One slice's packets, in order, cut at window ends; neighbouring packets
-    of a document in the same window are one piece."""
+    """The packets of a slice, or of some on end, in order, cut at window ends;
+    neighbouring packets of a document in the same window are one piece."""
 
     def run(table):
         import numpy as np
@@ -145,6 +147,12 @@ def _running(counts: DataFrame, key: str, value: str, name: str, block: int = 40
     return blocked.withColumn("_own", own).join(blocks, "_block").select(key, (F.col("_own") + F.col("_base")).alias(name))
 
 
+def _together(starts: DataFrame, slice_tokens: int) -> DataFrame:
+    """``starts`` (slice, slice_start) with ``lot``: slices that begin within
+    the same ``slice_tokens`` tokens."""
+    return starts.withColumn("lot", F.floor(F.col("slice_start") / slice_tokens).cast("long"))
+
+
 def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 2, window: int = WINDOW, packet: int = PACKET, slice_tokens: int = SLICE_TOKENS, targets: dict[str | None, float] | None = None) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset. ``targets`` has the sources' proportions of tokens,
@@ -173,7 +181,10 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 2, wind
     by_slice = light.select((sent / F.col("rounds")).cast("long").alias("slice"), size.alias("k")).groupBy("slice").agg(F.sum("k").alias("k"))
     starts = _running(by_slice, "slice", "k", "slice_start")
     packets = placed.mapInArrow(_packets(packet, width), _PACKETS)
-    return packets.join(starts, "slice").groupBy("slice").applyInArrow(_cut(window, width), _PIECES)
+    if targets is None:
+        # All queues last to the end, and all slices are full.
+        return packets.join(starts, "slice").groupBy("slice").applyInArrow(_cut(window, width), _PIECES)
+    return packets.join(_together(starts, slice_tokens), "slice").groupBy("lot").applyInArrow(_cut(window, width), _PIECES)
 
 
 def pack_query(spark: SparkSession, sf_dir: str) -> DataFrame:

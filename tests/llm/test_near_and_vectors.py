@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sheafray.llm import embeddings, neardup
 from sheafray.llm.rolling import mix64
@@ -56,6 +57,31 @@ def test_classes(spark, monkeypatch, block):
     assert got == brute_classes(rows)
 
 
+def test_one_outsider_in_a_large_bucket(spark):
+    """A bucket of one component but for one member sends each member about
+    once, and all pairs of different components meet."""
+    n, lots = 100_000, -(-100_000 // neardup.BLOCK)
+    rows = spark.range(n).select(F.lit(5).cast("long").alias("bucket"), F.col("id").alias("node"), F.when(F.col("id") == 77, 77).otherwise(0).cast("long").alias("component"))
+    met = neardup._lots(rows).persist()
+    assert n <= met.count() <= n + 2 * lots
+    sides = met.groupBy("one", "two").agg(F.countDistinct("component").alias("components"), F.sum((F.col("node") == 77).cast("int")).alias("outsiders"))
+    assert sides.where("components = 2").count() == lots and sides.where("outsiders > 1").count() == 0
+    met.unpersist()
+
+
+@pytest.mark.parametrize("sizes", [[30, 1], [20, 20, 3, 1], [1] * 40, [8, 9, 7, 16]])
+def test_lots_meet_all_components(spark, monkeypatch, sizes):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    component = [k for k, n in enumerate(sizes) for _ in range(n)]
+    rows = spark.createDataFrame([(1, i, -c) for i, c in enumerate(component)], "bucket long, node long, component long")
+    pairs, seen = neardup._lots(rows).collect(), set()
+    for one, two in {(r.one, r.two) for r in pairs}:
+        left, right = ({r.node for r in pairs if (r.one, r.two, r.block) == (one, two, side)} for side in (one, two))
+        assert len(left) <= 24 and len(right) <= 24
+        seen |= {(min(a, b), max(a, b)) for a in left for b in right}
+    assert seen >= {(a, b) for b in range(len(component)) for a in range(b) if component[a] != component[b]}
+
+
 def test_null_ids_repeats_and_stage(spark):
     text = " ".join(f"w{k}" for k in range(50))
     docs = spark.createDataFrame([(None, text, 1), (7, text, 2), (7, text, 2), (3, text + " tail", 3), (9, "alone", 4)], "doc_id long, text string, other int")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as hs
+from pyspark.sql import functions as F
 
 from sheafray.llm import html, packing, tokenfile
 from sheafray.llm.tokens import encoder, vocabulary
@@ -71,6 +72,22 @@ def test_packing(spark):
     assert packing.pack(_docs(spark).limit(0), vocabulary("word_bpe_49k.json")).collect() == []
 
 
+def test_slices_of_few_tokens_are_cut_together(spark):
+    """Once a queue has run out, slices by rounds hold little: 800 packets at
+    targets of 1 to 1000 make tens of thousands of them."""
+    starts = spark.range(39_000).select(F.col("id").alias("slice"), F.when(F.col("id") < 25, F.col("id") * 4096).otherwise(F.lit(25 * 4096) + (F.col("id") - 25) * 5).alias("slice_start"))
+    lots = packing._together(starts, 4096).groupBy("lot").agg(F.min("slice").alias("a"), F.max("slice").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(lots) <= 25 + 39_000 * 5 // 4096 + 2 and all(r.b - r.a + 1 == r.n for r in lots)
+    docs = spark.createDataFrame([(k, "few words of a document " * 40, "ab"[k % 2]) for k in range(300)], "doc_id long, text string, source string")
+    pieces = packing.pack(docs, vocabulary("word_bpe_49k.json"), slice_tokens=4096, targets={"a": 1.0, "b": 1000.0}).collect()
+    ends = {}
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert ends.get(p.sequence_id, 0) == p.offset
+        ends[p.sequence_id] = p.offset + p.length
+    assert sorted(ends) == list(range(len(ends))) and all(ends[k] == packing.WINDOW for k in range(len(ends) - 1))
+    assert {p.doc_id: sum(q.length for q in pieces if q.doc_id == p.doc_id) for p in pieces} == {p.doc_id: p.doc_tokens for p in pieces} and len({p.doc_id for p in pieces}) == 300
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_packing_to_targets(spark, monkeypatch, wide):
     """Windows hold the targets' proportions while all queues last, and those
