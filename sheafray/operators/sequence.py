@@ -41,9 +41,10 @@ def local_gap(t: Column, window: Window) -> Column:
     return F.coalesce((after - before) / 2, after - t, t - before)
 
 
-def midpoints(hits: DataFrame, ray: str = "ray_id", t: str = "t") -> DataFrame:
-    """Interior positions with the mid-points to both neighbours."""
-    w = _by(ray, t)
+def midpoints(hits: DataFrame, ray: str = "ray_id", t: str = "t", by: tuple[str, ...] = ()) -> DataFrame:
+    """Interior positions with the mid-points to both neighbours; rows of
+    different values of ``by`` are no neighbours."""
+    w = Window.partitionBy(ray, *by).orderBy(t)
     return (
         hits.withColumn("mid_left", (F.col(t) + F.lag(t).over(w)) / 2)
         .withColumn("mid_right", (F.col(t) + F.lead(t).over(w)) / 2)

@@ -84,17 +84,18 @@ def summary(column: str = "c") -> list[Column]:
     ]
 
 
-def contrast(knots: DataFrame, hits: DataFrame, least_samples: int = 20) -> DataFrame:
+def contrast(knots: DataFrame, hits: DataFrame, least_samples: int = 20, by: tuple[str, ...] = ()) -> DataFrame:
     """c of every interior hit: its intensity less the mean of the mid-points
     to both neighbours, over the ray's p95 - p5.
 
     ``knots`` (ray_id, t, v) is the profile, ``hits`` (ray_id, t, ...) the
-    positions; further columns of hits are kept. Rays with fewer than
-    ``least_samples`` samples or a flat profile give nothing.
+    positions; further columns of hits are kept, and those of ``by`` part sets
+    of positions that meet the profile together but not each other. Rays with
+    fewer than ``least_samples`` samples or a flat profile give nothing.
     """
     spread = knots.groupBy("ray_id").agg(F.count("v").alias("_n"), (F.percentile("v", F.lit(0.95)) - F.percentile("v", F.lit(0.05))).alias("spread")).where((F.col("_n") >= least_samples) & (F.col("spread") > 0))
     carried = [c for c in hits.columns if c not in ("ray_id", "t")]
-    inner = midpoints(hits)
+    inner = midpoints(hits, by=by)
     points = inner.select(
         "ray_id",
         F.col("t").alias("_at"),
