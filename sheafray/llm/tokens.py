@@ -8,33 +8,42 @@ Pieces repeat a lot in natural text, and a worker keeps their packed ids. A
 new piece is cut again where letters meet other characters, another end of a
 pre-token; the library's model encodes a run of letters, the whole library
 anything else. What these cuts do not hold for (contractions, special tokens,
-composing marks, odd spacing) is encoded whole.
+composing marks, odd spacing) is encoded whole. Words of letters are kept as
+they come while there is much room, then, as anything else that runs can be put
+together for, once they come again: most new pieces never do.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 import unicodedata
 from array import array
 
 import numpy as np
 
-#: A worker keeps at most so many pieces, and so many runs; others are encoded
-#: each time.
-MEMO_PIECES = 550_000
-MEMO_RUNS = 300_000
+#: A worker keeps at most so many pieces, and so many runs that stand behind no
+#: space; others are encoded each time. While there are fewer than MEMO_OPEN,
+#: words of letters are kept as they come.
+MEMO_PIECES = 900_000
+MEMO_RUNS = 100_000
+MEMO_OPEN = 350_000
+#: Longer ones are not kept: text without spaces has pieces of any length.
+MEMO_CHARS = 64
+#: Slots, by hash, for what came once.
+SEEN_SLOTS = 1 << 22
 _VISIBLE = re.compile(r"[\w!-~]")
 _ODD_PIECE = re.compile(r"'|<\||\s\s")
 _RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> str:
     """The letter that stands for each byte in a byte-level vocabulary:
     printable Latin-1 bytes for themselves, the others in order from U+0100."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     others = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+    return "".join(chr(b) if b in printable else chr(0x100 + others.index(b)) for b in range(256))
 
 
 class Encoder:
@@ -48,12 +57,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.byte = kind == "byte"
         self.space = " " if self.byte else ""
         self.letters = _byte_letters()
         self.memo: dict[str, bytes] = {} if self.byte else {"": b""}
-        self.runs: dict[str, bytes] = {}
+        # Pieces stand behind a space; where there is none, runs are pieces too.
+        self.runs: dict[str, bytes] = {} if self.byte else self.memo
+        self.seen = bytearray(SEEN_SLOTS)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -68,37 +79,49 @@ class Encoder:
             text = text.lower()
         return text.replace("\n", " ").split(" ")
 
-    def run(self, text: str) -> bytes:
-        """A run of letters, perhaps behind a space, or of other characters."""
-        found = self.runs.get(text)
-        if found is None:
-            spaced = self.byte and text[0] == " "
-            letters = text[1:] if spaced else text
-            # Latin letters have one lower case each; the dotted I never comes here.
-            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0250"):
-                plain = letters if self.byte else letters.lower()
-                shown = plain if plain.isascii() else "".join(map(self.letters.__getitem__, plain.encode()))
-                found = array("I", [t.id for t in self.model.tokenize(self.letters[32] + shown if spaced else shown)]).tobytes()
+    def keep(self, word: str, space: str, found: bytes, at_once: bool) -> bytes:
+        """``found``, which is kept if the word is open to be and there is
+        room."""
+        memo, most = (self.memo, MEMO_PIECES) if space == self.space else (self.runs, MEMO_RUNS)
+        n = len(memo)
+        if n < most and len(word) <= MEMO_CHARS:
+            slot = hash(word) % SEEN_SLOTS
+            if self.seen[slot] or (at_once and n < MEMO_OPEN):
+                memo[word] = found
             else:
-                found = self.whole(text)
-            if len(self.runs) < MEMO_RUNS:
-                self.runs[text] = found
+                self.seen[slot] = 1
         return found
 
+    def run(self, text: str, space: str) -> bytes:
+        """A run of letters or of other characters, behind ``space``."""
+        found = (self.memo if space == self.space else self.runs).get(text)
+        if found is not None:
+            return found
+        if text.isalpha() and (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text)):
+            # Latin letters have one lower case each and are composed, but for the dotted I.
+            shown = text if self.byte else text.lower()
+            if not shown.isascii():
+                shown = codecs.charmap_decode(shown.encode(), "strict", self.letters)[0]
+            found = array("I", [t.id for t in self.tokenize("\u0120" + shown if space else shown)]).tobytes()
+        else:
+            found = self.whole(space + text)
+        return self.keep(text, space, found, True)
+
     def piece(self, word: str, space: str) -> bytes:
         """A piece that is not kept yet."""
-        plain = word.isascii() or ("\u0130" not in word and unicodedata.is_normalized("NFC", word))
-        if plain and word.isalpha():
-            return self.run(space + word)
-        if not plain or _ODD_PIECE.search(word):
-            return self.whole(space + word)
-        runs = _RUNS.findall(word)
-        if not word.isascii() and any(r[0].isalnum() and not (r.isalpha() or r[0].isdecimal()) for r in runs):
-            return self.whole(space + word)
-        return self.run(space + runs[0]) + b"".join(map(self.run, runs[1:]))
+        if word.isalpha():
+            return self.run(word, space)
+        ascii_only = word.isascii()
+        plain = ascii_only or ("\u0130" not in word and unicodedata.is_normalized("NFC", word))
+        runs = _RUNS.findall(word) if plain and not _ODD_PIECE.search(word) else []
+        if not runs or (not ascii_only and any(r[0].isalnum() and not (r.isalpha() or r[0].isdecimal()) for r in runs)):
+            return self.keep(word, space, self.whole(space + word), True)
+        if len(runs) == 1:
+            return self.run(word, space)
+        return self.keep(word, space, self.run(runs[0], space) + b"".join([self.run(r, "") for r in runs[1:]]), False)
 
     def encode(self, text: str) -> bytes:
-        known, get = self.memo, self.memo.get
+        get = self.memo.get
         words = self.pieces(text)
         first = b""
         if self.byte:
@@ -113,11 +136,9 @@ class Encoder:
                 v = get(w)
                 if v is None:
                     # No kept piece is empty or begins with what may be white space, so such spacing shows here.
-                    if self.byte and not _VISIBLE.match(w):
+                    if self.byte and not ("!" <= w < "\x7f" or _VISIBLE.match(w)):
                         return self.whole(text)
                     v = self.piece(w, self.space)
-                    if len(known) < MEMO_PIECES:
-                        known[w] = v
                 found[j] = v
         except ValueError:  # none is left
             return first + b"".join(found)

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
-from sheafray.llm import html, packing, tokenfile
+from sheafray.llm import html, packing, tokenfile, tokens
 from sheafray.llm.tokens import encoder, vocabulary
 
 KINDS = [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")]
@@ -22,6 +22,28 @@ def test_pieces_join_to_the_library_ids(name, kind, parts):
     assert np.frombuffer(e.encode_batch([text])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("name", "kind"), KINDS)
+def test_new_words_take_no_room_from_those_that_come_again(name, kind, monkeypatch):
+    """Room goes to what comes twice, a word takes it once, and neither the
+    order of the texts nor what is kept shows in the ids."""
+    monkeypatch.setattr(tokens, "MEMO_OPEN", 20, raising=False)
+    monkeypatch.setattr(tokens, "MEMO_PIECES", 120)
+    e = tokens.Encoder(vocabulary(name), kind)
+    # Letters only, so that no digit is cut off.
+    spell = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    once = [f"x zq{spell(k)}é {'y' * 70}{spell(k)}" for k in range(2000)]
+    again = ["x " + " ".join(f"wv{spell(k)} wv{spell(k)}, it's{spell(k)}" for k in range(25))] * 3
+    odd = ["", None, "x  y", "x \ty", "x İstanbul İ", "x e\u0301a", "x a²b Ⅷ", "x " + "漢" * 200, "(wva) wva(wvb", "wva"]
+    for text in [*once, *again, *odd, *again, *once[:50]]:
+        want = e.tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(e.encode_batch([text])[0], "<u4").tolist() == want
+    kept = e.memo.keys()
+    assert {f"wv{spell(k)}" for k in range(25)} | {f"wv{spell(k)}," for k in range(25)} <= kept
+    assert len(kept) <= 120 and all(len(w) <= tokens.MEMO_CHARS for w in kept)
+    # Runs behind a space are stored with the pieces only.
+    assert not any(r.startswith(" ") for r in e.runs)
+
+
 TEXTS = [(k, "abc"[k % 3], f"Word{k} and more, words. " * (k % 40)) for k in range(150)] + [(200, None, None), (201, "a", ""), (202, "a", "long " * 30000)]
 
 
