@@ -216,17 +216,31 @@ def nearest_vertex(points: DataFrame, sites: DataFrame, cell: float, by: str = "
     return cut(out.select("key", by, F.sqrt("d2").alias("distance")))
 
 
+#: Steps of the radius at which sites of a point's own cell are counted.
+_STEPS = 8
+
+
 def nearest_within(points: DataFrame, sites: DataFrame, radius: float, by: str = "winding", k: int = 1) -> DataFrame:
     """The k nearest sites at most ``radius`` away that share ``by``, exact.
-    Adds site, distance and rank.
+    Adds site, distance and rank. The key tells points of a ``by`` apart.
 
     Sites go to every cell that a point that near may lie in, a point to its
     own cell. So all pairs of a point are made in one place, and the ranking
-    moves none of them.
+    moves none of them. A first join counts the sites that lie in a point's
+    own cell by steps of the radius: where a step holds k, none beyond it is
+    ranked. Sides are merged, never broadcast: Spark would plan by the size of
+    the files read, which tells nothing of the copies in cells.
     """
+    cells = ["_cx", "_cy", "_cz"]
     p = _placed(points, radius)
-    s = _reached(sites, radius).select(by, "_cx", "_cy", "_cz", F.struct([F.col(c) for c in sites.columns if c != by]).alias("site"))
-    d2 = sum(((F.col(a) - F.col(f"site.{a}")) * (F.col(a) - F.col(f"site.{a}")) for a in "xyz"), F.lit(0.0))
-    pairs = p.join(s, [by, "_cx", "_cy", "_cz"]).withColumn("distance", F.sqrt(d2)).where(F.col("distance") <= radius)
-    rank = F.row_number().over(Window.partitionBy(by, "_cx", "_cy", "_cz", "key").orderBy("distance", "site"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).drop("_cx", "_cy", "_cz")
+    d2 = lambda site: sum(((F.col(a) - F.col(site + a)) * (F.col(a) - F.col(site + a)) for a in "xyz"), F.lit(0.0))
+    at = _placed(sites, radius).select(by, *cells, *[F.col(a).alias(f"_at_{a}") for a in "xyz"])
+    steps = [radius * j / _STEPS for j in range(1, _STEPS)]
+    held = {step: F.count(F.when(F.sqrt(d2("_at_")) <= step, 1)) for step in steps}
+    enough = F.coalesce(*[F.when(n >= k, F.lit(step)) for step, n in held.items()], F.lit(float(radius)))
+    p = p.join(at.hint("merge"), [by, *cells], "left").groupBy(*p.columns).agg(enough.alias("_enough"))
+    s = _reached(sites, radius).select(by, *cells, F.struct([F.col(c) for c in sites.columns if c != by]).alias("site"))
+    pairs = p.join(s.hint("merge"), [by, *cells]).withColumn("distance", F.sqrt(d2("site."))).where(F.col("distance") <= F.col("_enough"))
+    # The key first: it tells most rows apart, the cell few that are sorted together.
+    rank = F.row_number().over(Window.partitionBy("key", by, *cells).orderBy("distance", "site"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).drop(*cells, "_enough")
