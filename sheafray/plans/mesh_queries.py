@@ -92,15 +92,15 @@ def own_other_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a vertex's three nearest planes of the next two windings come
     within 6: the next ("own"), the one after ("other") or none."""
     v = _vertices(spark, sf_dir)
-    n = ms.normals_interior(mesh(spark, sf_dir)).select("winding", "x", "y", "z", "nx", "ny", "nz")
+    sites = ms.normals_interior(mesh(spark, sf_dir)).select("winding", "x", "y", "z", "nx", "ny", "nz")
     # Both windings in one search: sites, which go to several cells, move once.
     points = v.select("key", F.col("winding").alias("at"), "x", "y", "z", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).withColumn("winding", F.col("at") + F.col("k"))
-    near = sp.nearest_within(points, n, 60.0, k=3)
+    near = sp.nearest_within(points, sites, 60.0, k=3)
     plane = F.abs(sum(((F.col(a) - F.col(f"site.{a}")) * F.col(f"site.n{a}") for a in "xyz"), F.lit(0.0)))
     found = near.groupBy("key", "at").agg(*[F.round(F.min(F.when(F.col("k") == k, plane)), 9).alias(name) for k, name in ((1, "own"), (2, "other"))])
     own, other = (F.coalesce(name, F.lit(1e9)) for name in ("own", "other"))
-    near6 = F.least(own, other) <= 6
-    kinds = {"own": near6 & (own <= other), "other": near6 & (own > other)}
+    close = F.least(own, other) <= 6
+    kinds = {"own": close & (own <= other), "other": close & (own > other)}
     by_winding = found.groupBy(F.col("at").alias("winding")).agg(*[F.count(F.when(c, 1)).alias(kind) for kind, c in kinds.items()])
     # The rest of a winding has none near, found or not.
     counts = v.groupBy("winding").agg(F.count(F.lit(1)).alias("all")).join(by_winding, "winding", "left").fillna(0, [*kinds])
